@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.llm import grouping
+from terraframe.functions.geometry import with_extent
+from terraframe.llm import crosssplit, grouping, pieces
+from terraframe.operators.spatial import rect_join
+from terraframe.plans import stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +54,52 @@ def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """Each group of detections with its size, top score and label."""
     dets = table(spark, d, "object_detection")
     return grouping.group_tops(dets, p5_found(spark, d))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Patches of one piece of ground with agreeing labels on both sides of the train split."""
+    pairs = crosssplit.cross_split_pairs(table(spark, d, "one_tile"))
+    return pairs.select(F.least("eval_id", "train_id").alias("patch_id_a"), F.greatest("eval_id", "train_id").alias("patch_id_b")).distinct()
+
+
+@query
+def p2_report(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs and evaluation patches concerned, per split and dataset of the evaluation patch."""
+    tiles = table(spark, d, "one_tile")
+    pairs = crosssplit.cross_split_pairs(tiles)
+    meta = tiles.select(F.col("patch_id").alias("eval_id"), crosssplit.split_of(F.col("split_name")).alias("split"), "dataset").distinct()
+    return pairs.join(meta, "eval_id").groupBy("split", "dataset").agg(
+        F.count(F.lit(1)).alias("pairs"), F.countDistinct("eval_id").alias("eval_patches"), F.countDistinct("train_id").alias("train_patches"))
+
+
+def pixel_items(spark: SparkSession, d: str) -> DataFrame:
+    """Grid cells and patches as kind, id, ground bounds, res, and width and height in pixels."""
+    b = ("minx", "miny", "maxx", "maxy")
+    g = with_extent(table(spark, d, "grid").select("cell_id", "raster_id", "geometry", *[F.col(c).alias(f"g_{c}") for c in b]))
+    g = g.select(F.lit("grid").alias("kind"), F.col("cell_id").alias("id"), "raster_id", *[F.coalesce(f"g_{c}", c).alias(c) for c in b])
+    g = g.join(table(spark, d, "raster").select("raster_id", "res"), "raster_id").drop("raster_id")
+    t = with_extent(table(spark, d, "one_tile").select("patch_id", "geometry", "res"))
+    t = t.select(F.lit("one_tile").alias("kind"), F.col("patch_id").alias("id"), *b, "res")
+    px = lambda lo, hi: F.round(F.try_divide(F.col(hi) - F.col(lo), F.col("res")), 6)
+    items = g.unionByName(t).filter("id is not null and res > 0 and not isnan(res)")
+    return items.withColumn("width", px("minx", "maxx")).withColumn("height", px("miny", "maxy")).distinct()
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items that must be cut: those of which the cutter makes more than one piece."""
+    return p6_pieces(spark, d).select("item_kind", "item_id").distinct()
+
+
+@query
+def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of the oversized cells and patches, cut between labelled objects where possible."""
+    items = stage(pieces.oversized(pixel_items(spark, d)), "oversized")
+    tiles = table(spark, d, "one_tile").select("patch_id", F.explode(crosssplit.label_objects(F.col("labeltxt"))).alias("o"))
+    own = tiles.select(F.lit("one_tile").alias("kind"), F.col("patch_id").alias("id"), "o.l", "o.t", "o.r", "o.b")
+    segs = with_extent(table(spark, d, "segments_gdf").select("seg_id", "geometry")).select("minx", "miny", "maxx", "maxy").distinct()
+    seen = rect_join(items.filter("kind = 'grid'"), segs, 512.0)
+    ground = seen.select("kind", "id", F.expr("(r_minx - minx) / res").alias("l"), F.expr("(maxy - r_maxy) / res").alias("t"), F.expr("(r_maxx - minx) / res").alias("r"), F.expr("(maxy - r_miny) / res").alias("b"))
+    out = pieces.cut_items(items, own.unionByName(ground))
+    return out.withColumnRenamed("kind", "item_kind").withColumnRenamed("id", "item_id")
