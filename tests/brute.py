@@ -148,3 +148,23 @@ def oversized(d):
         if e and t["res"] and max(e[2] - e[0], e[3] - e[1]) / t["res"] > 512 + 1e-6:
             out.add(("one_tile", t["patch_id"]))
     return out
+
+
+def shared_stretches(texts, span=400):
+    """texts: {doc_id: text}."""
+    seen = {}
+    for k, t in texts.items():
+        for i in range(len(t or "") - span + 1):
+            seen.setdefault(hash(t[i:i + span]), set()).add(k)
+    out = set()
+    for k, t in texts.items():
+        at = [i for i in range(len(t or "") - span + 1) if len(seen[hash(t[i:i + span])]) > 1]
+        while at:
+            first = last = at[0]
+            n = 1
+            while n < len(at) and at[n] <= last + span:
+                last = at[n]
+                n += 1
+            out.add((k, first, last + span))
+            at = at[n:]
+    return out
