@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraframe.functions.geometry import with_extent
-from terraframe.llm import crosssplit, grouping, pieces
+from terraframe.llm import crosssplit, grouping, pieces, spans
 from terraframe.operators.spatial import rect_join
 from terraframe.plans import stage
 
@@ -103,3 +103,18 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     ground = seen.select("kind", "id", F.expr("(r_minx - minx) / res").alias("l"), F.expr("(maxy - r_maxy) / res").alias("t"), F.expr("(r_maxx - minx) / res").alias("r"), F.expr("(maxy - r_miny) / res").alias("b"))
     out = pieces.cut_items(items, own.unionByName(ground))
     return out.withColumnRenamed("kind", "item_kind").withColumnRenamed("id", "item_id")
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Stretches of at least 400 characters that stand on another page too."""
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+@query
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    """For each page, how many of its characters are shared and in how many stretches."""
+    docs = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("chars"))
+    got = p9_found(spark, d).groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"), F.count(F.lit(1)).alias("stretches"))
+    got = docs.join(got, "doc_id", "left").select("doc_id", "chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("stretches", F.lit(0)).alias("stretches"))
+    return got.withColumn("shared", F.coalesce(F.try_divide(F.col("shared_chars"), F.col("chars")), F.lit(0.0)))
