@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraframe.functions.geometry import with_extent
-from terraframe.llm import crosssplit, grouping, pieces, spans
+from terraframe.llm import crosssplit, grouping, leakage, pieces, spans
 from terraframe.operators.spatial import rect_join
 from terraframe.plans import stage
 
@@ -118,3 +118,26 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     got = p9_found(spark, d).groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared_chars"), F.count(F.lit(1)).alias("stretches"))
     got = docs.join(got, "doc_id", "left").select("doc_id", "chars", F.coalesce("shared_chars", F.lit(0)).alias("shared_chars"), F.coalesce("stretches", F.lit(0)).alias("stretches"))
     return got.withColumn("shared", F.coalesce(F.try_divide(F.col("shared_chars"), F.col("chars")), F.lit(0.0)))
+
+
+def passages(spark: SparkSession, d: str) -> list[tuple[int, str]]:
+    """The held-out passages: a fixed query set, not the corpus."""
+    return [(r.item_id, r.passage) for r in table(spark, d, "eval_item").select("item_id", "passage").collect()]
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that hold 20 words or more of a test passage in a row, with the passage."""
+    return leakage.leaks(table(spark, d, "documents"), passages(spark, d))
+
+
+@query
+def p7_report(spark: SparkSession, d: str) -> DataFrame:
+    """For each page concerned, the passages that leaked into it."""
+    return p7_found(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_items"), F.array_sort(F.collect_set("item_id")).cast("string").alias("items"))
+
+
+@query
+def p7_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Pages that stay once those with a leaked passage are removed."""
+    return table(spark, d, "documents").select("doc_id", "source").join(p7_found(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
