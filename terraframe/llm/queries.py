@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terraframe.functions.geometry import with_extent
-from terraframe.llm import crosssplit, grouping, leakage, pieces, spans
+from terraframe.llm import crosssplit, grouping, leakage, mixing, pieces, spans
 from terraframe.operators.spatial import rect_join
 from terraframe.plans import stage
 
@@ -141,3 +141,18 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 def p7_kept(spark: SparkSession, d: str) -> DataFrame:
     """Pages that stay once those with a leaked passage are removed."""
     return table(spark, d, "documents").select("doc_id", "source").join(p7_found(spark, d).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+@query
+def p8_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture of pages: each use of each page, with its place in the global random order."""
+    sizes = stage(mixing.sized(table(spark, d, "documents")), "sizes")
+    return mixing.mixture(sizes, table(spark, d, "mix_target"))
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual shares of the sources in the mixture."""
+    sizes = stage(mixing.sized(table(spark, d, "documents")), "sizes")
+    targets = table(spark, d, "mix_target")
+    return mixing.actual_shares(mixing.mixture(sizes, targets), sizes, targets)
