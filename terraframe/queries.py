@@ -83,3 +83,674 @@ def p3_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL["p3_files"] = "select file_id, file_path, cast(octet_length(encode(content)) as bigint) as stored_bytes from prediction_file"
+
+
+# ---- reference operators
+
+from terraframe.functions import scalars as S  # noqa: E402
+from terraframe.functions.geometry import NUMBER  # noqa: E402
+from terraframe.operators import boxes as B  # noqa: E402
+from terraframe.operators import grid as G  # noqa: E402
+from terraframe.operators import metrics as M  # noqa: E402
+from terraframe.operators import patches as P  # noqa: E402
+from terraframe.operators import polygon as Y  # noqa: E402
+from terraframe.operators import raster as R  # noqa: E402
+from terraframe.operators.spatial import rect_join, rect_semi_join  # noqa: E402
+from terraframe.plans import stage  # noqa: E402
+
+TILE_PX, WIDTH_PX, RADIUS_PX = 64, 64, 10
+MASK_LEVEL = 1500
+BOUNDS = ("minx", "miny", "maxx", "maxy")
+
+
+def sql(name: str, text: str) -> None:
+    SQL[name] = text
+
+
+def q(c, scale: int = 10_000):
+    """Quantised to whole numbers, so that both engines give the same text."""
+    return F.floor(c * scale + F.lit(0.5)).cast("long")
+
+
+def pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Elevation raster of 64 columns: r, c, z in ten-thousandths; each embedding is a row of pixels."""
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("r"), F.posexplode("embedding").alias("c", "x"))
+    return e.select("r", F.col("c").cast("long").alias("c"), q(F.col("x").cast("double")).alias("z"))
+
+
+def holed(spark: SparkSession, d: str) -> DataFrame:
+    """The same with nodata holes."""
+    return pixels(spark, d).withColumn("z", F.when(F.expr("(r * 7 + c * 13) % 11 <> 0"), F.col("z")))
+
+
+PIX = """pixels as (select vec_id as r, cast(i - 1 as bigint) as c, cast(floor(cast(embedding[i] as double) * 10000 + 0.5e0) as bigint) as z
+  from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings))"""
+HOLED = PIX + """, holed as (select r, c, case when (r * 7 + c * 13) % 11 <> 0 then z end as z from pixels)"""
+_N = NUMBER.replace("'", "''")
+_PAIR_SQL = rf"({_N})\s+({_N})(?:\s+{_N})*"
+
+
+def ext_sql(g: str = "geometry") -> str:
+    """Extent of a WKT column in SQL."""
+    part = lambda f, k: f"list_{f}(list_transform(regexp_extract_all({g}, '{_PAIR_SQL}', {k}), lambda v: cast(v as double)))"
+    return f"{part('min', 1)} as minx, {part('min', 2)} as miny, {part('max', 1)} as maxx, {part('max', 2)} as maxy"
+
+
+GRID_SQL = f"""cells as (select distinct cell_id, raster_id, coalesce(g.minx, e.minx) as minx, coalesce(g.miny, e.miny) as miny, coalesce(g.maxx, e.maxx) as maxx, coalesce(g.maxy, e.maxy) as maxy
+  from grid g, lateral (select {ext_sql('g.geometry')}) e)"""
+SEGS_SQL = f"""segs as (select distinct seg_id, lower(trim(arch_type)) as arch_type, dfm, minx, miny, maxx, maxy from (select seg_id, arch_type, dfm, {ext_sql()} from segments_gdf) where minx is not null)"""
+TILES_SQL = f"""tiles as (select distinct patch_id, filestem, res, minx, miny, maxx, maxy from (select patch_id, filestem, res, {ext_sql()} from one_tile) where minx is not null)"""
+DETS_SQL = f"""dets as (select distinct det_id, lower(trim(label)) as label, score, area, prediction_path, raster_id, minx, miny, maxx, maxy from (select det_id, label, score, area, prediction_path, raster_id, {ext_sql()} from object_detection) where minx is not null)"""
+
+
+def segs(spark: SparkSession, d: str) -> DataFrame:
+    s = with_extent(table(spark, d, "segments_gdf").select("seg_id", "arch_type", "dfm", "geometry")).filter("minx is not null")
+    return s.select("seg_id", F.lower(F.trim("arch_type")).alias("arch_type"), "dfm", *BOUNDS).distinct()
+
+
+def tiles(spark: SparkSession, d: str) -> DataFrame:
+    t = with_extent(table(spark, d, "one_tile").select("patch_id", "filestem", "res", "geometry")).filter("minx is not null")
+    return t.select("patch_id", "filestem", "res", *BOUNDS).distinct()
+
+
+def dets(spark: SparkSession, d: str) -> DataFrame:
+    t = with_extent(table(spark, d, "object_detection").select("det_id", "label", "score", "area", "prediction_path", "raster_id", "geometry")).filter("minx is not null")
+    return t.select("det_id", F.lower(F.trim("label")).alias("label"), "score", "area", "prediction_path", "raster_id", *BOUNDS).distinct()
+
+
+sql("p1_found", f"""with {GRID_SQL}, pts as (select distinct seg_id, (minx + maxx) / 2 as x, (miny + maxy) / 2 as y from (select seg_id, {ext_sql()} from segments_gdf where dfm is null or dfm in (1, 2)) where minx is not null)
+select 'near' as relation, a.seg_id as id_a, b.seg_id as id_b from pts a join pts b on a.seg_id < b.seg_id and (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 625
+union all select distinct 'inside', p.seg_id, c.cell_id from pts p join cells c on p.x >= c.minx and p.x <= c.maxx and p.y >= c.miny and p.y <= c.maxy""")
+
+# ---- grids
+
+
+@query
+def bounding_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of 512 px over every raster."""
+    return G.bounding_grid(table(spark, d, "raster"), 512)
+
+
+@query
+def bounding_grid_tag(spark: SparkSession, d: str) -> DataFrame:
+    """Target-aligned tiles of 512 px over every raster."""
+    return G.bounding_grid(table(spark, d, "raster"), 512, tag=True)
+
+
+@query
+def staggered_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Target-aligned patches of 512 px, each with a copy moved by 256 px."""
+    return G.staggered_grid(table(spark, d, "raster"), 512, 256)
+
+
+def _grid_sql(tag: bool) -> str:
+    left, top = ("floor(x_min / t) * t", "ceil(y_max / t) * t") if tag else ("x_min", "y_max")
+    return f"""r as (select *, res * 512 as t from raster), s as (select *, {left} as lf, {top} as tp from r),
+ n as (select *, cast(ceil((x_min + width * res - lf) / t) as bigint) as nx, cast(ceil((tp - (y_max - height * res)) / t) as bigint) as ny from s),
+ g as (select raster_id, res, ix * ny + iy as tile_id, lf + ix * t as minx, tp - iy * t - t as miny, lf + ix * t + t as maxx, tp - iy * t as maxy
+  from (select *, unnest(range(0, ny)) as iy from (select *, unnest(range(0, nx)) as ix from n)))"""
+
+
+sql("bounding_grid", f"with {_grid_sql(False)} select raster_id, tile_id, minx, miny, maxx, maxy from g")
+sql("bounding_grid_tag", f"with {_grid_sql(True)} select raster_id, tile_id, minx, miny, maxx, maxy from g")
+sql("staggered_grid", f"""with {_grid_sql(True)} select raster_id, tile_id, k as copy, minx + k * res * 256 as minx, miny + k * res * 256 as miny, maxx + k * res * 256 as maxx, maxy + k * res * 256 as maxy
+ from g, (select unnest([0, 1]) as k)""")
+
+
+@query
+def grid_extents_struct(spark: SparkSession, d: str) -> DataFrame:
+    """The same tiles with one extent each, as text."""
+    e = G.extents(G.bounding_grid(table(spark, d, "raster"), 512))
+    return e.select("raster_id", "tile_id", F.format_string("%.2f %.2f %.2f %.2f", "extent.left", "extent.bottom", "extent.right", "extent.top").alias("extent"))
+
+
+sql("grid_extents_struct", f"with {_grid_sql(False)} select raster_id, tile_id, printf('%.2f %.2f %.2f %.2f', minx, miny, maxx, maxy) as extent from g")
+
+
+@query
+def tile_footprints(spark: SparkSession, d: str) -> DataFrame:
+    """One box per stored raster tile."""
+    return G.footprints(table(spark, d, "raster").withColumnRenamed("raster_id", "tile_id"))
+
+
+sql("tile_footprints", "select raster_id as tile_id, x_min as minx, y_max - height * res as miny, x_min + width * res as maxx, y_max as maxy from raster")
+
+
+# ---- pixels and tiles
+
+
+@query
+def valid_mask_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """Per tile of 16 px the number of pixels and of valid pixels; tiles without any are skipped."""
+    g = G.in_windows(holed(spark, d), 16).groupBy("tr", "tc").agg(F.count(F.lit(1)).alias("n_pix"), F.count("z").alias("n_valid"))
+    return g.filter("n_valid > 0")
+
+
+sql("valid_mask_tiles", f"with {HOLED} select r // 16 as tr, c // 16 as tc, count(*) as n_pix, count(z) as n_valid from holed group by all having count(z) > 0")
+
+
+@query
+def nodata_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """Valid pixels under the nodata value of their raster (null, NaN or a number); rows of pixels go round the first three rasters."""
+    nod = table(spark, d, "raster").select("raster_id", "nodata")
+    z = F.when(F.expr("(r * 7 + c * 13) % 11 = 0"), F.lit(0.0)).when(F.expr("(r + c) % 7 = 0"), F.lit(-9999.0)).otherwise(F.col("z").cast("double"))
+    p = pixels(spark, d).select((F.col("r") % 3 + 1).alias("raster_id"), z.alias("z")).join(nod, "raster_id")
+    return R.valid_pixels(p, "nodata").groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_valid"))
+
+
+sql("nodata_kinds", f"""with {PIX}, p as (select r % 3 + 1 as raster_id, case when (r * 7 + c * 13) % 11 = 0 then 0 when (r + c) % 7 = 0 then -9999 else z end as z from pixels)
+select raster_id, count(*) as n_valid from p join raster using (raster_id) where nodata is null or isnan(nodata) or z <> nodata group by raster_id""")
+
+
+@query
+def outline_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles of 8 px that meet ground above the mask level, touching included."""
+    return G.outline_tiles(pixels(spark, d).filter(F.col("z") >= MASK_LEVEL), 8).filter("tr >= 0 and tc >= 0 and tc < 8")
+
+
+sql("outline_filter", f"""with {PIX}, v as (select r, c from pixels where z >= {MASK_LEVEL}), t as (select tr, tc from (select unnest(range(0, (select max(r) // 8 + 2 from pixels))) as tr), (select unnest(range(0, 8)) as tc))
+select distinct tr, tc from t join v on v.r <= tr * 8 + 8 and v.r + 1 >= tr * 8 and v.c <= tc * 8 + 8 and v.c + 1 >= tc * 8""")
+
+
+@query
+def tile_window_halo(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels, valid pixels and sum of each tile of 32 px read with a halo of 4."""
+    w = G.in_windows(holed(spark, d), 32, 4).filter("tc < 2")
+    return w.groupBy("tr", "tc").agg(F.count(F.lit(1)).alias("n_pix"), F.count("z").alias("n_valid"), F.sum("z").alias("sum_z"))
+
+
+sql("tile_window_halo", f"""with {HOLED}, t as (select tr, tc from (select unnest(range(0, (select (max(r) + 4) // 32 + 1 from pixels))) as tr), (select unnest(range(0, 2)) as tc))
+select tr, tc, count(*) as n_pix, count(z) as n_valid, cast(sum(z) as bigint) as sum_z from t join holed on r between tr * 32 - 4 and tr * 32 + 35 and c between tc * 32 - 4 and tc * 32 + 35 group by tr, tc""")
+
+
+@query
+def clip_tile_values(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel values of the clipped tiles: nodata to 0, held to [0, 1]."""
+    v = S.unit_clamped(F.col("z") / 1000)
+    return holed(spark, d).select("r", "c", F.floor(v * 1000 + F.lit(0.5)).cast("long").alias("v"))
+
+
+sql("clip_tile_values", f"with {HOLED} select r, c, cast(floor(least(1.0e0, greatest(0.0e0, coalesce(z / 1000.0e0, 0.0e0))) * 1000 + 0.5e0) as bigint) as v from holed")
+
+
+def relief(spark: SparkSession, d: str) -> DataFrame:
+    """Local relief of the holed raster, stretched to [0, 1]."""
+    return R.visualised(holed(spark, d), RADIUS_PX, 10_000.0)
+
+
+@query
+def slrm(spark: SparkSession, d: str) -> DataFrame:
+    """The local relief model, in millionths."""
+    return relief(spark, d).select("r", "c", q(F.col("v"), 1_000_000).alias("v"))
+
+
+@query
+def slrm_tiled(spark: SparkSession, d: str) -> DataFrame:
+    """The same by tiles with a halo: the form for large rasters."""
+    t = R.local_relief_tiled(holed(spark, d), RADIUS_PX, TILE_PX)
+    return t.select("r", "c", q(S.stretched(F.col("relief") / 10_000.0), 1_000_000).alias("v"))
+
+
+SLRM_SQL = HOLED + """, s1 as (select *, sum(z) over (partition by r order by c range between 10 preceding and 10 following) as s1, count(z) over (partition by r order by c range between 10 preceding and 10 following) as n1 from holed),
+ s2 as (select *, sum(s1) over (partition by c order by r range between 10 preceding and 10 following) as s, sum(n1) over (partition by c order by r range between 10 preceding and 10 following) as n from s1),
+ vis as (select r, c, z, coalesce(least(1.0e0, greatest(0.0e0, ((z - cast(s as double) / cast(n as double)) / 10000.0e0 + 0.5e0) / 1.0e0)), 0.0e0) as v from s2)"""
+sql("slrm", f"with {SLRM_SQL} select r, c, cast(floor(v * 1000000 + 0.5e0) as bigint) as v from vis")
+sql("slrm_tiled", SQL["slrm"])
+
+
+@query
+def slrm_stats_by_tile(spark: SparkSession, d: str) -> DataFrame:
+    """Per tile the number, sum, least and greatest relief value in millionths."""
+    v = slrm(spark, d).withColumn("tr", F.floor(F.col("r") / TILE_PX))
+    return v.groupBy("tr").agg(F.count("v").alias("n"), F.sum("v").alias("sum_v"), F.min("v").alias("min_v"), F.max("v").alias("max_v"))
+
+
+sql("slrm_stats_by_tile", f"with {SLRM_SQL}, q as (select r // 64 as tr, cast(floor(v * 1000000 + 0.5e0) as bigint) as v from vis) select tr, count(v) as n, cast(sum(v) as bigint) as sum_v, min(v) as min_v, max(v) as max_v from q group by tr")
+
+
+@query
+def relief_radius(spark: SparkSession, d: str) -> DataFrame:
+    """Radius in pixels for each raster's resolution, and the largest halo."""
+    return table(spark, d, "raster").groupBy("res").agg(F.max(S.relief_radius(F.col("res"))).alias("radius"), F.count(F.lit(1)).alias("rasters"))
+
+
+sql("relief_radius", "select res, max(case when res < 1 then cast(ceil(10.0e0 / res) as int) else 10 end) as radius, count(*) as rasters from raster group by res")
+
+
+@query
+def mosaic_last_wins(spark: SparkSession, d: str) -> DataFrame:
+    """Mosaic of overlapping tiles (32 px with a halo of 4): the last tile shows."""
+    w = G.in_windows(holed(spark, d), 32, 4).filter("tc < 2").withColumn("seq", F.col("tr") * 2 + F.col("tc"))
+    return R.mosaic(w.withColumn("z", F.col("z") + F.col("seq")), "seq").select("r", "c", "z")
+
+
+sql("mosaic_last_wins", f"""with {HOLED}, t as (select tr, tc from (select unnest(range(0, (select (max(r) + 4) // 32 + 1 from pixels))) as tr), (select unnest(range(0, 2)) as tc)),
+ w as (select r, c, tr * 2 + tc as seq, z + tr * 2 + tc as z from t join holed on r between tr * 32 - 4 and tr * 32 + 35 and c between tc * 32 - 4 and tc * 32 + 35)
+select r, c, arg_max(z, seq) as z from w where z is not null group by r, c""")
+
+
+@query
+def threshold_mask(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels whose probability (here the relief) is at least 0.5."""
+    p = relief(spark, d).withColumn("p", q(F.col("v"), 1_000_000) / F.lit(1e6))
+    return R.thresholded(p, "p").select("r", "c")
+
+
+@query
+def threshold_mask_nan(spark: SparkSession, d: str) -> DataFrame:
+    """The same where nodata pixels have the probability NaN: they are dropped."""
+    p = relief(spark, d).withColumn("p", F.when(F.col("z").isNull(), F.lit(float("nan"))).otherwise(q(F.col("v"), 1_000_000) / F.lit(1e6)))
+    return R.thresholded(p, "p").groupBy("r").agg(F.count(F.lit(1)).alias("n"), F.sum("c").alias("sum_c"))
+
+
+sql("threshold_mask", f"with {SLRM_SQL} select r, c from vis where cast(floor(v * 1000000 + 0.5e0) as bigint) / 1000000.0e0 >= 0.5e0")
+sql("threshold_mask_nan", f"with {SLRM_SQL} select r, count(*) as n, cast(sum(c) as bigint) as sum_c from vis where z is not null and cast(floor(v * 1000000 + 0.5e0) as bigint) / 1000000.0e0 >= 0.5e0 group by r")
+
+
+def mask_parts(spark: SparkSession, d: str) -> DataFrame:
+    return R.components(pixels(spark, d).filter(F.col("z") >= MASK_LEVEL), TILE_PX, WIDTH_PX)
+
+
+COMP_SQL = PIX + f""", m as (select r, c, r // 64 as tr, r * 64 + c as id from pixels where z >= {MASK_LEVEL}),
+ e as (select a.id as a, b.id as b from m a join m b on a.tr = b.tr and ((b.r = a.r and b.c in (a.c - 1, a.c + 1)) or (b.c = a.c and b.r in (a.r - 1, a.r + 1)))),
+ reach(id, other) as (select id, id from m union select reach.id, e.b from reach join e on reach.other = e.a),
+ comp as (select id, min(other) as part from reach group by id),
+ parts as (select m.tr, m.r, m.c, comp.part from m join comp using (id))"""
+
+
+@query
+def mask_components(spark: SparkSession, d: str) -> DataFrame:
+    """4-connected parts of the mask within each tile."""
+    return mask_parts(spark, d).select("tr", "r", "c", "part")
+
+
+sql("mask_components", f"with recursive {COMP_SQL} select tr, r, c, part from parts")
+
+
+@query
+def mask_features_min_area(spark: SparkSession, d: str) -> DataFrame:
+    """Features of the mask larger than 1 square metre at half a metre a pixel."""
+    f = R.features(mask_parts(spark, d), 0.5)
+    return B.at_least(f, "area", 0.3).select("tr", "part", "n_pix", "area", "c0", "r0", "c1", "r1")
+
+
+sql("mask_features_min_area", f"with recursive {COMP_SQL} select tr, part, count(*) as n_pix, count(*) * 0.25e0 as area, min(c) as c0, min(r) as r0, max(c) + 1 as c1, max(r) + 1 as r1 from parts group by tr, part having count(*) * 0.25e0 > 0.3e0")
+
+
+@query
+def mask_features_roundness(spark: SparkSession, d: str) -> DataFrame:
+    """Features rounder than 0.5, their roundness in ten-thousandths, then larger than the least area."""
+    f = R.features(mask_parts(spark, d), 0.5, with_hull=True).withColumn("roundness", S.roundness(F.col("area"), F.col("hull")))
+    return B.at_least(B.at_least(f, "roundness", 0.5), "area", 0.3).select("tr", "part", "area", q(F.col("roundness")).alias("roundness"))
+
+
+@query
+def mask_polygons(spark: SparkSession, d: str) -> DataFrame:
+    """Outlines of the mask features as polygon texts."""
+    return R.polygons(mask_parts(spark, d), 600000.0, 700000.0, 0.5).select("part", "geometry")
+
+
+# ---- boxes
+
+
+def box_records(spark: SparkSession, d: str) -> DataFrame:
+    """Box records of all prediction files, with a number within the file."""
+    r = archive.box_lines(table(spark, d, "prediction_file").select("file_id", "content"))
+    return r.withColumn("box_no", F.col("line_no"))
+
+
+_LINE = rf"^{NUMBER}([ \t]+{NUMBER}){{3}}[ \t]+[^ \t]+([ \t]+{NUMBER}){{5}}$"
+LINES_SQL = rf"""lines as (select file_id, n as line_no, regexp_replace(regexp_replace(ls[n], '^[ \t]+', ''), '[ \t\r]+$', '') as line from (select file_id, ls, unnest(range(1, len(ls) + 1)) as n
+  from (select file_id, regexp_split_to_array(regexp_replace(content, '^' || chr(65279), ''), '\r?\n') as ls from prediction_file))),
+ f as (select file_id, line_no, regexp_split_to_array(line, '[ \t]+') as f from lines where regexp_matches(line, '{_LINE}')),
+ recs as (select file_id, line_no, cast(f[1] as double) as x0, cast(f[2] as double) as y0, cast(f[3] as double) as x1, cast(f[4] as double) as y1, f[5] as label, cast(f[6] as double) as score, cast(f[7] as double) as epsg, cast(f[8] as double) as res, cast(f[9] as double) as x_min, cast(f[10] as double) as y_max from f),
+ world as (select *, x_min + res * x0 as minx, y_max - res * y1 as miny, x_min + res * x1 as maxx, y_max - res * y0 as maxy from recs)"""
+
+
+@query
+def boxes_parse_text(spark: SparkSession, d: str) -> DataFrame:
+    """Every readable box line of every prediction file."""
+    return box_records(spark, d).drop("box_no")
+
+
+sql("boxes_parse_text", f"with {LINES_SQL} select file_id, line_no, x0, y0, x1, y1, label, score, epsg, res, x_min, y_max from recs")
+sql("p3_found", f"""with {LINES_SQL} select file_id, line_no from (select *, row_number() over (partition by lower(label), x0, y0, x1, y1, score, epsg, res, x_min, y_max order by file_id, line_no) as k from recs) where k = 1""")
+sql("p3_records", f"""with {LINES_SQL} select file_id, line_no, x0, y0, x1, y1, label, score, epsg, res, x_min, y_max, copies from (select *, row_number() over w as k, count(*) over (partition by lower(label), x0, y0, x1, y1, score, epsg, res, x_min, y_max) as copies from recs window w as (partition by lower(label), x0, y0, x1, y1, score, epsg, res, x_min, y_max order by file_id, line_no)) where k = 1""")
+
+
+@query
+def boxes_render_text(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes at half the resolution as lines of a box file, with rounding to even."""
+    r = box_records(spark, d).withColumns({c: F.col(c) / 2 for c in ("x0", "y0", "x1", "y1")})
+    r = r.withColumns({"epsg": F.col("epsg"), "res": q(F.col("res"), 100), "x_min": q(F.col("x_min"), 100), "y_max": q(F.col("y_max"), 100)})
+    return B.box_text(r).select("file_id", "line_no", "line")
+
+
+sql("boxes_render_text", f"""with {LINES_SQL} select file_id, line_no, concat_ws(' ', cast(round_even(x0 / 2, 0) as bigint), cast(round_even(y0 / 2, 0) as bigint), cast(round_even(x1 / 2, 0) as bigint), cast(round_even(y1 / 2, 0) as bigint), label, printf('%.4f', score),
+ cast(epsg as bigint), cast(floor(res * 100 + 0.5e0) as bigint), cast(floor(x_min * 100 + 0.5e0) as bigint), cast(floor(y_max * 100 + 0.5e0) as bigint)) as line from recs""")
+
+
+@query
+def boxes_to_world(spark: SparkSession, d: str) -> DataFrame:
+    """Ground bounds of every box, in centimetres."""
+    return B.world_boxes(box_records(spark, d)).select("file_id", "line_no", "label", *[q(F.col(c), 100).alias(c) for c in BOUNDS])
+
+
+sql("boxes_to_world", f"with {LINES_SQL} select file_id, line_no, label, " + ", ".join(f"cast(floor({c} * 100 + 0.5e0) as bigint) as {c}" for c in BOUNDS) + " from world")
+
+
+@query
+def score_filter(spark: SparkSession, d: str) -> DataFrame:
+    """Detections whose written score is above 0.5, per label."""
+    return B.confident(dets(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("det_id").alias("sum_id"))
+
+
+sql("score_filter", f"with {DETS_SQL} select label, count(*) as n, cast(sum(det_id) as bigint) as sum_id from dets where score is not null and not isnan(score) and cast(printf('%.4f', score) as double) > 0.5e0 group by label")
+
+
+def merged_boxes(spark: SparkSession, d: str) -> DataFrame:
+    r = B.world_boxes(B.confident(box_records(spark, d)))
+    return B.parts(r, "file_id")
+
+
+PARTS_SQL = LINES_SQL + """, b as (select * from world where score > 0.5e0 and maxx > minx and maxy > miny),
+ pair as (select a.file_id, a.line_no as a, c.line_no as b, c.score as score, least(a.maxx, c.maxx) - greatest(a.minx, c.minx) as w, least(a.maxy, c.maxy) - greatest(a.miny, c.miny) as h from b a join b c on a.file_id = c.file_id and a.minx <= c.maxx and c.minx <= a.maxx and a.miny <= c.maxy and c.miny <= a.maxy),
+ reach(file_id, a, b) as (select file_id, line_no, line_no from b union select reach.file_id, reach.a, pair.b from reach join pair on reach.file_id = pair.file_id and reach.b = pair.a where pair.w + pair.h > 0),
+ comp as (select file_id, a as box_no, min(b) as part from reach group by file_id, a),
+ merged as (select comp.file_id, comp.box_no, comp.part, b.minx, b.miny, b.maxx, b.maxy, (select max(score) from pair where pair.file_id = comp.file_id and pair.a = comp.box_no) as reach from comp join b on b.file_id = comp.file_id and b.line_no = comp.box_no)"""
+
+
+@query
+def box_parts(spark: SparkSession, d: str) -> DataFrame:
+    """The part each confident box of a file belongs to."""
+    return merged_boxes(spark, d).select("file_id", "box_no", "part")
+
+
+@query
+def box_parts_score(spark: SparkSession, d: str) -> DataFrame:
+    """Best score of each part, boxes that touch only a corner included."""
+    return B.part_scores(merged_boxes(spark, d), "file_id").select("file_id", "part", "n_boxes", "score")
+
+
+sql("box_parts", f"with recursive {PARTS_SQL} select file_id, box_no, part from merged")
+sql("box_parts_score", f"with recursive {PARTS_SQL} select file_id, part, count(*) as n_boxes, max(reach) as score from merged group by file_id, part")
+
+
+@query
+def box_union_area(spark: SparkSession, d: str) -> DataFrame:
+    """Area of each part, overlap counted once, in hundredths."""
+    return B.union_area(stage(merged_boxes(spark, d), "merged"), "file_id").select("file_id", "part", q(F.col("area"), 100).alias("area"))
+
+
+@query
+def box_features_min_area(spark: SparkSession, d: str) -> DataFrame:
+    """Object detection features: parts larger than 400 square metres with their score."""
+    m = stage(merged_boxes(spark, d), "merged")
+    f = B.part_scores(m, "file_id").join(B.union_area(m, "file_id"), ["file_id", "part"])
+    return B.at_least(f.withColumn("area", q(F.col("area"), 100)), "area", 40_000).select("file_id", "part", "score", "area")
+
+
+AREA_SQL = PARTS_SQL + """, xs as (select distinct file_id, part, unnest([minx, maxx]) as x from merged), strips as (select *, lead(x) over (partition by file_id, part order by x) as x2 from xs),
+ ins as (select s.file_id, s.part, s.x, s.x2, m.miny, m.maxy from strips s join merged m on s.file_id = m.file_id and s.part = m.part and m.minx <= s.x and m.maxx >= s.x2 where s.x2 is not null),
+ run as (select *, max(maxy) over (partition by file_id, part, x order by miny, maxy rows between unbounded preceding and 1 preceding) as past from ins),
+ areas as (select file_id, part, sum((x2 - x) * greatest(0, maxy - greatest(miny, coalesce(past, miny)))) as area from run group by file_id, part)"""
+sql("box_union_area", f"with recursive {AREA_SQL} select file_id, part, cast(floor(area * 100 + 0.5e0) as bigint) as area from areas")
+sql("box_features_min_area", f"with recursive {AREA_SQL}, sc as (select file_id, part, max(reach) as score from merged group by file_id, part) select file_id, part, score, cast(floor(area * 100 + 0.5e0) as bigint) as area from sc join areas using (file_id, part) where cast(floor(area * 100 + 0.5e0) as bigint) > 40000")
+
+
+@query
+def provenance_path(spark: SparkSession, d: str) -> DataFrame:
+    """The last three parts of each detection's prediction path, under its run's folder."""
+    t = table(spark, d, "object_detection").filter("prediction_path is not null").select("det_id", F.concat(F.lit("/data/"), F.col("run_code"), F.lit("/"), F.col("prediction_path")).alias("p")).distinct()
+    return t.select("det_id", S.path_tail(F.col("p")).alias("prediction_path"))
+
+
+sql("provenance_path", "select det_id, array_to_string(list_slice(string_split(p, '/'), -3, -1), '/') as prediction_path from (select distinct det_id, '/data/' || run_code || '/' || prediction_path as p from object_detection where prediction_path is not null)")
+
+
+@query
+def detections_min_area(spark: SparkSession, d: str) -> DataFrame:
+    """Detections larger than 40 square metres, by their own box, per raster."""
+    f = dets(spark, d).withColumn("box_area", q((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")), 100))
+    return B.at_least(f, "box_area", 4000).groupBy("raster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("box_area").alias("area"))
+
+
+sql("detections_min_area", f"with {DETS_SQL}, f as (select raster_id, cast(floor((maxx - minx) * (maxy - miny) * 100 + 0.5e0) as bigint) as a from dets) select raster_id, count(*) as n, cast(sum(a) as bigint) as area from f where a > 4000 group by raster_id")
+
+# ---- spatial joins and patches
+
+CELL_M = 256.0
+
+
+@query
+def spatial_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    """Grid cells that a segment meets, touching included."""
+    return rect_semi_join(grid_cells(spark, d), segs(spark, d), ["cell_id"], CELL_M).select("cell_id", "raster_id")
+
+
+@query
+def spatial_inner_join(spark: SparkSession, d: str) -> DataFrame:
+    """Patches with the segments that meet them."""
+    return rect_join(tiles(spark, d), segs(spark, d), CELL_M).select("patch_id", F.col("r_seg_id").alias("seg_id"))
+
+
+sql("spatial_semi_join", f"with {GRID_SQL}, {SEGS_SQL} select cell_id, raster_id from cells c where exists (select 1 from segs s where s.minx <= c.maxx and s.maxx >= c.minx and s.miny <= c.maxy and s.maxy >= c.miny)")
+sql("spatial_inner_join", f"with {TILES_SQL}, {SEGS_SQL} select patch_id, seg_id from tiles c join segs s on s.minx <= c.maxx and s.maxx >= c.minx and s.miny <= c.maxy and s.maxy >= c.miny")
+
+
+def shown(spark: SparkSession, d: str) -> DataFrame:
+    return P.shown_segments(tiles(spark, d), segs(spark, d), CELL_M)
+
+
+SHOWN_SQL = f"""{TILES_SQL}, {SEGS_SQL}, met as (select t.patch_id, t.filestem, t.res, t.minx, t.miny, t.maxx, t.maxy, s.seg_id, s.arch_type, s.dfm, greatest(t.minx, s.minx) as ix0, least(t.maxx, s.maxx) as ix1, greatest(t.miny, s.miny) as iy0, least(t.maxy, s.maxy) as iy1, (s.maxx - s.minx) * (s.maxy - s.miny) as whole
+  from tiles t join segs s on s.minx <= t.maxx and s.maxx >= t.minx and s.miny <= t.maxy and s.maxy >= t.miny where s.maxx > s.minx and s.maxy > s.miny),
+ shown as (select *, (ix1 - ix0) * (iy1 - iy0) / whole as fraction from met where (ix1 - ix0) * (iy1 - iy0) / whole > 0.33e0),
+ px as (select *, greatest(cast(trunc((ix0 - minx) / res) as bigint), 0) as rx0, least(cast(trunc((ix1 - minx) / res) as bigint), cast(trunc((maxx - minx) / res) as bigint)) as rx1,
+  greatest(cast(trunc((maxy - iy1) / res) as bigint), 0) as ry0, least(cast(trunc((maxy - iy0) / res) as bigint), cast(trunc((maxx - minx) / res) as bigint)) as ry1 from shown),
+ lines as (select *, concat_ws(' ', rx0, ry1, rx1, ry1, rx1, ry0, rx0, ry0, arch_type, coalesce(dfm, 1)) as line from px)"""
+
+
+@query
+def segment_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """Segments of which more than 0.33 lies in a patch, with the fraction in ten-thousandths and the edge flag."""
+    return shown(spark, d).select("patch_id", F.col("r_seg_id").alias("seg_id"), q(F.col("fraction")).alias("fraction"), "edge")
+
+
+@query
+def relative_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """Pixel bounds of the shown segments in their patches."""
+    return P.relative_bounds(shown(spark, d)).select("patch_id", F.col("r_seg_id").alias("seg_id"), "rx0", "ry0", "rx1", "ry1", "corners")
+
+
+@query
+def labeltxt_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Label line of each shown segment."""
+    return P.label_lines(P.relative_bounds(shown(spark, d)), "r_arch_type", "r_dfm").select("patch_id", F.col("r_seg_id").alias("seg_id"), "line")
+
+
+@query
+def labeltxt_by_patch(spark: SparkSession, d: str) -> DataFrame:
+    """Label text of each patch that shows a segment."""
+    return P.label_texts(labeltxt_lines(spark, d), "patch_id", "seg_id")
+
+
+sql("segment_fraction", f"with {SHOWN_SQL} select patch_id, seg_id, cast(floor(fraction * 10000 + 0.5e0) as bigint) as fraction, case when fraction < 1 then 1 else 0 end as edge from shown")
+sql("relative_bounds", f"with {SHOWN_SQL} select patch_id, seg_id, rx0, ry0, rx1, ry1, concat_ws(' ', rx0, ry1, rx1, ry1, rx1, ry0, rx0, ry0) as corners from px")
+sql("labeltxt_lines", f"with {SHOWN_SQL} select patch_id, seg_id, line from lines")
+sql("labeltxt_by_patch", f"with {SHOWN_SQL} select patch_id, string_agg(line, chr(10) order by seg_id, line) as labeltxt from lines group by patch_id")
+
+MASK_RES_M, MASK_SIDE = 4.0, 128
+
+
+def mask_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Shown segments of three classes as boxes from the patch's top left, in metres, with band and quality."""
+    bands = P.class_bands(["barrow", "enclosure", "ringfort"])
+    b = F.when(F.col("r_arch_type") == "barrow", bands["barrow"]).when(F.col("r_arch_type") == "enclosure", bands["enclosure"]).when(F.col("r_arch_type") == "ringfort", bands["ringfort"])
+    s = shown(spark, d).withColumn("band", b).filter("band is not null")
+    return s.select("patch_id", "band", F.col("r_seg_id").alias("seq"), P.default_quality(F.col("r_dfm")).alias("dfm"), F.expr("r_minx - minx").alias("x0"), F.expr("r_maxx - minx").alias("x1"), F.expr("maxy - r_maxy").alias("y0"), F.expr("maxy - r_miny").alias("y1"))
+
+
+@query
+def mask_rasterise(spark: SparkSession, d: str) -> DataFrame:
+    """Segmentation masks of all patches at 4 m a pixel: number and place sums of pixels by band and value."""
+    cells = P.burned(P.touched_cells(mask_boxes(spark, d), MASK_RES_M, MASK_SIDE), "patch_id", "dfm", "seq")
+    return cells.groupBy("patch_id", "band", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("sum_row"), F.sum("col").alias("sum_col"))
+
+
+sql("mask_rasterise", f"""with {SHOWN_SQL}, b as (select patch_id, case arch_type when 'barrow' then 0 when 'enclosure' then 1 when 'ringfort' then 2 end as band, seg_id as seq, coalesce(dfm, 1) as dfm, s.minx - shown.minx as x0, s.maxx - shown.minx as x1, shown.maxy - s.maxy as y0, shown.maxy - s.miny as y1
+  from shown join (select distinct seg_id as sid, arch_type as at, dfm as df, minx, miny, maxx, maxy from segs) s on s.sid = shown.seg_id and s.at is not distinct from shown.arch_type and s.df is not distinct from shown.dfm),
+ i as (select distinct patch_id, band, seq, dfm, greatest(cast(floor(x0 / 4) as bigint), 0) as c0, least(greatest(cast(ceil(x1 / 4) as bigint) - 1, cast(floor(x0 / 4) as bigint)), 127) as c1, greatest(cast(floor(y0 / 4) as bigint), 0) as r0, least(greatest(cast(ceil(y1 / 4) as bigint) - 1, cast(floor(y0 / 4) as bigint)), 127) as r1 from b where band is not null),
+ cells as (select patch_id, band, seq, dfm, row, unnest(range(c0, c1 + 1)) as col from (select *, unnest(range(r0, r1 + 1)) as row from i)),
+ burned as (select patch_id, band, row, col, arg_max(dfm, seq) as v from cells group by all)
+select patch_id, band, v, count(*) as n, cast(sum(row) as bigint) as sum_row, cast(sum(col) as bigint) as sum_col from burned group by patch_id, band, v""")
+
+
+@query
+def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
+    """Exact area and roundness of every segment polygon, in hundredths and ten-thousandths."""
+    s = table(spark, d, "segments_gdf").select("seg_id", "geometry").filter("geometry is not null").distinct()
+    s = s.select("seg_id", Y.area_of("geometry").alias("area"), Y.hull_of("geometry").alias("hull")).filter("area is not null")
+    return s.select("seg_id", q(F.col("area"), 100).alias("area"), q(S.roundness(F.col("area"), F.col("hull"))).alias("roundness"))
+
+
+@query
+def polygon_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """Share of every segment polygon that lies in a patch, above 0.33, by clipping the polygon itself."""
+    s = with_extent(table(spark, d, "segments_gdf").select("seg_id", "geometry")).filter("maxx > minx and maxy > miny").distinct()
+    met = rect_join(tiles(spark, d), s, CELL_M)
+    cut = met.withColumn("a", Y.area_within("r_geometry", *BOUNDS)).withColumn("whole", Y.area_of("r_geometry"))
+    return cut.withColumn("f", F.try_divide("a", "whole")).filter(F.col("f") > P.LEAST_FRACTION).select("patch_id", F.col("r_seg_id").alias("seg_id"), q(F.col("f")).alias("fraction"))
+
+
+# ---- fan-out, names, logs
+
+
+@query
+def label_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """One row per run and label it needs a model for; a custom model has the one label custom."""
+    r = table(spark, d, "run_parameters")
+    own = F.when(F.col("custom_model_pth").isNotNull(), F.array(F.lit("custom"))).otherwise(F.col("labels"))
+    return r.select("run_code", F.explode(own).alias("label")).filter("label is not null")
+
+
+sql("label_fanout", "select run_code, label from (select run_code, unnest(case when custom_model_pth is not null then ['custom'] else labels end) as label from run_parameters) where label is not null")
+
+
+@query
+def label_names(spark: SparkSession, d: str) -> DataFrame:
+    """Labels as the form names them, to their model names."""
+    r = table(spark, d, "run_parameters").select("run_code", F.explode("labels").alias("l"), "save_vis")
+    title = F.when(F.col("l") == "AO", "All archaeology").otherwise(S.capitalised(F.col("l")))
+    return r.select("run_code", title.alias("title"), S.label_name(title, F.coalesce("save_vis", F.lit(False))).alias("label"))
+
+
+sql("label_names", "select run_code, title, case when coalesce(save_vis, false) then case when lower(title) = 'all archaeology' then 'AO' else lower(title) end end as label from (select run_code, save_vis, case when l = 'AO' then 'All archaeology' else upper(l[1]) || lower(l[2:]) end as title from (select run_code, save_vis, unnest(labels) as l from run_parameters))")
+
+
+@query
+def batch_fanout(spark: SparkSession, d: str) -> DataFrame:
+    """Runs a batch of raster files makes: one file alone, several as one mosaic if so wished, else one run each."""
+    from terraframe.plans.pipeline import batch_plan
+
+    r = table(spark, d, "raster").select(F.substring("raster_name", 1, 3).alias("batch"), F.col("raster_name").alias("path"), (F.col("res") < 1).alias("as_mosaic"))
+    return batch_plan(r)
+
+
+sql("batch_fanout", """with r as (select substr(raster_name, 1, 3) as batch, raster_name as path, res < 1 as m from raster), n as (select batch, count(*) as n, bool_and(m) as m from r group by batch)
+select batch, 'mosaic' as kind, 'mosaic:' || batch as input, n as files from n where n > 1 and m union all select r.batch, case when n = 1 then 'single' else 'each' end, path, 1 from r join n using (batch) where n = 1 or not n.m""")
+
+
+@query
+def file_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names of tiles, patches and result folders."""
+    g = G.bounding_grid(table(spark, d, "raster"), 1024).join(table(spark, d, "raster").select("raster_id", "raster_name", "acquired_at"), "raster_id")
+    fs = S.filestem(F.col("minx"), F.col("miny"))
+    return g.select("raster_id", "tile_id", S.relief_tile_name(F.col("minx"), F.col("miny")).alias("relief"), S.clip_tile_name(F.col("tile_id"), F.col("raster_name")).alias("clip"), fs.alias("filestem"),
+                    S.patch_path(fs, F.col("raster_name"), "labelTxt", "txt").alias("label_path"), S.run_folder(F.col("raster_name"), F.col("acquired_at"), F.when(F.col("raster_id") % 2 == 0, "object detection").otherwise("segmentation")).alias("folder"))
+
+
+sql("file_names", f"""with {_grid_sql(False).replace('512', '1024')} select raster_id, tile_id, printf('%d_%d_rvt.tif', cast(round_even(minx, 0) as bigint), cast(round_even(miny, 0) as bigint)) as relief, printf('tile_%06d_%s.tif', tile_id, raster_name) as clip,
+ cast(trunc(minx) as bigint) || '_' || cast(trunc(miny) as bigint) as filestem, 'labelTxt/' || cast(trunc(minx) as bigint) || '_' || cast(trunc(miny) as bigint) || '__' || raster_name || '__labelTxt.txt' as label_path,
+ raster_name || '_' || strftime(acquired_at, '%Y%m%d_%H%M%S') || case when raster_id % 2 = 0 then '_obj' else '_seg' end as folder from g join (select raster_id, raster_name, acquired_at from raster) using (raster_id)""")
+
+
+@query
+def stems(spark: SparkSession, d: str) -> DataFrame:
+    """File stems and names before the first dot of all prediction files."""
+    n = F.element_at(F.split("file_path", "/"), -1)
+    return table(spark, d, "prediction_file").select("file_id", S.stem(F.col("file_path")).alias("stem"), S.before_first_dot(n).alias("name"))
+
+
+sql("stems", r"select file_id, regexp_replace(b, '(.)\.[^.]*$', '\1') as stem, split_part(b, '.', 1) as name from (select file_id, string_split(file_path, '/')[-1] as b from prediction_file)")
+
+
+@query
+def log_units(spark: SparkSession, d: str) -> DataFrame:
+    """Durations and sizes as the log prints them, over all events."""
+    e = table(spark, d, "events").select("event_id", F.abs("value").alias("v"))
+    return e.select("event_id", S.duration_text(F.floor("v") / 2).alias("took"), S.size_text((F.floor("v") * 123_457).cast("double")).alias("size"))
+
+
+sql("log_units", """with e as (select event_id, floor(abs(value)) / 2 as s, floor(abs(value)) * 123457 as b from events)
+select event_id, case when s >= 60 then printf('%.1f min', s / 60) else printf('%.1f sec', s) end as took, case when b >= 1073741824 then printf('%.2f GB', b / 1024e0 / 1024e0 / 1024e0) when b >= 1048576 then printf('%.2f MB', b / 1024e0 / 1024e0) else printf('%.2f kB', b / 1024e0) end as size from e""")
+
+
+@query
+def union_features(spark: SparkSession, d: str) -> DataFrame:
+    """Detection and segmentation features in one relation; what one kind lacks is null."""
+    a = dets(spark, d).select(F.lit("od").alias("kind"), F.col("det_id").alias("id"), "label", "score")
+    b = segs(spark, d).select(F.lit("seg").alias("kind"), F.col("seg_id").alias("id"), F.col("arch_type").alias("label"), "dfm")
+    return a.unionByName(b, allowMissingColumns=True).groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_score"), F.count("dfm").alias("n_dfm"), F.sum("id").alias("sum_id"))
+
+
+sql("union_features", f"""with {DETS_SQL}, {SEGS_SQL}, u as (select 'od' as kind, det_id as id, label, score, null as dfm from dets union all select 'seg', seg_id, arch_type, null, dfm from segs)
+select kind, label, count(*) as n, count(score) as n_score, count(dfm) as n_dfm, cast(sum(id) as bigint) as sum_id from u group by kind, label""")
+
+# ---- dataset filters and measures
+
+
+@query
+def dataset_filters(spark: SparkSession, d: str) -> DataFrame:
+    """Patches kept for ringfort training with quality 1 or 2, without empty patches."""
+    obj = shown(spark, d).select("patch_id", F.col("r_arch_type").alias("label"), P.default_quality(F.col("r_dfm")).alias("dfm"))
+    obj = obj.withColumn("band", F.when(F.col("label") == "barrow", 0).when(F.col("label") == "enclosure", 1).when(F.col("label") == "ringfort", 2))
+    return M.keep_patches(tiles(spark, d), M.select_objects(obj, ["ringfort"], "1,2", 2), "patch_id", False).select("patch_id", "filestem")
+
+
+sql("dataset_filters", f"with {SHOWN_SQL} select patch_id, filestem from tiles where patch_id in (select patch_id from shown where arch_type = 'ringfort' and coalesce(dfm, 1) in (1, 2))")
+
+
+@query
+def spatial_split(spark: SparkSession, d: str) -> DataFrame:
+    """Geographic 60:20:20 split of the patches by blocks of 2 km."""
+    return M.spatial_split(tiles(spark, d), 2000.0).select("patch_id", "split")
+
+
+sql("spatial_split", f"with {TILES_SQL}, k as (select patch_id, (cast(floor(minx / 2000) as bigint) * 7919 + cast(floor(miny / 2000) as bigint) * 104729) % 100 as k from tiles) select patch_id, case when k < 60 then 'train' when k < 80 then 'validation' else 'test' end as split from k")
+
+
+@query
+def pixel_iou(spark: SparkSession, d: str) -> DataFrame:
+    """IoU of the relief mask against the elevation mask, by column block, in millionths."""
+    v = relief(spark, d).select(F.floor(F.col("c") / 16).cast("long").alias("cls"), F.coalesce(F.col("z") >= 0, F.lit(False)).alias("t"), (q(F.col("v"), 1_000_000) >= 500_000).alias("p"))
+    return M.pixel_iou(v, "cls", "t", "p").select("cls", "tp", "fp", "fn", q(F.col("iou"), 1_000_000).alias("iou"))
+
+
+sql("pixel_iou", f"""with {SLRM_SQL}, v as (select c // 16 as cls, coalesce(z >= 0, false) as t, cast(floor(v * 1000000 + 0.5e0) as bigint) >= 500000 as p from vis),
+ n as (select cls, count(*) filter (t and p) as tp, count(*) filter (p and not t) as fp, count(*) filter (t and not p) as fn from v group by cls) select cls, tp, fp, fn, cast(floor(cast(tp as double) / (tp + fp + fn) * 1000000 + 0.5e0) as bigint) as iou from n""")
+
+
+@query
+def box_map(spark: SparkSession, d: str) -> DataFrame:
+    """Average precision of the detections against the segments, per label, in millionths."""
+    pred = dets(spark, d).filter("score is not null and not isnan(score)").select(F.col("det_id").alias("id"), "label", "score", *BOUNDS)
+    truth = segs(spark, d).filter("maxx > minx and maxy > miny").select(F.col("seg_id").alias("id"), F.lower("arch_type").alias("label"), *BOUNDS).distinct()
+    return M.average_precision(pred, truth, 64.0, 0.3).select("label", "predictions", "truths", "hits", q(F.col("ap"), 1_000_000).alias("ap"))
+
+
+sql("box_map", f"""with {DETS_SQL}, {SEGS_SQL}, pr as (select det_id as id, label, score, minx, miny, maxx, maxy from dets where score is not null and not isnan(score)), tr as (select distinct seg_id as id, lower(arch_type) as label, minx, miny, maxx, maxy from segs where maxx > minx and maxy > miny),
+ met as (select p.id, t.id as tid, greatest(0, least(p.maxx, t.maxx) - greatest(p.minx, t.minx)) * greatest(0, least(p.maxy, t.maxy) - greatest(p.miny, t.miny)) as i, (p.maxx - p.minx) * (p.maxy - p.miny) + (t.maxx - t.minx) * (t.maxy - t.miny) as s from pr p join tr t on p.label = t.label and p.minx <= t.maxx and t.minx <= p.maxx and p.miny <= t.maxy and t.miny <= p.maxy),
+ best as (select id, tid from (select id, tid, row_number() over (partition by id order by i / (s - i) desc, tid) as k from met where i / (s - i) >= 0.3e0) where k = 1),
+ h as (select p.*, case when row_number() over (partition by p.label, b.tid order by score desc, p.id) = 1 and b.tid is not null then 1 else 0 end as hit from pr p left join best b using (id)),
+ rk as (select *, row_number() over w as n, sum(hit) over (w rows between unbounded preceding and current row) as k from h window w as (partition by label order by score desc, id))
+select t.label, coalesce(g.n, 0) as predictions, t.n as truths, cast(coalesce(g.hits, 0) as bigint) as hits, cast(floor(coalesce(g.s, 0) / t.n * 1000000 + 0.5e0) as bigint) as ap from (select label, count(*) as n from tr group by label) t left join (select label, count(*) as n, sum(hit) as hits, sum(case when hit = 1 then k / n end) as s from rk group by label) g using (label)""")
