@@ -15,7 +15,7 @@ SPAN = 400  # characters
 # w: reach of a break's neighbourhood; GRAM: characters that rank a break in a text without natural ones
 W, GRAM = 24, 12
 MARGIN = 2 * W + GRAM + 2  # breaks this far inside a shared span are the same in both texts
-CHUNK = 1 << 20  # characters handled at once
+CHUNK = 1 << 18  # characters handled at once
 BROADCAST_IDS = 1_000_000
 
 _M1, _M2 = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03
