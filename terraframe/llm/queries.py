@@ -11,6 +11,7 @@ from terraframe.functions.geometry import with_extent
 from terraframe.llm import crosssplit, grouping, leakage, mixing, pieces, spans
 from terraframe.operators.spatial import rect_join
 from terraframe.plans import stage
+from terraframe.queries import GRID_SQL, ext_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -156,3 +157,29 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     sizes = stage(mixing.sized(table(spark, d, "documents")), "sizes")
     targets = table(spark, d, "mix_target")
     return mixing.actual_shares(mixing.mixture(sizes, targets), sizes, targets)
+
+
+# ---- SQL for the same rows, by plain joins and closures
+
+_OBJ = r"""o as (select patch_id, cast(list_min([f[1], f[3], f[5], f[7]]::double[]) as double) as l, cast(list_min([f[2], f[4], f[6], f[8]]::double[]) as double) as t, cast(list_max([f[1], f[3], f[5], f[7]]::double[]) as double) as r, cast(list_max([f[2], f[4], f[6], f[8]]::double[]) as double) as b, lower(f[9]) as cls, no
+ from (select patch_id, no, regexp_split_to_array(trim(ls[no], chr(32) || chr(9) || chr(13)), '\s+') as f from (select patch_id, ls, unnest(range(1, len(ls) + 1)) as no from (select patch_id, regexp_split_to_array(any_value(labeltxt), '\r?\n') as ls from one_tile where labeltxt is not null group by patch_id))) where len(f) >= 9 and regexp_full_match(array_to_string(f[1:8], ' '), '[-+0-9. eE]+'))"""
+SQL["p2_found"] = f"""with t as (select distinct patch_id, case when lower(trim(split_name)) = 'train' then 't' when lower(trim(split_name)) in ('val', 'validation', 'test') then 'e' end as side, minx, miny, maxx, maxy from (select patch_id, split_name, {ext_sql()} from one_tile) where minx is not null), {_OBJ}, n as (select patch_id, count(*) as n from o group by patch_id),
+ pr as (select a.patch_id as a, b.patch_id as b, (least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) as i, (a.maxx - a.minx) * (a.maxy - a.miny) + (b.maxx - b.minx) * (b.maxy - b.miny) as s from t a join t b on a.side = 'e' and b.side = 't' and a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy),
+ hit as (select pr.a, pr.b, x.no as xa, y.no as yb from pr join o x on x.patch_id = pr.a join o y on y.patch_id = pr.b and x.cls = y.cls and abs(x.l - y.l) <= 8 and abs(x.t - y.t) <= 8 and abs(x.r - y.r) <= 8 and abs(x.b - y.b) <= 8 where pr.i / (pr.s - pr.i) >= 0.8e0),
+ k as (select a, b, count(distinct xa) as na, count(distinct yb) as nb from hit group by a, b)
+select least(a, b) as patch_id_a, greatest(a, b) as patch_id_b from k join n x on x.patch_id = a join n y on y.patch_id = b where na >= x.n * 0.75e0 and nb >= y.n * 0.75e0"""
+_NAME = r"""regexp_extract(lower(trim(regexp_replace(replace(url_decode(replace({p}, '+', '%2B')), '\', '/'), '^.*/', ''))), '^.*?__(.*)__', 1)"""
+SQL["p4_found"] = f"""with recursive t as (select distinct patch_id as id, minx, miny, maxx, maxy, {_NAME.format(p='images_path')} as r1, {_NAME.format(p='labeltxt_path')} as r2 from (select patch_id, images_path, labeltxt_path, {ext_sql()} from one_tile)),
+ names as (select distinct id, unnest([r1, r2]) as r from t), e as (select distinct a.id as a, b.id as b from t a join t b on a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy union select a.id, b.id from names a join names b on a.r = b.r and a.r <> ''),
+ reach(id, other) as (select id, id from t union select reach.id, e.b from reach join e on e.a = reach.other)
+select id as patch_id, min(other) as group_id from reach group by id"""
+SQL["p5_found"] = f"""with recursive t as (select distinct det_id as id, cls, minx, miny, maxx, maxy from (select det_id, lower(trim(label)) as cls, score, {ext_sql()} from object_detection where score > 0.5e0 and not isnan(score) and label is not null) where minx is not null),
+ e as (select a.id as a, b.id as b from t a join t b on a.cls = b.cls and a.id <> b.id and a.minx < b.maxx and b.minx < a.maxx and a.miny < b.maxy and b.miny < a.maxy), reach(id, other) as (select a, a from e union select reach.id, e.b from reach join e on e.a = reach.other)
+select id as det_id, min(other) as group_id from reach group by id"""
+SQL["p6_found"] = f"""with {GRID_SQL}, i as (select 'grid' as item_kind, cell_id as item_id, minx, miny, maxx, maxy, res from cells join raster using (raster_id) union all select 'one_tile', patch_id, minx, miny, maxx, maxy, res from (select patch_id, res, {ext_sql()} from one_tile))
+select distinct item_kind, item_id from i where res > 0 and (round((maxx - minx) / res, 6) > 512 or round((maxy - miny) / res, 6) > 512)"""
+SQL["p9_found"] = """with w as (select doc_id, i - 1 as pos, md5(substr(text, i, 400)) as h from (select doc_id, text, unnest(range(1, length(text) - 398)) as i from documents where length(text) >= 400)),
+ s as (select doc_id, pos from w where h in (select h from w group by h having min(doc_id) < max(doc_id))),
+ g as (select *, case when pos <= lag(pos) over (partition by doc_id order by pos) + 400 then 0 else 1 end as new from s),
+ k as (select *, sum(new) over (partition by doc_id order by pos) as k from g)
+select doc_id, min(pos) as span_start, max(pos) + 400 as span_end from k group by doc_id, k"""
