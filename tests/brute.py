@@ -58,7 +58,7 @@ def near(d, radius=25.0):
 def records(d):
     first = {}
     for r in sorted(rows(d, "prediction_file"), key=lambda r: r["file_id"]):
-        text = (r["content"] or "").removeprefix("﻿")
+        text = (r["content"] or "").removeprefix("\ufeff")
         for n, line in enumerate(re.split("\r?\n", text), 1):
             f = re.split(r"[ \t]+", line.strip(" \t\r"))
             if len(f) == 10 and all(re.fullmatch(NUM, x) for i, x in enumerate(f) if i != 4):
