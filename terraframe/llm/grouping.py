@@ -82,16 +82,17 @@ def assign_splits(groups: DataFrame, id_col: str = "patch_id", group_col: str =
     """
     shares = shares or SPLITS
     spark = groups.sparkSession
-    g = groups.select(F.col(id_col), F.col(group_col)).filter(F.col(group_col).isNotNull())
-    size = g.groupBy(group_col).agg(F.count(F.lit(1)).alias("size"))
-    ranked = stage(size.repartitionByRange(F.col("size").desc(), F.col(group_col)).sortWithinPartitions(F.col("size").desc(), F.col(group_col))
+    g = groups.select(F.col(id_col).alias("member"), F.col(group_col).alias("grp")).filter("grp is not null")
+    named = lambda df: df.select(F.col("member").alias(id_col), F.col("grp").alias(group_col), "split")
+    size = g.groupBy("grp").agg(F.count(F.lit(1)).alias("size"))
+    ranked = stage(size.repartitionByRange(F.col("size").desc(), "grp").sortWithinPartitions(F.col("size").desc(), "grp")
                    .withColumn("part", F.spark_partition_id()).withColumn("seq", F.monotonically_increasing_id()), "sizes")
     runs = ranked.groupBy("size", "part").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first")).collect()
     per_size: dict[int, list] = {}
     for r in sorted(runs, key=lambda r: (r["size"], r["part"])):
         per_size.setdefault(r["size"], []).append(r)
     if not per_size:
-        return g.select(id_col, group_col, F.lit(None).cast("string").alias("split"))
+        return named(g.withColumn("split", F.lit(None).cast("string")))
     plan = []
     for s, name, lo, hi in quotas([(s, sum(r["n"] for r in rs)) for s, rs in per_size.items()], shares):
         at = 0
@@ -101,8 +102,8 @@ def assign_splits(groups: DataFrame, id_col: str = "patch_id", group_col: str =
                 plan.append((r["size"], r["part"], name, r["first"] + a - at, r["first"] + b - at))
             at += r["n"]
     slots = spark.createDataFrame(plan, "size long, part int, split string, lo long, hi long")
-    split = ranked.join(slots, ["size", "part"]).filter("seq >= lo and seq < hi").select(group_col, "split")
-    return g.join(split, group_col).select(id_col, group_col, "split")
+    split = ranked.join(slots, ["size", "part"]).filter("seq >= lo and seq < hi").select("grp", "split")
+    return named(g.join(split, "grp"))
 
 
 def overlapping_detections(dets: DataFrame, least_score: float = 0.5) -> DataFrame:

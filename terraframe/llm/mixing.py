@@ -159,6 +159,6 @@ def actual_shares(mix: DataFrame, sizes: DataFrame, targets: DataFrame) -> DataF
     got = mix.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.countDistinct("doc_id").alias("pages"), F.max("copy_no").alias("most_repeats"))
     got = stage(got, "shares")
     total = got.agg(F.sum("tokens")).first()[0]
-    want = targets.groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
+    want = targets.groupBy(source_key(F.col("source")).alias("source")).agg(F.sum("target_share").alias("target_share"), F.max("max_repeats").alias("max_repeats")).filter("source is not null")
     out = want.join(got, "source", "left").withColumn("total", F.lit(total).cast("long"))
     return out.select("source", "target_share", F.coalesce(F.try_divide("tokens", "total"), F.lit(0.0)).alias("actual_share"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("pages", F.lit(0)).alias("pages"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), "max_repeats")

@@ -14,8 +14,8 @@ LIMIT_PX, OVERLAP_PX, WINDOW_PX = 512, 64, 128
 
 
 def oversized(items: DataFrame, limit: int = LIMIT_PX) -> DataFrame:
-    """Items (kind, id, width, height in px) wider or higher than the limit; null sizes take no part."""
-    return items.filter((F.col("width") > limit) | (F.col("height") > limit))
+    """Items (kind, id, width, height in px) wider or higher than the limit; an item null in either size takes no part."""
+    return items.filter(F.col("width").isNotNull() & F.col("height").isNotNull() & (F.greatest("width", "height") > limit))
 
 
 def cut_axis(items: DataFrame, spans: DataFrame, limit: int, overlap: int, window: int) -> DataFrame:
