@@ -279,3 +279,12 @@ def test_pipelines(spark):
     tp = pipeline.training_patches(queries.table(spark, d, "raster"), queries.segs(spark, d))
     assert tp.count() > 0 and tp.filter("labeltxt = ''").count() == 0
     assert pipeline.training_patches(queries.table(spark, d, "raster"), queries.segs(spark, d).limit(0)).count() == 0
+
+
+def test_stages_are_written_and_cleared(spark):
+    from terraframe import plans
+
+    plans.clear_stages(spark)
+    a = plans.stage(spark.range(10).toDF("k"), "t")
+    assert a.count() == 10 and plans.shared_dir(spark) in a.inputFiles()[0]
+    assert plans.clear_stages(spark) == 1 and plans.clear_stages(spark) == 0
