@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraframe.operators.spatial import rect_join, shared_area
+from terraframe.plans import stage
 
 
 def pixel_iou(pixels: DataFrame, by: str, truth: str, predicted: str) -> DataFrame:
@@ -24,7 +25,7 @@ def average_precision(predictions: DataFrame, truths: DataFrame, cell: float, io
     prediction goes to its best truth (largest intersection over union, at
     least `iou`, ties to the smaller id); of the predictions of one truth the
     best scored is a hit. ap is the sum of the precision at each hit over the
-    number of truths. Only one label's predictions are ranked in a window.
+    number of truths.
     """
     met = rect_join(predictions, truths, cell, on=("label",))
     a = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
@@ -34,8 +35,15 @@ def average_precision(predictions: DataFrame, truths: DataFrame, cell: float, io
     ranked = predictions.select("id", "label", "score").join(best, "id", "left")
     first = ranked.filter("truth is not null").groupBy("label", "truth").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id")).select("id", F.lit(1).alias("hit"))
     ranked = ranked.join(first, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    order = W.partitionBy("label").orderBy(F.desc("score"), "id")
-    ranked = ranked.withColumn("n", F.row_number().over(order)).withColumn("k", F.sum("hit").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    order = [F.col("label"), F.desc("score"), F.col("id")]
+    ranked = stage(ranked.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked")
+    # a label may hold most rows: ranks are positions within a sorted range plus what the ranges before it hold
+    sums = ranked.groupBy("label", "part").agg(F.count(F.lit(1)).alias("pn"), F.sum("hit").alias("pk"))
+    before = W.partitionBy("label").orderBy("part").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    sums = sums.select("label", "part", F.coalesce(F.sum("pn").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("pk").over(before), F.lit(0)).alias("k0"))
+    inside = W.partitionBy("label", "part").orderBy(F.desc("score"), "id")
+    ranked = ranked.withColumn("n", F.row_number().over(inside)).withColumn("k", F.sum("hit").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    ranked = ranked.join(sums, ["label", "part"]).withColumn("n", F.col("n") + F.col("n0")).withColumn("k", F.col("k") + F.col("k0"))
     got = ranked.groupBy("label").agg(F.count(F.lit(1)).alias("predictions"), F.sum("hit").alias("hits"), F.sum(F.when(F.col("hit") == 1, F.col("k") / F.col("n"))).alias("s"))
     all_ = truths.groupBy("label").agg(F.count(F.lit(1)).alias("truths"))
     out = all_.join(got, "label", "left")
