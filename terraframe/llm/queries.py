@@ -183,3 +183,10 @@ SQL["p9_found"] = """with w as (select doc_id, i - 1 as pos, md5(substr(text, i,
  g as (select *, case when pos <= lag(pos) over (partition by doc_id order by pos) + 400 then 0 else 1 end as new from s),
  k as (select *, sum(new) over (partition by doc_id order by pos) as k from g)
 select doc_id, min(pos) as span_start, max(pos) + 400 as span_end from k group by doc_id, k"""
+SQL["p9_shares"] = f"""with sp as ({SQL['p9_found']}), g as (select doc_id, cast(sum(span_end - span_start) as bigint) as s, count(*) as n from sp group by doc_id), d as (select doc_id, length(text) as chars from documents)
+select doc_id, chars, coalesce(s, 0) as shared_chars, coalesce(n, 0) as stretches, case when chars > 0 then coalesce(s, 0) / cast(chars as double) else 0 end as shared from d left join g using (doc_id)"""
+SQL["p5_groups"] = SQL["p5_found"].replace("select id as det_id, min(other) as group_id from reach group by id", """, gr as (select id as det_id, min(other) as group_id from reach group by id),
+ ds as (select distinct det_id, score, lower(trim(label)) as label from object_detection where score is not null and not isnan(score))
+select group_id, count(distinct det_id) as n_detections, max(score) as top_score, arg_max(label, {'s': score, 'd': -det_id}) as top_label, arg_max(det_id, {'s': score, 'd': -det_id}) as top_det_id from gr join ds using (det_id) group by group_id""")
+SQL["p2_report"] = SQL["p2_found"].replace("select least(a, b) as patch_id_a, greatest(a, b) as patch_id_b from k", """, meta as (select distinct patch_id, case lower(trim(split_name)) when 'val' then 'validation' else lower(trim(split_name)) end as split, dataset from one_tile)
+select split, dataset, count(*) as pairs, count(distinct a) as eval_patches, count(distinct b) as train_patches from k join meta on meta.patch_id = a""") + " group by split, dataset"
