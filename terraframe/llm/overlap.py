@@ -79,8 +79,9 @@ def overlap_links(df: DataFrame, id_col: str, key_cols: list[str], hot_cell: int
         d = d.filter(~F.col(f"__n{i}"))
     d = stage(d.select("id", "key", *_BOX).distinct(), "boxes")
     same = ["key", *_BOX]
-    twins = star_links(d, "id", same)
-    d = d.groupBy(*same).agg(F.min("id").alias("id"))
+    kinds = stage(d.groupBy(*same).agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "kinds")
+    twins = star_links(d.join(stage(kinds.filter("n > 1").select(*same), "equal"), same, "left_semi"), "id", same)
+    d = kinds.drop("n")
     d = d.withColumn("lv", (F.ceil(F.log2(F.greatest(F.expr("maxx - minx"), F.expr("maxy - miny"))) / 3) * 3).cast("int"))
     levels = sorted(r.lv for r in d.select("lv").distinct().collect())  # one per power of eight
     d = d.withColumn("lv", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]).cast("array<int>"), lambda v: v >= F.col("lv"))))
