@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraframe.functions.geometry import to_world
+from terraframe.functions.labels import least_roots
 from terraframe.functions.scalars import half_even, is_confident, score_text
 
 BOX = ["minx", "miny", "maxx", "maxy"]
@@ -77,14 +78,7 @@ def parts(boxes: DataFrame, group: str, box_no: str = "box_no") -> DataFrame:
         rank = np.lexsort((no, g))
         place = np.empty(len(p), int)
         place[rank] = np.arange(len(p))
-        root, u, v = np.arange(len(p)), place[a], place[b]
-        while len(u):
-            x, y = root[u], root[v]
-            open_ = x != y
-            u, v, x, y = u[open_], v[open_], x[open_], y[open_]
-            np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
-            while not np.array_equal(up := root[root], root):
-                root = up
+        root = least_roots(len(p), place[a], place[b])
         return p.assign(part=no[rank[root[place]]], reach=reach)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

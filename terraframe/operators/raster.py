@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terraframe.functions.labels import least_roots
 from terraframe.functions.scalars import as_value, stretched
 from terraframe.operators.grid import in_windows
 
@@ -84,22 +85,12 @@ def label_components(r: np.ndarray, c: np.ndarray) -> np.ndarray:
     n = len(r)
     order = np.lexsort((c, r))
     rr, cc = r[order], c[order]
-    lab = np.arange(n)
     across = np.flatnonzero((rr[1:] == rr[:-1]) & (cc[1:] == cc[:-1] + 1))
     width = int(cc.max() - cc.min()) + 2 if n else 1
     flat = (rr - rr.min()) * width + (cc - cc.min()) if n else rr
     down = np.searchsorted(flat, flat + width)
     has = np.flatnonzero((down < n) & (flat[np.minimum(down, n - 1)] == flat + width)) if n else across
-    a, b = np.concatenate([across, has]), np.concatenate([across + 1, down[has]])
-    while len(a):
-        x, y = lab[a], lab[b]
-        live = x != y
-        a, b, x, y = a[live], b[live], x[live], y[live]
-        if not len(a):
-            break
-        np.minimum.at(lab, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(up := lab[lab], lab):
-            lab = up
+    lab = least_roots(n, np.concatenate([across, has]), np.concatenate([across + 1, down[has]]))
     out = np.empty(n, np.int64)
     out[order] = order[lab]
     return out
