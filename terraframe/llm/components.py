@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from terraframe.functions.labels import least_roots
 from terraframe.plans import stage
 
 TASK_EDGES = 500_000  # links that one task may solve alone (about 50 MB)
@@ -17,17 +18,7 @@ TASK_EDGES = 500_000  # links that one task may solve alone (about 50 MB)
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Vertices of the links and, for each, the smallest vertex of its tree."""
     ids, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-    a, b = ends[: len(u)], ends[len(u):]
-    lab = np.arange(len(ids))
-    while True:
-        x, y = lab[a], lab[b]
-        differ = x != y
-        if not differ.any():
-            return ids, ids[lab]
-        a, b, x, y = a[differ], b[differ], x[differ], y[differ]
-        np.minimum.at(lab, np.maximum(x, y), np.minimum(x, y))
-        while not np.array_equal(up := lab[lab], lab):
-            lab = up
+    return ids, ids[least_roots(len(ids), ends[: len(u)], ends[len(u):])]
 
 
 def local_forest(edges: DataFrame) -> DataFrame:
@@ -52,8 +43,8 @@ def local_forest(edges: DataFrame) -> DataFrame:
 
 def clean(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """Links as (u, v) with u < v, each once; nulls and self-links dropped."""
-    e = edges.select(F.least(F.col(u), F.col(v)).cast("long").alias("u"), F.greatest(F.col(u), F.col(v)).cast("long").alias("v"), )
-    return e.filter((F.col("u") < F.col("v"))).distinct()
+    e = edges.select(F.least(F.col(u), F.col(v)).cast("long").alias("u"), F.greatest(F.col(u), F.col(v)).cast("long").alias("v"))
+    return e.filter("u < v").distinct()
 
 
 def contract(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
