@@ -82,6 +82,15 @@ def p3_files(spark: SparkSession, d: str) -> DataFrame:
     return archive.archive_index(prediction_archive(spark, d)).select("file_id", F.col("path").alias("file_path"), F.col("length").alias("stored_bytes"))
 
 
+@query
+def p3_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """How many containers the files make, how many files and bytes they hold, and whether all checksums hold."""
+    blocks = prediction_archive(spark, d)
+    made = blocks.agg(F.count(F.lit(1)).alias("blocks"))
+    held = archive.unpack(blocks).agg(F.count(F.lit(1)).alias("files"), F.sum(F.length("content")).alias("bytes"), F.min("intact").alias("intact"))
+    return held.withColumn("blocks", F.lit(made.first()[0]))
+
+
 SQL["p3_files"] = "select file_id, file_path, cast(octet_length(encode(content)) as bigint) as stored_bytes from prediction_file"
 
 
@@ -153,9 +162,10 @@ def tiles(spark: SparkSession, d: str) -> DataFrame:
     return t.select("patch_id", "filestem", "res", *BOUNDS).distinct()
 
 
-def dets(spark: SparkSession, d: str) -> DataFrame:
-    t = with_extent(table(spark, d, "object_detection").select("det_id", "label", "score", "area", "prediction_path", "raster_id", "geometry")).filter("minx is not null")
-    return t.select("det_id", F.lower(F.trim("label")).alias("label"), "score", "area", "prediction_path", "raster_id", *BOUNDS).distinct()
+def dets(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """det_id, bounds and the wanted columns of each detection once; only those are read."""
+    t = with_extent(table(spark, d, "object_detection").select("det_id", "geometry", *columns)).filter("minx is not null")
+    return t.select("det_id", *[F.lower(F.trim(c)).alias(c) if c == "label" else F.col(c) for c in columns], *BOUNDS).distinct()
 
 
 sql("p1_found", f"""with {GRID_SQL}, pts as (select distinct seg_id, (minx + maxx) / 2 as x, (miny + maxy) / 2 as y from (select seg_id, {ext_sql()} from segments_gdf where dfm is null or dfm in (1, 2)) where minx is not null)
@@ -442,7 +452,7 @@ sql("boxes_to_world", f"with {LINES_SQL} select file_id, line_no, label, " + ",
 @query
 def score_filter(spark: SparkSession, d: str) -> DataFrame:
     """Detections whose written score is above 0.5, per label."""
-    return B.confident(dets(spark, d)).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("det_id").alias("sum_id"))
+    return B.confident(dets(spark, d, "label", "score")).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("det_id").alias("sum_id"))
 
 
 sql("score_filter", f"with {DETS_SQL} select label, count(*) as n, cast(sum(det_id) as bigint) as sum_id from dets where score is not null and not isnan(score) and cast(printf('%.4f', score) as double) > 0.5e0 group by label")
@@ -511,7 +521,7 @@ sql("provenance_path", "select det_id, array_to_string(list_slice(string_split(p
 @query
 def detections_min_area(spark: SparkSession, d: str) -> DataFrame:
     """Detections larger than 40 square metres, by their own box, per raster."""
-    f = dets(spark, d).withColumn("box_area", q((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")), 100))
+    f = dets(spark, d, "raster_id").withColumn("box_area", q((F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny")), 100))
     return B.at_least(f, "box_area", 4000).groupBy("raster_id").agg(F.count(F.lit(1)).alias("n"), F.sum("box_area").alias("area"))
 
 
@@ -698,7 +708,7 @@ select event_id, case when s >= 60 then printf('%.1f min', s / 60) else printf('
 @query
 def union_features(spark: SparkSession, d: str) -> DataFrame:
     """Detection and segmentation features in one relation; what one kind lacks is null."""
-    a = dets(spark, d).select(F.lit("od").alias("kind"), F.col("det_id").alias("id"), "label", "score")
+    a = dets(spark, d, "label", "score").select(F.lit("od").alias("kind"), F.col("det_id").alias("id"), "label", "score")
     b = segs(spark, d).select(F.lit("seg").alias("kind"), F.col("seg_id").alias("id"), F.col("arch_type").alias("label"), "dfm")
     return a.unionByName(b, allowMissingColumns=True).groupBy("kind", "label").agg(F.count(F.lit(1)).alias("n"), F.count("score").alias("n_score"), F.count("dfm").alias("n_dfm"), F.sum("id").alias("sum_id"))
 
@@ -743,7 +753,7 @@ sql("pixel_iou", f"""with {SLRM_SQL}, v as (select c // 16 as cls, coalesce(z >=
 @query
 def box_map(spark: SparkSession, d: str) -> DataFrame:
     """Average precision of the detections against the segments, per label, in millionths."""
-    pred = dets(spark, d).filter("score is not null and not isnan(score)").select(F.col("det_id").alias("id"), "label", "score", *BOUNDS)
+    pred = dets(spark, d, "label", "score").filter("score is not null and not isnan(score)").select(F.col("det_id").alias("id"), "label", "score", *BOUNDS)
     truth = segs(spark, d).filter("maxx > minx and maxy > miny").select(F.col("seg_id").alias("id"), F.lower("arch_type").alias("label"), *BOUNDS).distinct()
     return M.average_precision(pred, truth, 64.0, 0.3).select("label", "predictions", "truths", "hits", q(F.col("ap"), 1_000_000).alias("ap"))
 
