@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraframe.plans import stage
+
 EARTH_RADIUS_M = 6371008.8
 HOT_CELL = 4000  # rows of one cell that one task should meet at most
 
@@ -21,6 +23,7 @@ def _spread(points: DataFrame, probes: DataFrame, cell: list[str], hot: int) ->
         points.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot)
         .select(*cell, F.ceil(F.col("n") / F.lit(hot)).cast("int").alias("salts"))
     )
+    crowd = stage(crowd, "crowd")  # its true size decides how it is joined
     salted = points.join(crowd, cell, "left").withColumn(
         "salt", F.pmod(F.xxhash64("id"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("salts")
     copied = (

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terraframe.functions.geometry import with_extent
 from terraframe.operators import archive, proximity
-from terraframe.plans import shared_dir
+from terraframe.plans import shared_dir, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,7 +46,7 @@ def grid_cells(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     """Segments near each other, and grid cells that hold a segment."""
-    pts = segment_points(spark, d)
+    pts = stage(segment_points(spark, d), "points")  # texts are parsed once
     near = proximity.near_pairs(pts, "seg_id", "x", "y", RADIUS_M)
     held = proximity.points_in_regions(pts, "seg_id", "x", "y", grid_cells(spark, d), "cell_id")
     return near.select(F.lit("near").alias("relation"), "id_a", "id_b").unionByName(
@@ -105,7 +105,6 @@ from terraframe.operators import patches as P  # noqa: E402
 from terraframe.operators import polygon as Y  # noqa: E402
 from terraframe.operators import raster as R  # noqa: E402
 from terraframe.operators.spatial import rect_join, rect_semi_join  # noqa: E402
-from terraframe.plans import stage  # noqa: E402
 
 TILE_PX, WIDTH_PX, RADIUS_PX = 64, 64, 10
 MASK_LEVEL = 1500
