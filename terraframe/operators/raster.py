@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -96,8 +98,8 @@ def label_components(r: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-def components(mask: DataFrame, tile: int, width: int) -> DataFrame:
-    """4-connected parts of set pixels (r, c) within each band of `tile` rows and columns: tr, tc, r, c, part.
+def components(mask: DataFrame, tile: int, width: int, keys: tuple[str, ...] = ()) -> DataFrame:
+    """4-connected parts of set pixels (keys, r, c) within each tile of `tile` rows and columns: keys, tr, tc, r, c, part.
 
     part is the least r * width + c of the part. Parts end at tile borders; a
     tile has at most tile * tile pixels, so a group fits a task by construction.
@@ -107,8 +109,9 @@ def components(mask: DataFrame, tile: int, width: int) -> DataFrame:
         first = label_components(r, c)
         return p.assign(part=r[first] * width + c[first])
 
-    m = mask.select(F.floor(F.col("r") / tile).cast("long").alias("tr"), F.floor(F.col("c") / tile).cast("long").alias("tc"), "r", "c")
-    return m.groupBy("tr", "tc").applyInPandas(one, "tr long, tc long, r long, c long, part long")
+    m = mask.select(*keys, F.floor(F.col("r") / tile).cast("long").alias("tr"), F.floor(F.col("c") / tile).cast("long").alias("tc"), "r", "c")
+    out = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in m.schema if f.name in keys], "tr long, tc long, r long, c long, part long"])
+    return m.groupBy(*keys, "tr", "tc").applyInPandas(one, out)
 
 
 def hull_perimeter(x: np.ndarray, y: np.ndarray) -> float:
@@ -129,29 +132,74 @@ def hull_perimeter(x: np.ndarray, y: np.ndarray) -> float:
     return float(np.hypot(*(ring - np.roll(ring, -1, 0)).T).sum())
 
 
-def features(parts: DataFrame, res: float, with_hull: bool = False) -> DataFrame:
-    """One row per part: tr, tc, part, n_pix, area, bounds in pixels and, on demand, the hull's perimeter in ground units.
+def features(parts: DataFrame, res: float, with_hull: bool = False, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row per part: keys, tr, tc, part, n_pix, area, bounds in pixels and, on demand, the hull's perimeter in ground units.
 
     Without the hull this is a plain aggregation; hulls need the corners of the
     pixels and run grouped by tile.
     """
-    agg = parts.groupBy("tr", "tc", "part").agg(
+    by = [*keys, "tr", "tc", "part"]
+    agg = parts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_pix"), (F.count(F.lit(1)) * F.lit(res * res)).alias("area"),
         F.min("c").alias("c0"), F.min("r").alias("r0"), (F.max("c") + 1).alias("c1"), (F.max("r") + 1).alias("r1"))
     if not with_hull:
         return agg
 
     def hull(p: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for part, q in p.groupby("part"):
-            ends = q.groupby("r")["c"].agg(["min", "max"])  # outer pixels of each row carry the hull
-            r = ends.index.to_numpy()
-            x = np.concatenate([ends["min"]] * 2 + [ends["max"] + 1] * 2)
-            out.append((q["tr"].iloc[0], q["tc"].iloc[0], part, hull_perimeter(x.astype(float), np.tile(np.concatenate([r, r + 1]), 2).astype(float)) * res))
-        return pd.DataFrame(out, columns=["tr", "tc", "part", "hull"])
-
-    hulls = parts.groupBy("tr", "tc").applyInPandas(hull, "tr long, tc long, part long, hull double")
-    return agg.join(hulls, ["tr", "tc", "part"])
+        out = [(*q[by].iloc[0], part_hull(q["r"].to_numpy(), q["c"].to_numpy()) * res) for _, q in p.groupby("part")]
+        return pd.DataFrame(out, columns=[*by, "hull"])
+
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name in keys], "tr long, tc long, part long, hull double"])
+    hulls = parts.groupBy(*keys, "tr", "tc").applyInPandas(hull, schema)
+    return agg.join(hulls, by)
+
+
+def part_hull(r: np.ndarray, c: np.ndarray) -> float:
+    """Perimeter, in pixels, of the hull around the corners of a part's pixels."""
+    rows, at = np.unique(r, return_inverse=True)
+    lo, hi = np.full(len(rows), c.max() + 1), np.full(len(rows), c.min())
+    np.minimum.at(lo, at, c)  # the outer pixels of each row carry the hull
+    np.maximum.at(hi, at, c + 1)
+    return hull_perimeter(np.concatenate([lo, lo, hi, hi]).astype(float), np.tile(np.concatenate([rows, rows + 1]), 2).astype(float))
+
+
+TILE_FEATURES = "path string, label string, tr int, tc int, part long, n_pix long, area double, hull double, c0 long, r0 long, c1 long, r1 long"
+
+
+def relief_tile(values: np.ndarray, radius: int, low: float = -0.5, high: float = 0.5) -> np.ndarray:
+    """Stretched relief of a tile read with a halo of `radius`, the halo cut off; nodata 0."""
+    d = (values - box_mean(values, radius))[radius:values.shape[0] - radius, radius:values.shape[1] - radius]
+    return np.nan_to_num(np.clip((d - low) / (high - low), 0.0, 1.0), nan=0.0)
+
+
+def tile_features(tiles: DataFrame, labels: tuple[str, ...], score: Callable[[np.ndarray, str], np.ndarray], tile: int, res: float, radius: int, least: float = 0.5) -> DataFrame:
+    """Features of raster tiles as `sources.geotiff.read_tiles` reads them with a halo of `radius`, in one pass per tile.
+
+    Relief, score per label, threshold, parts, area and hull are made where the
+    tile was read: nothing is shuffled and no pixel becomes a row. Tiles without
+    a valid pixel are skipped. `score` gives probabilities for a (rows, cols)
+    array and a label; NaN is below every limit. part is row * 2^31 + column of the part's
+    first pixel, in pixels of the raster.
+    """
+    names = [c.split()[0] for c in TILE_FEATURES.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for t in b.itertuples(index=False):
+                a = np.asarray(t.values, np.float64).reshape(t.rows, t.cols, t.bands)[..., 0]
+                if np.isnan(a).all():
+                    continue
+                v, out = relief_tile(a, radius), []
+                for label in labels:
+                    r, c = np.nonzero(score(v, label) >= least)
+                    first = label_components(r, c)
+                    order = np.argsort(first, kind="stable")
+                    for k in np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else []:
+                        y, x = r[k] + t.tr * tile, c[k] + t.tc * tile
+                        out.append((t.path, label, t.tr, t.tc, (int(y[0]) << 31) + int(x[0]), len(k), len(k) * res * res, part_hull(y, x) * res, x.min(), y.min(), x.max() + 1, y.max() + 1))
+                yield pd.DataFrame(out, columns=names)
+
+    return tiles.select("path", "tr", "tc", "rows", "cols", "bands", "values").mapInPandas(run, TILE_FEATURES)
 
 
 def outline(r: np.ndarray, c: np.ndarray) -> list[list[tuple[int, int]]]:

@@ -15,6 +15,7 @@ from terraframe.operators import grid as G
 from terraframe.operators import patches as P
 from terraframe.operators import raster as R
 from terraframe.operators.spatial import rect_semi_join
+from terraframe.sources.geotiff import read_tiles
 
 KINDS = ("segmentation", "object detection")
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
@@ -90,18 +91,26 @@ def segmentation(pixels: DataFrame, params: RunParameters, res: float, width: in
     scorer is a function over Arrow batches; a model is loaded once per worker.
     """
     vis = pixels if params.vis_exist_ok else R.visualised(pixels, int(max(10, -(-10 // res))), scale)
+    if not params.model_labels:
+        raise ValueError("no labels")
     if params.vis_exist_ok:
         vis = vis.withColumn("v", S.unit_clamped(F.col("z")))
     prob = with_labels(vis.select("r", "c", "v"), params.model_labels).mapInPandas(scorer, "r long, c long, label string, prob double")
-    out = None
-    for label in params.model_labels:
-        parts = R.components(R.thresholded(prob.filter(F.col("label") == label), "prob"), tile, width)
-        f = R.features(parts, res, with_hull=True).withColumn("roundness", S.roundness(F.col("area"), F.col("hull")))
-        f = B.at_least(B.at_least(f, "roundness", params.roundness), "area", params.min_area).withColumn("label", F.lit(label))
-        out = f if out is None else out.unionByName(f)
-    if out is None:
-        raise ValueError("no labels")
-    return out
+    keys = ("label",)
+    parts = R.components(R.thresholded(prob, "prob"), tile, width, keys)
+    f = R.features(parts, res, True, keys).withColumn("roundness", S.roundness(F.col("area"), F.col("hull")))
+    return B.at_least(B.at_least(f, "roundness", params.roundness), "area", params.min_area)
+
+
+def segmentation_of_files(rasters: DataFrame, params: RunParameters, res: float, tile: int = 1024, score: Callable = lambda v, label: v) -> DataFrame:
+    """The same straight from raster files of one resolution (path, width, height): one pass per tile, no shuffle.
+
+    `score(values, label)` gives the probabilities of a tile of relief values.
+    """
+    radius = int(max(10, -(-10 // res)))
+    f = R.tile_features(read_tiles(rasters, tile, radius), params.model_labels, score, tile, res, radius)
+    f = f.withColumn("roundness", S.roundness(F.col("area"), F.col("hull")))
+    return B.at_least(B.at_least(f, "roundness", params.roundness), "area", params.min_area)
 
 
 def object_detection(records: DataFrame, params: RunParameters) -> DataFrame:

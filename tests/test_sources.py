@@ -123,3 +123,20 @@ def test_text_files(spark, tmp_path):
     assert spark.table("boxes").count() == 1
     b = spark.createDataFrame([(2.5, 3.5, 4.4, 5.6, 2, 0.25)], "x0 double, y0 double, x1 double, y1 double, k int, score double")
     assert texts.legacy_box_text(b.withColumn("label", texts.legacy_label(b.k))).first().line == "2 4 4 6 barrow 0.25"
+
+
+def test_features_straight_from_files(spark, tmp_path):
+    from terraframe.plans import pipeline
+
+    rng = np.random.default_rng(2)
+    z = np.round(rng.random((90, 75)) * 2, 2).astype(np.float32)
+    z[20:30, 10:40] = -9999
+    (tmp_path / "z.tif").write_bytes(geotiff.encode(z, 1.0, 0.0, 0.0, 2157, -9999.0))
+    rasters = geotiff.scan_metadata(geotiff.list_rasters(spark, str(tmp_path)))
+    p = pipeline.RunParameters(ml_type="segmentation", labels=("AO", "barrow"), roundness=0.2, min_area=3.0)
+    cols = ("label", "n_pix", "area", "c0", "r0", "c1", "r1")
+    px = [(r, c, None if z[r, c] == -9999 else float(z[r, c])) for r in range(90) for c in range(75)]
+    a = pipeline.segmentation(spark.createDataFrame(px, "r long, c long, z double"), p, 1.0, 75, 32)
+    b = pipeline.segmentation_of_files(rasters, p, 1.0, 32)
+    one, two = (sorted((*r[:-1], round(r[-1], 6)) for r in f.select(*cols, "roundness").collect()) for f in (a, b))
+    assert one and one == two
