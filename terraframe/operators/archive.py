@@ -94,6 +94,7 @@ def lookup(blocks: DataFrame, paths: DataFrame) -> DataFrame:
 
 
 BOX_FIELDS = ("x0", "y0", "x1", "y1", "label", "score", "epsg", "res", "x_min", "y_max")
+_RECORD = r"^[ \t]*" + r"[ \t]+".join(r"[^ \t\r]+" if n == "label" else NUMBER for n in BOX_FIELDS) + r"[ \t\r]*$"
 
 
 def box_lines(files: DataFrame, content: str = "content") -> DataFrame:
@@ -108,16 +109,10 @@ def box_lines(files: DataFrame, content: str = "content") -> DataFrame:
     if dict(files.dtypes)[content] == "binary":
         text = F.decode(text, "UTF-8")
     text = F.regexp_replace(text, "^\ufeff", "")
-    lines = files.select("file_id", F.posexplode(F.split(text, "\r?\n")).alias("n", "line"))
+    lines = files.select("file_id", F.posexplode(F.split(text, "\r?\n")).alias("n", "line")).filter(F.col("line").rlike(_RECORD))
     f = F.split(F.regexp_replace("line", r"^[ \t]+|[ \t\r]+$", ""), r"[ \t]+")
-    rec = lines.select("file_id", (F.col("n") + 1).cast("long").alias("line_no"), f.alias("f")).filter(F.size("f") == 10)
-    number = rf"^{NUMBER}$"
-    ok = F.lit(True)
-    for i, name in enumerate(BOX_FIELDS):
-        if name != "label":
-            ok = ok & F.col("f")[i].rlike(number)
-    return rec.filter(ok).select("file_id", "line_no", *[
-        F.col("f")[i].alias(n) if n == "label" else F.col("f")[i].cast("double").alias(n) for i, n in enumerate(BOX_FIELDS)])
+    rec = lines.select("file_id", (F.col("n") + 1).cast("long").alias("line_no"), f.alias("f"))
+    return rec.select("file_id", "line_no", *[F.col("f")[i].alias(n) if n == "label" else F.col("f")[i].cast("double").alias(n) for i, n in enumerate(BOX_FIELDS)])
 
 
 def distinct_boxes(records: DataFrame) -> DataFrame:
