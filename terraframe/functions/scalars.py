@@ -81,9 +81,24 @@ def score_text(score: Column) -> Column:
     return printed(score, 4)
 
 
+def least_written(limit: float, digits: int = 4) -> float:
+    """The smallest number whose text with some decimals reads above the limit."""
+    lo, hi = limit - 10.0**-digits, limit + 2 * 10.0**-digits
+    while math.nextafter(lo, hi) < hi:
+        mid = (lo + hi) / 2
+        if float(f"{mid:.{digits}f}") > limit:
+            hi = mid
+        else:
+            lo = mid
+    return hi
+
+
 def is_confident(score: Column, least: float = 0.5) -> Column:
-    """Strictly above the limit, judged on the written four decimals; NaN and null are not."""
-    return F.coalesce((rounded(score.cast("double"), 4) > F.lit(least)) & ~F.isnan(score), F.lit(False))
+    """Strictly above the limit, judged on the written four decimals; NaN and null are not.
+
+    A plain comparison with the least such number, so it reaches the scan.
+    """
+    return F.coalesce((score >= F.lit(least_written(least))) & ~F.isnan(score), F.lit(False))
 
 
 def path_tail(path: Column, parts: int = 3) -> Column:

@@ -82,6 +82,8 @@ def area_within(geometry: pd.Series, minx: pd.Series, miny: pd.Series, maxx: pd.
         rs = rings(wkt)
         if not rs:
             return None
-        return abs(sum(signed_area(c) for c in (clip(r, box) for r in _oriented(wkt, rs)) if len(c) >= 3))
+        whole = np.concatenate(rs)
+        inside = (whole.min(0) >= box[:2]).all() and (whole.max(0) <= box[2:]).all()
+        return abs(sum(signed_area(c) for c in (r if inside else clip(r, box) for r in _oriented(wkt, rs)) if len(c) >= 3))
 
     return pd.Series([one(*v) for v in zip(geometry, minx, miny, maxx, maxy, strict=True)], dtype=float)

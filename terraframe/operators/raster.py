@@ -146,14 +146,21 @@ def features(parts: DataFrame, res: float, with_hull: bool = False, keys: tuple[
         return agg
 
     def hull(p: pd.DataFrame) -> pd.DataFrame:
-        out = [(*q[by].iloc[0], part_hull(q["r"].to_numpy(), q["c"].to_numpy()) * res) for _, q in p.groupby("part")]
-        return pd.DataFrame(out, columns=[*by, "hull"])
+        r, c, part = (p[n].to_numpy() for n in ("r", "c", "part"))
+        hulls = [(part[k[0]], part_hull(r[k], c[k]) * res) for k in _by_part(part)]
+        return pd.DataFrame(hulls, columns=["part", "hull"]).assign(**{n: p[n].iloc[0] for n in by[:-1]})[[*by, "hull"]]
 
     schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in parts.schema if f.name in keys], "tr long, tc long, part long, hull double"])
     hulls = parts.groupBy(*keys, "tr", "tc").applyInPandas(hull, schema)
     return agg.join(hulls, by)
 
 
+def _by_part(part: np.ndarray) -> list[np.ndarray]:
+    """Positions of each part, in the order given."""
+    order = np.argsort(part, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(part[order])) + 1) if len(order) else []
+
+
 def part_hull(r: np.ndarray, c: np.ndarray) -> float:
     """Perimeter, in pixels, of the hull around the corners of a part's pixels."""
     rows, at = np.unique(r, return_inverse=True)
@@ -193,8 +200,7 @@ def tile_features(tiles: DataFrame, labels: tuple[str, ...], score: Callable[[np
                 for label in labels:
                     r, c = np.nonzero(score(v, label) >= least)
                     first = label_components(r, c)
-                    order = np.argsort(first, kind="stable")
-                    for k in np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else []:
+                    for k in _by_part(first):
                         y, x = r[k] + t.tr * tile, c[k] + t.tc * tile
                         out.append((t.path, label, t.tr, t.tc, (int(y[0]) << 31) + int(x[0]), len(k), len(k) * res * res, part_hull(y, x) * res, x.min(), y.min(), x.max() + 1, y.max() + 1))
                 yield pd.DataFrame(out, columns=names)
@@ -233,10 +239,11 @@ def polygons(parts: DataFrame, x_min: float, y_max: float, res: float) -> DataFr
     """WKT outline of each part in ground coordinates (tr, tc, part, geometry), holes as inner rings."""
     def one(p: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for part, q in p.groupby("part"):
-            rings = outline(q["r"].to_numpy(), q["c"].to_numpy())
+        r, c, part = (p[n].to_numpy() for n in ("r", "c", "part"))
+        for k in _by_part(part):
+            rings = outline(r[k], c[k])
             text = ", ".join("(" + ", ".join(f"{x_min + x * res!r} {y_max - y * res!r}" for x, y in ring) + ")" for ring in rings)
-            out.append((q["tr"].iloc[0], q["tc"].iloc[0], part, f"POLYGON ({text})"))
+            out.append((p["tr"].iloc[0], p["tc"].iloc[0], part[k[0]], f"POLYGON ({text})"))
         return pd.DataFrame(out, columns=["tr", "tc", "part", "geometry"])
 
     return parts.groupBy("tr", "tc").applyInPandas(one, "tr long, tc long, part long, geometry string")
