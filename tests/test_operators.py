@@ -288,3 +288,21 @@ def test_stages_are_written_and_cleared(spark):
     a = plans.stage(spark.range(10).toDF("k"), "t")
     assert a.count() == 10 and plans.shared_dir(spark) in a.inputFiles()[0]
     assert plans.clear_stages(spark) == 1 and plans.clear_stages(spark) == 0
+
+
+def test_least_written_score():
+    for limit in (0.5, 0.25, 0.9, 0.33):
+        least = S.least_written(limit)
+        assert float(f"{least:.4f}") > limit and not float(f"{math.nextafter(least, 0):.4f}") > limit
+
+
+def test_union_area_is_no_more_than_the_sum(spark):
+    rng = np.random.default_rng(12)
+    rows = [(int(i % 7), int(i), 0.9, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(rng.integers(1, 30, (200, 4)))]
+    df = spark.createDataFrame(rows, "file_id long, box_no long, score double, minx double, miny double, maxx double, maxy double")
+    m = boxes.parts(df, "file_id").cache()
+    area = {(r.file_id, r.part): r.area for r in boxes.union_area(m, "file_id").collect()}
+    cover = {}
+    for r in m.collect():
+        cover.setdefault((r.file_id, r.part), set()).update((x, y) for x in range(int(r.minx), int(r.maxx)) for y in range(int(r.miny), int(r.maxy)))
+    assert area == {k: float(len(v)) for k, v in cover.items()}
