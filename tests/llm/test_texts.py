@@ -160,3 +160,18 @@ def test_reports(spark, data):
     assert {r.doc_id: r.n_items for r in queries.p7_report(spark, data).collect()} == {d: sum(x == d for x, _ in found) for d, _ in found}
     kept = {r.doc_id for r in queries.p7_kept(spark, data).collect()}
     assert kept.isdisjoint(d for d, _ in found) and len(kept) == 1000 - len({d for d, _ in found})
+
+
+def test_very_long_texts(spark):
+    rng = np.random.default_rng(21)
+    filler = " ".join(passage(rng, 150_000))
+    shared = " ".join(passage(rng, 90))
+    long = filler + "\n" + shared + "\n" + filler[::-1]
+    small = "start " + shared + " end"
+    df = spark.createDataFrame([(1, long), (2, small), (3, "x" * 600_000)], "doc_id long, text string")
+    n = len(filler)
+    assert got(spans.shared_spans(df)) == {(1, n + 1, n + 1 + len(shared)), (2, 6, 6 + len(shared))}
+    item = passage(rng, 40)
+    page_ = "\n".join(wrap(passage(rng, 90_000) + item + passage(rng, 90_000)))
+    docs = spark.createDataFrame([(1, page_, None)], SCHEMA)
+    assert got(leakage.leaks(docs, [(5, " ".join(item))])) == {(1, 5)}
