@@ -56,9 +56,10 @@ def cross_split_pairs(patches: DataFrame, iou: float = IOU, contained: float = C
     box = ["minx", "miny", "maxx", "maxy"]
     p = p.withColumn("sig", F.sha2(F.concat_ws("|", *box, F.to_json("obj")), 256))
     p = stage(p.select("patch_id", "side", "sig", "obj", *box).dropDuplicates(["patch_id", "side", "sig"]), "patches")
-    kinds = p.drop("patch_id").dropDuplicates(["sig", "side"])
+    kinds = stage(p.groupBy("sig", "side").agg(F.min("patch_id").alias("rep"), F.first("obj").alias("obj"), *[F.first(c).alias(c) for c in box]), "kinds")
+    members = p.select("patch_id", "side", "sig").join(kinds.select("sig", "side", "rep"), ["sig", "side"])
     w, cx, cy = F.expr("maxx - minx"), F.expr("(minx + maxx) / 2"), F.expr("(miny + maxy) / 2")
-    kinds = kinds.select("sig", "side", *box, F.size("obj").alias("n"), w.alias("w"), cx.alias("cx"), cy.alias("cy"), F.posexplode("obj").alias("no", "o"))
+    kinds = kinds.select("rep", "side", *box, F.size("obj").alias("n"), w.alias("w"), cx.alias("cx"), cy.alias("cy"), F.posexplode("obj").alias("no", "o"))
     kinds = kinds.select("*", "o.*").drop("o")
     # equal ground at this iou: widths within 1/iou of each other, centres within (1/iou - 1) of a width
     slack = (1 / iou - 1) * 1.001
@@ -73,15 +74,15 @@ def cross_split_pairs(patches: DataFrame, iou: float = IOU, contained: float = C
     for q, c in (("qx", "l"), ("qy", "t")):
         e = e.withColumn(q, F.explode(F.sequence(F.floor((F.col(c) - tolerance) / TOKEN_PX), F.floor((F.col(c) + tolerance) / TOKEN_PX))))
     word = F.xxhash64("cls", "k", "gx", "gy", "qx", "qy")
-    cols = ["sig", "n", "no", "cls", "l", "t", "r", "b", *box]
+    cols = ["rep", "n", "no", "cls", "l", "t", "r", "b", *box]
     e = e.select(word.alias("word"), *[F.col(c).alias(f"e_{c}") for c in cols])
     t = t.select(word.alias("word"), *[F.col(c).alias(f"t_{c}") for c in cols])
     near = F.expr("e_cls = t_cls and " + " and ".join(f"abs(e_{c} - t_{c}) <= {tolerance}" for c in "ltrb"))
     inter = F.expr("greatest(0D, least(e_maxx, t_maxx) - greatest(e_minx, t_minx)) * greatest(0D, least(e_maxy, t_maxy) - greatest(e_miny, t_miny))")
     both = F.expr("(e_maxx - e_minx) * (e_maxy - e_miny) + (t_maxx - t_minx) * (t_maxy - t_miny)") - inter
     hits = t.join(e, "word").filter(near & (inter / both >= iou))
-    found = hits.groupBy("e_sig", "t_sig", "e_n", "t_n").agg(F.size(F.collect_set("e_no")).alias("e_in"), F.size(F.collect_set("t_no")).alias("t_in"))
-    found = found.filter((F.col("e_in") >= F.col("e_n") * contained) & (F.col("t_in") >= F.col("t_n") * contained)).select("e_sig", "t_sig")
-    ids = lambda s, n: p.filter(F.col("side") == s).select(F.col("sig").alias(f"{s}_sig"), F.col("patch_id").alias(n))
-    out = found.join(ids("e", "eval_id"), "e_sig").join(ids("t", "train_id"), "t_sig")
+    found = hits.groupBy("e_rep", "t_rep", "e_n", "t_n").agg(F.size(F.collect_set("e_no")).alias("e_in"), F.size(F.collect_set("t_no")).alias("t_in"))
+    found = found.filter((F.col("e_in") >= F.col("e_n") * contained) & (F.col("t_in") >= F.col("t_n") * contained)).select("e_rep", "t_rep")
+    ids = lambda s, n: members.filter(F.col("side") == s).select(F.col("rep").alias(f"{s}_rep"), F.col("patch_id").alias(n))
+    out = found.join(ids("e", "eval_id"), "e_rep").join(ids("t", "train_id"), "t_rep")
     return out.filter("eval_id <> train_id").select("eval_id", "train_id").distinct()
