@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -59,11 +61,31 @@ def label_texts(lines: DataFrame, patch: str, order: str) -> DataFrame:
     return lines.select(patch, F.array_join(F.transform("a", lambda v: v["line"]), "\n").alias("labeltxt"))
 
 
-def touched_cells(boxes: DataFrame, res: float, side: int) -> DataFrame:
-    """Each pixel (row, col) of a side * side patch that a box (px, py bounds in patch units from the top left) touches."""
+def _or_column(v: float | int | str) -> Column:
+    return F.col(v) if isinstance(v, str) else F.lit(v)
+
+
+def pixel_size(patches: DataFrame, res: str = "res") -> DataFrame:
+    """Patches that have a resolution, with `n_rows` and `n_cols`: the pixels of their own extent."""
+    px = lambda lo, hi: F.ceil(F.round(F.try_divide(F.col(hi) - F.col(lo), F.col(res)), 6)).cast("long")
+    return patches.filter(F.col(res) > 0).filter(~F.isnan(res)).withColumns({"n_rows": px("miny", "maxy"), "n_cols": px("minx", "maxx")})
+
+
+def touched_ranges(boxes: DataFrame, res: float | str, rows: int | str, cols: int | str | None = None) -> DataFrame:
+    """First and last pixel r0, r1, c0, c1 of a rows * cols patch that a box touches; boxes outside drop out.
+
+    Boxes have x0, x1, y0, y1 in ground units from the patch's top left. res,
+    rows and cols are numbers or names of columns; without cols the patch is square.
+    """
+    res, rows, cols = _or_column(res), _or_column(rows), _or_column(rows if cols is None else cols)
     lo = lambda c: F.greatest(F.floor(F.col(c) / res), F.lit(0)).cast("long")
-    hi = lambda c: F.least(F.greatest(F.ceil(F.col(c) / res) - 1, F.floor(F.col(c.replace("1", "0")) / res)), F.lit(side - 1)).cast("long")
-    b = boxes.withColumns({"c0": lo("x0"), "c1": hi("x1"), "r0": lo("y0"), "r1": hi("y1")}).filter("c0 <= c1 and r0 <= r1")
+    hi = lambda c, n: F.least(F.greatest(F.ceil(F.col(c) / res) - 1, F.floor(F.col(c.replace("1", "0")) / res)), n - 1).cast("long")
+    return boxes.withColumns({"c0": lo("x0"), "c1": hi("x1", cols), "r0": lo("y0"), "r1": hi("y1", rows)}).filter("c0 <= c1 and r0 <= r1")
+
+
+def touched_cells(boxes: DataFrame, res: float | str, rows: int | str, cols: int | str | None = None) -> DataFrame:
+    """Each pixel (row, col) of `touched_ranges`."""
+    b = touched_ranges(boxes, res, rows, cols)
     return b.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).drop("c0", "c1", "r0", "r1")
 
 
@@ -72,22 +94,55 @@ def burned(cells: DataFrame, patch: str, value: str, order: str) -> DataFrame:
     return cells.groupBy(patch, "band", "row", "col").agg(F.max_by(value, order).cast("int").alias("v"))
 
 
-def burn_masks(boxes: DataFrame, patch: str, value: str, order: str, res: float, side: int) -> DataFrame:
-    """The same as arrays: patch and three bands of side * side bytes, background 0, band = class position.
+def _ranges(boxes: DataFrame, patch: str, value: str, order: str, res: float | str, rows: int | str, cols: int | str | None) -> DataFrame:
+    n = {"n_rows": _or_column(rows), "n_cols": _or_column(rows if cols is None else cols)}
+    return touched_ranges(boxes, res, rows, cols).select(
+        F.col(patch).cast("long").alias("p"), F.col("band").cast("int").alias("band"), F.col(value).cast("int").alias("v"), F.col(order).alias("o"), "r0", "r1", "c0", "c1", *[c.cast("long").alias(k) for k, c in n.items()])
+
+
+def burn_masks(boxes: DataFrame, patch: str, value: str, order: str, res: float | str, rows: int | str, cols: int | str | None = None) -> DataFrame:
+    """The same as arrays: patch and three bands of rows * cols bytes, background 0, band = class position.
 
     Painting in order in one array per patch: no pixel is shuffled. A patch's
-    boxes are few; a patch is one group.
+    boxes are few; a patch is one group. Patches that no box touches have no row.
     """
     def paint(p: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((MAX_CLASSES, side, side), np.uint8)
-        for b in p.sort_values("o").itertuples(index=False):
-            c0, c1 = max(int(np.floor(b.x0 / res)), 0), min(max(int(np.ceil(b.x1 / res)) - 1, int(np.floor(b.x0 / res))), side - 1)
-            r0, r1 = max(int(np.floor(b.y0 / res)), 0), min(max(int(np.ceil(b.y1 / res)) - 1, int(np.floor(b.y0 / res))), side - 1)
-            m[b.band, r0:r1 + 1, c0:c1 + 1] = b.v
+        m = np.zeros((MAX_CLASSES, p["n_rows"].iloc[0], p["n_cols"].iloc[0]), np.uint8)
+        for b in p.sort_values(["o", "v"]).itertuples(index=False):
+            m[b.band, b.r0:b.r1 + 1, b.c0:b.c1 + 1] = b.v
         return pd.DataFrame({"p": [p["p"].iloc[0]], "mask": [m.tobytes()]})
 
-    rows = boxes.select(F.col(patch).cast("long").alias("p"), "band", F.col(value).cast("int").alias("v"), F.col(order).alias("o"), "x0", "y0", "x1", "y1")
-    return rows.groupBy("p").applyInPandas(paint, "p long, mask binary").withColumnRenamed("p", patch)
+    boxes = _ranges(boxes, patch, value, order, res, rows, cols)
+    return boxes.groupBy("p").applyInPandas(paint, "p long, mask binary").withColumnRenamed("p", patch)
+
+
+def mask_sums(boxes: DataFrame, patch: str, value: str, order: str, res: float | str, rows: int | str, cols: int | str | None = None) -> DataFrame:
+    """Number and place sums of the mask pixels by patch, band and value v, where the last segment in `order` wins.
+
+    The boxes of a patch and band are painted on the grid of their own edges,
+    whose cells count with their pixels: no pixel becomes a row.
+    """
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for p, band, flat in batch.itertuples(index=False):
+                a = np.asarray(flat, np.int64).reshape(-1, 5)
+                ys, xs, values = np.unique(a[:, 1:3]), np.unique(a[:, 3:]), np.unique(a[:, 0])
+                m = np.full((len(ys) - 1, len(xs) - 1), -1)
+                for v, r0, r1, c0, c1 in np.column_stack([np.searchsorted(values, a[:, 0]), np.searchsorted(ys, a[:, 1:3]), np.searchsorted(xs, a[:, 3:])]).tolist():
+                    m[r0:r1, c0:c1] = v
+                h, w = np.diff(ys), np.diff(xs)
+                rows, cols = (ys[:-1] + ys[1:] - 1) * h // 2, (xs[:-1] + xs[1:] - 1) * w // 2  # sums of the places within each cell
+                for k, v in enumerate(values.tolist()):
+                    hit = (m == k).astype(np.int64)
+                    if n := int(h @ hit @ w):
+                        out.append((p, band, v, n, int(rows @ hit @ w), int(h @ hit @ cols)))
+            yield pd.DataFrame(out, columns=["p", "band", "v", "n", "sum_row", "sum_col"])
+
+    boxes = _ranges(boxes, patch, value, order, res, rows, cols)
+    held = F.array_sort(F.collect_list(F.struct("o", "v", "r0", "r1", "c0", "c1")))
+    flat = F.flatten(F.transform(held, lambda b: F.array(b["v"].cast("long"), b["r0"], b["r1"] + 1, b["c0"], b["c1"] + 1)))
+    return boxes.groupBy("p", "band").agg(flat.alias("flat")).mapInPandas(sums, "p long, band int, v int, n long, sum_row long, sum_col long").withColumnRenamed("p", patch)
 
 
 def class_bands(classes: list[str]) -> dict[str, int]:

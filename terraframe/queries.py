@@ -601,7 +601,7 @@ def mask_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def mask_rasterise(spark: SparkSession, d: str) -> DataFrame:
-    """Segmentation masks of all patches at 4 m a pixel: number and place sums of pixels by band and value."""
+    """Overview of the masks at 4 m a pixel over the first 512 m of each patch (the whole masks: mask_rasterise_px): number and place sums of pixels by band and value."""
     cells = P.burned(P.touched_cells(mask_boxes(spark, d), MASK_RES_M, MASK_SIDE), "patch_id", "dfm", "seq")
     return cells.groupBy("patch_id", "band", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("sum_row"), F.sum("col").alias("sum_col"))
 
@@ -614,6 +614,13 @@ sql("mask_rasterise", f"""with {SHOWN_SQL}, b as (select patch_id, case arch_typ
 select patch_id, band, v, count(*) as n, cast(sum(row) as bigint) as sum_row, cast(sum(col) as bigint) as sum_col from burned group by patch_id, band, v""")
 
 
+@query
+def mask_rasterise_px(spark: SparkSession, d: str) -> DataFrame:
+    """The masks of all patches in the patches' own pixels: each at its res, rows and columns from its extent."""
+    size = P.pixel_size(tiles(spark, d)).select("patch_id", "res", "n_rows", "n_cols")
+    return P.mask_sums(mask_boxes(spark, d).join(size, "patch_id"), "patch_id", "dfm", "seq", "res", "n_rows", "n_cols")
+
+
 @query
 def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
     """Exact area and roundness of every segment polygon, in hundredths and ten-thousandths."""

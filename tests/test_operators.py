@@ -235,6 +235,35 @@ def test_masks_two_ways(spark):
         patches.class_bands(["a", "b", "c", "d"])
 
 
+def test_masks_in_the_patches_own_pixels(spark):
+    # patch 1: 600 m wide, 100 m high at 0.5 m; patch 2: 40 m at 0.25 m; seq 2 lies beyond 512 m, seq 4 overlaps seq 3 and wins
+    b = [(1, 0, 1, 2, 10.2, 11.6, 1.0, 2.0, 0.5, 200, 1200), (1, 0, 2, 3, 590.0, 605.0, 95.0, 99.0, 0.5, 200, 1200), (2, 1, 3, 1, -3.0, 1.0, 0.0, 1.0, 0.25, 160, 160), (2, 1, 4, 4, 0.5, 0.6, 0.0, 0.1, 0.25, 160, 160)]
+    df = spark.createDataFrame(b, "patch_id long, band int, seq long, dfm int, x0 double, x1 double, y0 double, y1 double, res double, h long, w long")
+    want = {(1, 0, 2, 2, 3, 4): 2 * 4, (1, 0, 3, 190, 197, 1180, 1199): 8 * 20, (2, 1, 1, 0, 3, 0, 3): 15, (2, 1, 4, 0, 0, 2, 2): 1}
+    cells = patches.burned(patches.touched_cells(df, "res", "h", "w"), "patch_id", "dfm", "seq")
+    sums = ["patch_id", "band", "v", "n", "sum_row", "sum_col"]
+    by_cell = got(cells.groupBy("patch_id", "band", "v").agg(F.count("v").alias("n"), F.sum("row").alias("sum_row"), F.sum("col").alias("sum_col")).select(sums))
+    assert got(patches.mask_sums(df, "patch_id", "dfm", "seq", "res", "h", "w").select(sums)) == by_cell
+    assert {(r[0], r[1], r[2]): r[3] for r in by_cell} == {(k[0], k[1], k[2]): n for k, n in want.items()}
+    dense = {r.patch_id: np.frombuffer(bytes(r.mask), np.uint8).reshape(3, *((200, 1200) if r.patch_id == 1 else (160, 160))) for r in patches.burn_masks(df, "patch_id", "dfm", "seq", "res", "h", "w").collect()}
+    assert got(cells) == {(p, int(k), int(i), int(j), int(m[k, i, j])) for p, m in dense.items() for k, i, j in zip(*np.nonzero(m), strict=True)}
+
+
+def test_masks_query_against_numpy(spark):
+    from terraframe import queries
+
+    d = "/root/testdata/sf0.001"
+    size = {r.patch_id: (r.res, math.ceil(round((r.maxy - r.miny) / r.res, 6)), math.ceil(round((r.maxx - r.minx) / r.res, 6))) for r in queries.tiles(spark, d).collect()}
+    masks = {}
+    for b in sorted(queries.mask_boxes(spark, d).collect(), key=lambda b: b.seq):
+        res, h, w = size[b.patch_id]
+        m = masks.setdefault((b.patch_id, b.band), np.zeros((h, w), int))
+        r0, c0 = math.floor(b.y0 / res), math.floor(b.x0 / res)
+        m[max(r0, 0):max(math.ceil(b.y1 / res), r0 + 1), max(c0, 0):max(math.ceil(b.x1 / res), c0 + 1)] = b.dfm
+    want = {(*k, int(v), int((m == v).sum()), int(np.nonzero(m == v)[0].sum()), int(np.nonzero(m == v)[1].sum())) for k, m in masks.items() for v in np.unique(m[m > 0])}
+    assert got(queries.mask_rasterise_px(spark, d).select("patch_id", "band", "v", "n", "sum_row", "sum_col")) == want
+
+
 def test_fraction_is_strict(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0, 1.0)], "patch_id long, minx double, miny double, maxx double, maxy double, res double")
     s = spark.createDataFrame([(1, "a", None, -67.0, 0.0, 33.0, 10.0), (2, "b", 2, -66.0, 0.0, 34.0, 10.0), (3, "c", 3, 100.0, 100.0, 110.0, 110.0)], "seg_id long, arch_type string, dfm int, minx double, miny double, maxx double, maxy double")
