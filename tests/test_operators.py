@@ -119,6 +119,18 @@ def test_archive_round_trip(spark):
     assert archive.unpack(archive.pack(df.limit(0), path="file_path")).count() == 0
 
 
+def test_archive_of_many_tiny_partitions(spark, tmp_path):
+    df = spark.range(0, 2000, 1, 200).selectExpr("id as file_id", "concat('f', id) as path", "if(id % 7 = 0, null, rpad(cast(id as string), 50, 'x')) as content").cache()
+    total = df.selectExpr("sum(length(content))").first()[0]
+    blocks = archive.write_archive(df, str(tmp_path / "a"), block_bytes=10_000).cache()
+    sizes = [r[0] for r in blocks.selectExpr("length(payload)").collect()]
+    assert math.ceil(total / 10_000) <= len(sizes) <= math.ceil(total / 9_000) + 1 and max(sizes) <= 10_000
+    assert len(list((tmp_path / "a").glob("*.parquet"))) <= len(sizes) + 1  # Spark may add one without rows
+    back = archive.unpack(blocks)
+    assert got(back.selectExpr("file_id", "path", "cast(content as string)", "intact")) == got(df.selectExpr("file_id", "path", "content", "true")) and back.count() == 2000
+    assert blocks.select("block_id").distinct().count() == len(sizes)
+
+
 def test_box_lines(spark):
     ok = "1 2 3 4 AO 0.5 2157 0.5 6.0 7"
     texts = [None, "", "\ufeff" + ok + "\r\n\r\n" + ok.replace(" ", "\t"), " " + ok + "  \n" + ok + " 9\n" + ok.replace("0.5", "n/a", 1), "x0 y0 x1 y1 label score epsg res x_min y_max\n1e0 2.0 3 4 ao .5 2157 5e-1 6 7.00"]
