@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraframe.functions.geometry import with_extent
@@ -240,7 +241,7 @@ sql("valid_mask_tiles", f"with {HOLED} select r // 16 as tr, c // 16 as tc, coun
 
 @query
 def nodata_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Valid pixels under the nodata value of their raster (null, NaN or a number); rows of pixels go round the first three rasters."""
+    """Valid pixels under the nodata value of their raster (null, NaN or a number); rows of pixels go round the first three rasters (all rasters: nodata_kinds_all)."""
     nod = table(spark, d, "raster").select("raster_id", "nodata")
     z = F.when(F.expr("(r * 7 + c * 13) % 11 = 0"), F.lit(0.0)).when(F.expr("(r + c) % 7 = 0"), F.lit(-9999.0)).otherwise(F.col("z").cast("double"))
     p = pixels(spark, d).select((F.col("r") % 3 + 1).alias("raster_id"), z.alias("z")).join(nod, "raster_id")
@@ -251,6 +252,24 @@ sql("nodata_kinds", f"""with {PIX}, p as (select r % 3 + 1 as raster_id, case wh
 select raster_id, count(*) as n_valid from p join raster using (raster_id) where nodata is null or isnan(nodata) or z <> nodata group by raster_id""")
 
 
+LOWEST = -3.4028234663852886e38  # of a 32-bit float, a common nodata value
+
+
+@query
+def nodata_kinds_all(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels and valid pixels of every raster under its own nodata value (null, NaN or a number); rows of pixels go round all rasters."""
+    nod = table(spark, d, "raster").select("raster_id", "nodata", (F.row_number().over(W.orderBy("raster_id")) - 1).cast("long").alias("k"))
+    z = F.when(F.expr("(r * 7 + c * 13) % 11 = 0"), F.lit(0.0)).when(F.expr("(r + c) % 7 = 0"), F.lit(-9999.0)).when(F.expr("(r + 2 * c) % 5 = 0"), F.lit(LOWEST)).otherwise(F.col("z").cast("double"))
+    p = pixels(spark, d).crossJoin(F.broadcast(nod.agg(F.count(F.lit(1)).alias("n")))).select((F.col("r") % F.col("n")).alias("k"), z.alias("z"))
+    valid = R.valid_pixels(p.join(nod, "k"), "nodata").groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_valid"))
+    whole = p.groupBy("k").agg(F.count(F.lit(1)).alias("n_pix")).join(nod, "k").select("raster_id", "n_pix")
+    return whole.join(valid, "raster_id", "left").select("raster_id", "n_pix", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
+
+
+sql("nodata_kinds_all", f"""with {PIX}, k as (select raster_id, nodata, row_number() over (order by raster_id) - 1 as k from raster), p as (select r % (select count(*) from raster) as k, case when (r * 7 + c * 13) % 11 = 0 then 0 when (r + c) % 7 = 0 then -9999 when (r + 2 * c) % 5 = 0 then {LOWEST!r} else z end as z from pixels)
+select raster_id, count(*) as n_pix, count(*) filter (nodata is null or isnan(nodata) or z <> nodata) as n_valid from p join k using (k) group by raster_id""")
+
+
 @query
 def outline_filter(spark: SparkSession, d: str) -> DataFrame:
     """Tiles of 8 px that meet ground above the mask level, touching included."""

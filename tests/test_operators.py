@@ -46,6 +46,16 @@ def test_nodata_kinds(spark):
     assert [r[0] for r in df.select(S.unit_clamped(F.col("z"), F.col("nodata"))).collect()] == [1.0, 1.0, 0.0, 0.0, 0.0, 1.0]
 
 
+def test_nodata_of_every_raster(spark, data):
+    from terraframe import queries
+
+    kinds = {r.raster_id: r.nodata for r in spark.read.parquet(f"{data}/raster.parquet").collect()}
+    out = {r.raster_id: (r.n_pix, r.n_valid) for r in queries.nodata_kinds_all(spark, data).collect()}
+    assert set(out) == set(kinds) and sum(n for n, _ in out.values()) == queries.pixels(spark, data).count()
+    for k, v in kinds.items():
+        assert (out[k][0] == out[k][1]) == (v is None or math.isnan(v))  # each number takes pixels away
+
+
 # ---- proximity
 
 
