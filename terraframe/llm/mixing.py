@@ -117,7 +117,7 @@ def plan(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None
     return out
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42) -> DataFrame:
+def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 42, shuffled: bool = True) -> DataFrame:
     """(doc_id, source, n_tokens, copy_no, position): each page as often as its Poisson count says, in a global random order.
 
     The count of a page is a Poisson count, cut at the source's max_repeats,
@@ -126,8 +126,9 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
     shares close for small sources, the numbers are spread evenly: pages of a
     source are ranked by their hash (in 4,096 hash buckets, so no sort holds a
     source) and page number r of n gets (r + 1/2) / n. The same input and seed
-    give the same mixture. `position` is the random key of the global order: a
-    sorted write by it shuffles the mixture.
+    give the same mixture. `position` is the random key of the global order:
+    rows come out range-partitioned and sorted by it, unless `shuffled` is false
+    (for sums, which need no order).
 
     Pages of null or unknown sources, and pages without tokens, are not used.
     Targets that name a source twice are added up. No targets: no rows.
@@ -145,7 +146,9 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
     d = d.join(n, ["source", "bucket"]).withColumn("u", u)
     d = d.withColumn("uses", F.size(F.filter("cdf", lambda c: F.col("u") > c)))
     d = d.filter("uses > 0").withColumn("copy_no", F.explode(F.expr("sequence(1, uses)")))
-    return d.select("doc_id", "source", "n_tokens", "copy_no", F.xxhash64("doc_id", "copy_no", F.lit(seed + 1)).alias("position"))
+    d = d.select("doc_id", "source", "n_tokens", "copy_no", F.xxhash64("doc_id", "copy_no", F.lit(seed + 1)).alias("position"))
+    order = ("position", "doc_id", "copy_no")
+    return d.repartitionByRange(*order).sortWithinPartitions(*order) if shuffled else d
 
 
 def _by(*cols: str):

@@ -156,7 +156,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """Target and actual shares of the sources in the mixture."""
     sizes = stage(mixing.sized(table(spark, d, "documents")), "sizes")
     targets = table(spark, d, "mix_target")
-    return mixing.actual_shares(mixing.mixture(sizes, targets), sizes, targets)
+    return mixing.actual_shares(mixing.mixture(sizes, targets, shuffled=False), sizes, targets)
 
 
 # ---- SQL for the same rows, by plain joins and closures

@@ -151,3 +151,12 @@ def test_tokens(spark):
     df = spark.createDataFrame([(x,) for x in texts], "t string")
     want = [0 if x is None else len(t.encode(x, add_special_tokens=False).ids) for x in texts]
     assert [r[0] for r in df.select(mixing.count_tokens(F.col("t"))).collect()] == want
+
+
+def test_mixture_comes_out_shuffled(spark):
+    sizes = spark.range(3000).selectExpr("id as doc_id", "'a' as source", "10 as n_tokens")
+    mix = mixing.mixture(sizes, spark.createDataFrame([("a", 1.0, 3)], "source string, target_share double, max_repeats int"))
+    rows = mix.collect()
+    at = [r.position for r in rows]
+    assert at == sorted(at) and len({(r.doc_id, r.copy_no) for r in rows}) == len(rows) > 3000
+    assert sum(a.doc_id == b.doc_id for a, b in zip(rows, rows[1:], strict=False)) < 30  # copies of a page don't stand together
