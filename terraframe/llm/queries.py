@@ -121,6 +121,12 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("shared", F.coalesce(F.try_divide(F.col("shared_chars"), F.col("chars")), F.lit(0.0)))
 
 
+@query
+def p9_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without the sentences that stand in an earlier page's stretch too."""
+    return spans.without_repeats(table(spark, d, "documents"))
+
+
 def passages(spark: SparkSession, d: str) -> list[tuple[int, str]]:
     """The held-out passages: a fixed query set, not the corpus."""
     return [(r.item_id, r.passage) for r in table(spark, d, "eval_item").select("item_id", "passage").collect()]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -166,7 +167,7 @@ def _few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
-def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
+def shared_spans(docs: DataFrame, span: int = SPAN, later_only: bool = False) -> DataFrame:
     """(doc_id, span_start, span_end) of each longest unbroken stretch of shared characters.
 
     A character is shared if it lies in a stretch of at least `span` characters,
@@ -183,6 +184,7 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     Null ids and texts and texts under `span` characters take no part; repeated
     rows of one doc_id count once. Empty input: no rows. `span` must be 272 or more.
+    With `later_only`, a stretch counts only where a text of a lesser doc_id has it.
     """
     if run_length(span) < 48:
         raise ValueError("span is too short for runs of units")
@@ -198,8 +200,12 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     marked = stage(again.groupBy("doc_id").agg(F.collect_set("at").alias("repeated")), "marked")
     texts = docs.join(_few(marked.select("doc_id")), "doc_id", "left_semi").join(marked, "doc_id")
     rows = stage(windows(texts, span), "windows")
-    both = rows.groupBy("h", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h", "h2")
-    hits = rows.join(both, ["h", "h2"], "left_semi").select("doc_id", "at").join(_few(copies.select("doc_id")), "doc_id", "left_anti")
+    both = rows.groupBy("h", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h", "h2", *["a"] * later_only)
+    if later_only:
+        hits = rows.join(both.withColumnRenamed("a", "first"), ["h", "h2"]).filter("doc_id > first").select("doc_id", "at")
+        copies = copies.filter("doc_id <> rep")
+    else:
+        hits = rows.join(both, ["h", "h2"], "left_semi").select("doc_id", "at").join(_few(copies.select("doc_id")), "doc_id", "left_anti")
     near = hits.repartition("doc_id").sortWithinPartitions("doc_id", "at")
 
     def islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,3 +229,31 @@ def shared_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     found = near.mapInPandas(islands, "doc_id bigint, span_start bigint, span_end bigint")
     return found.unionByName(copies.select("doc_id", F.lit(0).cast("long").alias("span_start"), F.col("n").cast("long").alias("span_end")))
+
+
+_SENTENCE = re.compile(r"\S.*?(?:[.!?]+(?=\s|\Z)|\Z)\s*", re.DOTALL)
+
+
+def without_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """(doc_id, text, removed_chars): the texts without the sentences that a repeated stretch covers wholly, but for its first text.
+
+    The first text of a stretch is that of the least doc_id; it keeps it. A
+    sentence ends with a full stop, question or exclamation mark before a blank
+    or the end of the text. Each distinct row of docs gives a row, also an emptied one.
+    """
+    later = shared_spans(docs, span, later_only=True).groupBy("doc_id").agg(F.collect_list(F.struct("span_start", "span_end")).alias("cut"))
+    later = later.select("doc_id", F.flatten(F.transform("cut", lambda c: F.array(c["span_start"], c["span_end"]))).alias("cut"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            kept = []
+            for text, cut in zip(b["text"], b["cut"], strict=True):
+                if text is not None and cut is not None:
+                    pairs = np.asarray(cut).reshape(-1, 2).tolist()
+                    text = _SENTENCE.sub(lambda m: "" if any(lo <= m.start() and m.start() + len(m[0].rstrip()) <= hi for lo, hi in pairs) else m[0], text)
+                kept.append(text)
+            gone = [0 if k is None else len(t) - len(k) for t, k in zip(b["text"], kept, strict=True)]
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "text": kept, "removed_chars": gone})
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").distinct().join(later, "doc_id", "left")
+    return rows.mapInPandas(run, "doc_id bigint, text string, removed_chars bigint")

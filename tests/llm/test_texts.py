@@ -175,3 +175,13 @@ def test_very_long_texts(spark):
     page_ = "\n".join(wrap(passage(rng, 90_000) + item + passage(rng, 90_000)))
     docs = spark.createDataFrame([(1, page_, None)], SCHEMA)
     assert got(leakage.leaks(docs, [(5, " ".join(item))])) == {(1, 5)}
+
+
+def test_repeated_sentences_are_removed_but_once(spark):
+    both = " ".join(f"Shared sentence number {i} of the notice reads so." for i in range(12))
+    own = {k: " ".join(f"Text {k} says thing {i * k} by itself here." for i in range(20)) for k in (1, 2, 3)}
+    texts = {1: f"{own[1]} {both} End one.", 2: f"{own[2]} {both} End two.", 3: f"Zz. {both} {own[3]}", 4: f"{own[1]} {both} End one.", 5: "short", 6: None}
+    out = {r.doc_id: (r.text, r.removed_chars) for r in spans.without_repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert out[1] == (texts[1], 0) and out[5] == ("short", 0) and out[6] == (None, 0)  # the first keeps all
+    assert out[2] == (f"{own[2]} End two.", len(both) + 1) and out[3] == (f"Zz. {own[3]}", len(both) + 1)
+    assert out[4] == ("", len(texts[4]))  # a whole copy
