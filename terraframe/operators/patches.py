@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terraframe.functions.geometry import BOUNDS
 from terraframe.functions.scalars import truncated
-from terraframe.operators.spatial import rect_join, shared_area
+from terraframe.operators.polygon import edges, touched, with_clip
+from terraframe.operators.spatial import rect_join
 
 LEAST_FRACTION = 0.33
 MAX_CLASSES = 3
@@ -21,33 +23,33 @@ def default_quality(dfm: Column) -> Column:
 
 
 def shown_segments(patches: DataFrame, segments: DataFrame, cell: float, least: float = LEAST_FRACTION) -> DataFrame:
-    """(patch, segment) rows where more than `least` of the segment's box lies in the patch: strictly more.
-
-    Both have minx, miny, maxx, maxy; segments' columns come with the prefix
-    r_, `fraction` and `edge` (1 if the segment is cut) are added. Boxes
-    without area have no fraction and drop out.
+    """(patch, segment) rows where more than `least` of the segment's area lies in the patch: strictly more.
+
+    Both have minx, miny, maxx, maxy; segments also `rings` (see
+    `polygon.wkt_rings`). Segments' columns come with the prefix r_; added are
+    px0, py0, px1, py1 (bounds of the segment's part in the patch), `fraction`
+    and `edge` (1 if the patch cuts the segment). Boxes only choose candidates,
+    the polygon itself is clipped. Segments without area have no fraction and
+    drop out.
     """
-    met = rect_join(patches, segments, cell)
-    whole = (F.col("r_maxx") - F.col("r_minx")) * (F.col("r_maxy") - F.col("r_miny"))
-    met = met.withColumn("fraction", F.try_divide(shared_area(), whole)).filter(F.col("fraction") > F.lit(least))
+    met = with_clip(rect_join(patches, segments, cell), "r_rings", BOUNDS)
+    met = met.withColumn("fraction", F.try_divide("part", "whole")).filter(F.col("fraction") > F.lit(least)).drop("part", "whole")
     return met.withColumn("edge", F.when(F.col("fraction") < 1, 1).otherwise(0))
 
 
 def relative_bounds(shown: DataFrame, res: str = "res") -> DataFrame:
-    """Pixel bounds rx0, ry0, rx1, ry1 of the segment part in the patch, from its top left, and `corners` as text.
+    """Pixel bounds rx0, ry0, rx1, ry1 of the segment part in the patch, from its top left, and `corners` as text, clockwise from the top left.
 
     Truncated to whole pixels and held to 0 and the patch width, which bounds both axes.
     """
-    x0, x1 = F.greatest("minx", "r_minx"), F.least("maxx", "r_maxx")
-    y0, y1 = F.greatest("miny", "r_miny"), F.least("maxy", "r_maxy")
     r = F.col(res)
     side = truncated((F.col("maxx") - F.col("minx")) / r)
     zero = F.lit(0).cast("long")
     px = {
-        "rx0": F.greatest(truncated((x0 - F.col("minx")) / r), zero), "rx1": F.least(truncated((x1 - F.col("minx")) / r), side),
-        "ry0": F.greatest(truncated((F.col("maxy") - y1) / r), zero), "ry1": F.least(truncated((F.col("maxy") - y0) / r), side)}
+        "rx0": F.greatest(truncated((F.col("px0") - F.col("minx")) / r), zero), "rx1": F.least(truncated((F.col("px1") - F.col("minx")) / r), side),
+        "ry0": F.greatest(truncated((F.col("maxy") - F.col("py1")) / r), zero), "ry1": F.least(truncated((F.col("maxy") - F.col("py0")) / r), side)}
     out = shown.withColumns(px)
-    return out.withColumn("corners", F.concat_ws(" ", *[F.col(c).cast("string") for c in ("rx0", "ry1", "rx1", "ry1", "rx1", "ry0", "rx0", "ry0")]))
+    return out.withColumn("corners", F.concat_ws(" ", *[F.col(c).cast("string") for c in ("rx0", "ry0", "rx1", "ry0", "rx1", "ry1", "rx0", "ry1")]))
 
 
 def label_lines(bounded: DataFrame, label: str, dfm: str) -> DataFrame:
@@ -61,88 +63,68 @@ def label_texts(lines: DataFrame, patch: str, order: str) -> DataFrame:
     return lines.select(patch, F.array_join(F.transform("a", lambda v: v["line"]), "\n").alias("labeltxt"))
 
 
-def _or_column(v: float | int | str) -> Column:
-    return F.col(v) if isinstance(v, str) else F.lit(v)
-
-
 def pixel_size(patches: DataFrame, res: str = "res") -> DataFrame:
     """Patches that have a resolution, with `n_rows` and `n_cols`: the pixels of their own extent."""
     px = lambda lo, hi: F.ceil(F.round(F.try_divide(F.col(hi) - F.col(lo), F.col(res)), 6)).cast("long")
     return patches.filter(F.col(res) > 0).filter(~F.isnan(res)).withColumns({"n_rows": px("miny", "maxy"), "n_cols": px("minx", "maxx")})
 
 
-def touched_ranges(boxes: DataFrame, res: float | str, rows: int | str, cols: int | str | None = None) -> DataFrame:
-    """First and last pixel r0, r1, c0, c1 of a rows * cols patch that a box touches; boxes outside drop out.
+def _painted(shown: DataFrame, patch: str, band: str, value: str, order: str, emit: Callable[[int, np.ndarray], list[tuple]], schema: str) -> DataFrame:
+    """Rows that `emit` gives of each patch's mask, an array (rows, cols, bands) of bytes.
 
-    Boxes have x0, x1, y0, y1 in ground units from the patch's top left. res,
-    rows and cols are numbers or names of columns; without cols the patch is square.
+    The segments of a patch stream through its task in order, so only one mask
+    and one Arrow batch are held however many there are.
     """
-    res, rows, cols = _or_column(res), _or_column(rows), _or_column(rows if cols is None else cols)
-    lo = lambda c: F.greatest(F.floor(F.col(c) / res), F.lit(0)).cast("long")
-    hi = lambda c, n: F.least(F.greatest(F.ceil(F.col(c) / res) - 1, F.floor(F.col(c.replace("1", "0")) / res)), n - 1).cast("long")
-    return boxes.withColumns({"c0": lo("x0"), "c1": hi("x1", cols), "r0": lo("y0"), "r1": hi("y1", rows)}).filter("c0 <= c1 and r0 <= r1")
-
-
-def touched_cells(boxes: DataFrame, res: float | str, rows: int | str, cols: int | str | None = None) -> DataFrame:
-    """Each pixel (row, col) of `touched_ranges`."""
-    b = touched_ranges(boxes, res, rows, cols)
-    return b.withColumn("row", F.explode(F.sequence("r0", "r1"))).withColumn("col", F.explode(F.sequence("c0", "c1"))).drop("c0", "c1", "r0", "r1")
-
-
-def burned(cells: DataFrame, patch: str, value: str, order: str) -> DataFrame:
-    """Mask pixels (patch, band, row, col, v): the segment that comes last in `order` wins."""
-    return cells.groupBy(patch, "band", "row", "col").agg(F.max_by(value, order).cast("int").alias("v"))
-
-
-def _ranges(boxes: DataFrame, patch: str, value: str, order: str, res: float | str, rows: int | str, cols: int | str | None) -> DataFrame:
-    n = {"n_rows": _or_column(rows), "n_cols": _or_column(rows if cols is None else cols)}
-    return touched_ranges(boxes, res, rows, cols).select(
-        F.col(patch).cast("long").alias("p"), F.col("band").cast("int").alias("band"), F.col(value).cast("int").alias("v"), F.col(order).alias("o"), "r0", "r1", "c0", "c1", *[c.cast("long").alias(k) for k, c in n.items()])
-
-
-def burn_masks(boxes: DataFrame, patch: str, value: str, order: str, res: float | str, rows: int | str, cols: int | str | None = None) -> DataFrame:
-    """The same as arrays: patch and three bands of rows * cols bytes, background 0, band = class position.
-
-    Painting in order in one array per patch: no pixel is shuffled. A patch's
-    boxes are few; a patch is one group. Patches that no box touches have no row.
+    rows = pixel_size(shown).select(
+        F.col(patch).cast("long").alias("p"), F.col(band).cast("int").alias("band"), F.col(value).cast("int").alias("v"), F.col(order).alias("o"),
+        F.col("n_rows"), F.col("n_cols"), "minx", "maxy", "res", "r_rings")
+    rows = rows.filter(f"band >= 0 and band < {MAX_CLASSES}").repartition("p").sortWithinPartitions("p", "o", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+        held, mask = None, np.zeros((0, 0, MAX_CLASSES), np.uint8)
+        for b in batches:
+            e = edges(b.column(9))
+            cut = np.searchsorted(e.row, np.arange(b.num_rows + 1)).tolist()
+            out = []
+            for k, (p, at, v, _, h, w, minx, maxy, res, _) in enumerate(zip(*[b.column(i).to_pylist() if i < 9 else [None] * b.num_rows for i in range(10)], strict=True)):
+                if p != held:
+                    if held is not None:
+                        out += emit(held, mask)
+                    held, mask = p, np.zeros((h, w, MAX_CLASSES), np.uint8)
+                i, j = cut[k], cut[k + 1]
+                if i < j:
+                    r0, c0, hit = touched((e.x1[i:j] - minx) / res, (maxy - e.y1[i:j]) / res, (e.x2[i:j] - minx) / res, (maxy - e.y2[i:j]) / res, h, w)
+                    mask[r0:r0 + hit.shape[0], c0:c0 + hit.shape[1], at][hit] = v
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        if held is not None and (out := emit(held, mask)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("p", patch)
+
+
+def burn_masks(shown: DataFrame, patch: str = "patch_id", band: str = "band", value: str = "dfm", order: str = "seq") -> DataFrame:
+    """Mask of each patch that shows a segment: patch, n_rows, n_cols, mask (rows * cols * 3 bytes, band = class position, background 0).
+
+    shown: rows of `shown_segments` with the columns named. Every pixel whose
+    inside a segment's polygon meets gets the segment's value; of several the
+    last in `order` wins. The whole segment is burned as far as the patch goes,
+    in the patch's own pixels. Patches without a segment or without a
+    resolution have no row.
     """
-    def paint(p: pd.DataFrame) -> pd.DataFrame:
-        m = np.zeros((MAX_CLASSES, p["n_rows"].iloc[0], p["n_cols"].iloc[0]), np.uint8)
-        for b in p.sort_values(["o", "v"]).itertuples(index=False):
-            m[b.band, b.r0:b.r1 + 1, b.c0:b.c1 + 1] = b.v
-        return pd.DataFrame({"p": [p["p"].iloc[0]], "mask": [m.tobytes()]})
-
-    boxes = _ranges(boxes, patch, value, order, res, rows, cols)
-    return boxes.groupBy("p").applyInPandas(paint, "p long, mask binary").withColumnRenamed("p", patch)
+    return _painted(shown, patch, band, value, order, lambda p, m: [(p, m.shape[0], m.shape[1], m.tobytes())], "p long, n_rows long, n_cols long, mask binary")
 
 
-def mask_sums(boxes: DataFrame, patch: str, value: str, order: str, res: float | str, rows: int | str, cols: int | str | None = None) -> DataFrame:
-    """Number and place sums of the mask pixels by patch, band and value v, where the last segment in `order` wins.
+def mask_sums(shown: DataFrame, patch: str = "patch_id", band: str = "band", value: str = "dfm", order: str = "seq") -> DataFrame:
+    """Number and place sums of the pixels of `burn_masks` by patch, band and value: (patch, band, v, n, sum_row, sum_col); no mask leaves its task."""
+    def emit(p: int, m: np.ndarray) -> list[tuple]:
+        r, c, b = np.nonzero(m)
+        key = b * 256 + m[r, c, b]
+        return [(p, k // 256, k % 256, int((hit := key == k).sum()), int(r[hit].sum()), int(c[hit].sum())) for k in np.unique(key).tolist()]
 
-    The boxes of a patch and band are painted on the grid of their own edges,
-    whose cells count with their pixels: no pixel becomes a row.
-    """
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for p, band, flat in batch.itertuples(index=False):
-                a = np.asarray(flat, np.int64).reshape(-1, 5)
-                ys, xs, values = np.unique(a[:, 1:3]), np.unique(a[:, 3:]), np.unique(a[:, 0])
-                m = np.full((len(ys) - 1, len(xs) - 1), -1)
-                for v, r0, r1, c0, c1 in np.column_stack([np.searchsorted(values, a[:, 0]), np.searchsorted(ys, a[:, 1:3]), np.searchsorted(xs, a[:, 3:])]).tolist():
-                    m[r0:r1, c0:c1] = v
-                h, w = np.diff(ys), np.diff(xs)
-                rows, cols = (ys[:-1] + ys[1:] - 1) * h // 2, (xs[:-1] + xs[1:] - 1) * w // 2  # sums of the places within each cell
-                for k, v in enumerate(values.tolist()):
-                    hit = (m == k).astype(np.int64)
-                    if n := int(h @ hit @ w):
-                        out.append((p, band, v, n, int(rows @ hit @ w), int(h @ hit @ cols)))
-            yield pd.DataFrame(out, columns=["p", "band", "v", "n", "sum_row", "sum_col"])
-
-    boxes = _ranges(boxes, patch, value, order, res, rows, cols)
-    held = F.array_sort(F.collect_list(F.struct("o", "v", "r0", "r1", "c0", "c1")))
-    flat = F.flatten(F.transform(held, lambda b: F.array(b["v"].cast("long"), b["r0"], b["r1"] + 1, b["c0"], b["c1"] + 1)))
-    return boxes.groupBy("p", "band").agg(flat.alias("flat")).mapInPandas(sums, "p long, band int, v int, n long, sum_row long, sum_col long").withColumnRenamed("p", patch)
+    return _painted(shown, patch, band, value, order, emit, "p long, band int, v int, n long, sum_row long, sum_col long")
 
 
 def class_bands(classes: list[str]) -> dict[str, int]:

@@ -8,8 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from terraframe.functions.geometry import with_extent
+from terraframe.functions import scalars as S
+from terraframe.functions.geometry import NUMBER, with_extent
 from terraframe.operators import archive, proximity
+from terraframe.operators import boxes as B
+from terraframe.operators import grid as G
+from terraframe.operators import metrics as M
+from terraframe.operators import patches as P
+from terraframe.operators import polygon as Y
+from terraframe.operators import raster as R
+from terraframe.operators.spatial import rect_join, rect_semi_join
 from terraframe.plans import shared_dir, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,16 +105,6 @@ SQL["p3_files"] = "select file_id, file_path, cast(octet_length(encode(content))
 
 # ---- reference operators
 
-from terraframe.functions import scalars as S  # noqa: E402
-from terraframe.functions.geometry import NUMBER  # noqa: E402
-from terraframe.operators import boxes as B  # noqa: E402
-from terraframe.operators import grid as G  # noqa: E402
-from terraframe.operators import metrics as M  # noqa: E402
-from terraframe.operators import patches as P  # noqa: E402
-from terraframe.operators import polygon as Y  # noqa: E402
-from terraframe.operators import raster as R  # noqa: E402
-from terraframe.operators.spatial import rect_join, rect_semi_join  # noqa: E402
-
 TILE_PX, WIDTH_PX, RADIUS_PX = 64, 64, 10
 MASK_LEVEL = 1500
 BOUNDS = ("minx", "miny", "maxx", "maxy")
@@ -153,8 +151,10 @@ DETS_SQL = f"""dets as (select distinct det_id, lower(trim(label)) as label, sco
 
 
 def segs(spark: SparkSession, d: str) -> DataFrame:
+    """seg_id, class, quality, rings and bounds of each segment once."""
     s = with_extent(table(spark, d, "segments_gdf").select("seg_id", "arch_type", "dfm", "geometry")).filter("minx is not null")
-    return s.select("seg_id", F.lower(F.trim("arch_type")).alias("arch_type"), "dfm", *BOUNDS).distinct()
+    s = s.select("seg_id", F.lower(F.trim("arch_type")).alias("arch_type"), "dfm", Y.wkt_rings(F.col("geometry")).alias("rings"), *BOUNDS)
+    return s.dropDuplicates(["seg_id", "arch_type", "dfm", *BOUNDS])
 
 
 def tiles(spark: SparkSession, d: str) -> DataFrame:
@@ -239,24 +239,11 @@ def valid_mask_tiles(spark: SparkSession, d: str) -> DataFrame:
 sql("valid_mask_tiles", f"with {HOLED} select r // 16 as tr, c // 16 as tc, count(*) as n_pix, count(z) as n_valid from holed group by all having count(z) > 0")
 
 
-@query
-def nodata_kinds(spark: SparkSession, d: str) -> DataFrame:
-    """Valid pixels under the nodata value of their raster (null, NaN or a number); rows of pixels go round the first three rasters (all rasters: nodata_kinds_all)."""
-    nod = table(spark, d, "raster").select("raster_id", "nodata")
-    z = F.when(F.expr("(r * 7 + c * 13) % 11 = 0"), F.lit(0.0)).when(F.expr("(r + c) % 7 = 0"), F.lit(-9999.0)).otherwise(F.col("z").cast("double"))
-    p = pixels(spark, d).select((F.col("r") % 3 + 1).alias("raster_id"), z.alias("z")).join(nod, "raster_id")
-    return R.valid_pixels(p, "nodata").groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_valid"))
-
-
-sql("nodata_kinds", f"""with {PIX}, p as (select r % 3 + 1 as raster_id, case when (r * 7 + c * 13) % 11 = 0 then 0 when (r + c) % 7 = 0 then -9999 else z end as z from pixels)
-select raster_id, count(*) as n_valid from p join raster using (raster_id) where nodata is null or isnan(nodata) or z <> nodata group by raster_id""")
-
-
 LOWEST = -3.4028234663852886e38  # of a 32-bit float, a common nodata value
 
 
 @query
-def nodata_kinds_all(spark: SparkSession, d: str) -> DataFrame:
+def nodata_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Pixels and valid pixels of every raster under its own nodata value (null, NaN or a number); rows of pixels go round all rasters."""
     nod = table(spark, d, "raster").select("raster_id", "nodata", (F.row_number().over(W.orderBy("raster_id")) - 1).cast("long").alias("k"))
     z = F.when(F.expr("(r * 7 + c * 13) % 11 = 0"), F.lit(0.0)).when(F.expr("(r + c) % 7 = 0"), F.lit(-9999.0)).when(F.expr("(r + 2 * c) % 5 = 0"), F.lit(LOWEST)).otherwise(F.col("z").cast("double"))
@@ -266,7 +253,7 @@ def nodata_kinds_all(spark: SparkSession, d: str) -> DataFrame:
     return whole.join(valid, "raster_id", "left").select("raster_id", "n_pix", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
 
 
-sql("nodata_kinds_all", f"""with {PIX}, k as (select raster_id, nodata, row_number() over (order by raster_id) - 1 as k from raster), p as (select r % (select count(*) from raster) as k, case when (r * 7 + c * 13) % 11 = 0 then 0 when (r + c) % 7 = 0 then -9999 when (r + 2 * c) % 5 = 0 then {LOWEST!r} else z end as z from pixels)
+sql("nodata_kinds", f"""with {PIX}, k as (select raster_id, nodata, row_number() over (order by raster_id) - 1 as k from raster), p as (select r % (select count(*) from raster) as k, case when (r * 7 + c * 13) % 11 = 0 then 0 when (r + c) % 7 = 0 then -9999 when (r + 2 * c) % 5 = 0 then {LOWEST!r} else z end as z from pixels)
 select raster_id, count(*) as n_pix, count(*) filter (nodata is null or isnan(nodata) or z <> nodata) as n_valid from p join k using (k) group by raster_id""")
 
 
@@ -397,7 +384,7 @@ sql("mask_components", f"with recursive {COMP_SQL} select tr, r, c, part from pa
 
 @query
 def mask_features_min_area(spark: SparkSession, d: str) -> DataFrame:
-    """Features of the mask larger than 1 square metre at half a metre a pixel."""
+    """Features of the mask larger than 0.3 square metres at half a metre a pixel."""
     f = R.features(mask_parts(spark, d), 0.5)
     return B.at_least(f, "area", 0.3).select("tr", "part", "n_pix", "area", "c0", "r0", "c1", "r1")
 
@@ -570,12 +557,30 @@ def shown(spark: SparkSession, d: str) -> DataFrame:
     return P.shown_segments(tiles(spark, d), segs(spark, d), CELL_M)
 
 
-SHOWN_SQL = f"""{TILES_SQL}, {SEGS_SQL}, met as (select t.patch_id, t.filestem, t.res, t.minx, t.miny, t.maxx, t.maxy, s.seg_id, s.arch_type, s.dfm, greatest(t.minx, s.minx) as ix0, least(t.maxx, s.maxx) as ix1, greatest(t.miny, s.miny) as iy0, least(t.maxy, s.maxy) as iy1, (s.maxx - s.minx) * (s.maxy - s.miny) as whole
-  from tiles t join segs s on s.minx <= t.maxx and s.maxx >= t.minx and s.miny <= t.maxy and s.maxy >= t.miny where s.maxx > s.minx and s.maxy > s.miny),
- shown as (select *, (ix1 - ix0) * (iy1 - iy0) / whole as fraction from met where (ix1 - ix0) * (iy1 - iy0) / whole > 0.33e0),
+_RING = r"regexp_extract_all(regexp_replace(geometry, '\s*\(\s*', '(', 'g'), '\(+[^()]*\)')"
+# edges of all polygons; area under an edge held to a box of w * h at the origin
+EDGES_SQL = rf"""polys as (select seg_id, any_value(geometry) as geometry, any_value(lower(trim(arch_type))) as arch_type, any_value(dfm) as dfm from segments_gdf where geometry is not null group by seg_id),
+ ring as (select seg_id, k, starts_with(t, '((') as filled, list_transform(regexp_extract_all(t, '{_PAIR_SQL}', 1), lambda v: cast(v as double)) as xs, list_transform(regexp_extract_all(t, '{_PAIR_SQL}', 2), lambda v: cast(v as double)) as ys from (select seg_id, k, rs[k] as t from (select seg_id, rs, unnest(range(1, len(rs) + 1)) as k from (select seg_id, {_RING} as rs from polys)))),
+ edge as (select seg_id, k, filled, xs[i] as x1, ys[i] as y1, xs[i % len(xs) + 1] as x2, ys[i % len(ys) + 1] as y2 from (select *, unnest(range(1, len(xs) + 1)) as i from ring where len(xs) >= 3)),
+ ext as (select seg_id, min(x1) as sx0, min(y1) as sy0, max(x1) as sx1, max(y1) as sy1 from edge group by seg_id),
+ whole as (select seg_id, sum(case when filled then a else -a end) as whole from (select seg_id, k, any_value(filled) as filled, abs(sum(((x1 - sx0) * (y2 - sy0) - (x2 - sx0) * (y1 - sy0)) / 2)) as a from edge join ext using (seg_id) group by seg_id, k) group by seg_id)"""
+SHOWN_SQL = f"""{TILES_SQL}, {EDGES_SQL}, met as (select t.patch_id, t.filestem, t.res, t.minx, t.miny, t.maxx, t.maxy, s.*, whole, sx0 >= t.minx and sy0 >= t.miny and sx1 <= t.maxx and sy1 <= t.maxy as inside from tiles t join ext s on s.sx0 <= t.maxx and s.sx1 >= t.minx and s.sy0 <= t.maxy and s.sy1 >= t.miny join whole using (seg_id)),
+ cutat as (select patch_id, seg_id, minx, miny, maxx, maxy, k, filled, maxx - minx as w, maxy - miny as h, x1 - minx as x1, y1 - miny as y1, x2 - minx as x2, y2 - miny as y2 from met join edge using (seg_id) where not inside),
+ held as (select *, y1 + s * (a - x1) as ya, y1 + s * (b - x1) as yb from (select *, greatest(0, least(w, x1)) as a, greatest(0, least(w, x2)) as b, case when x1 = x2 then 0 else (y2 - y1) / (x2 - x1) end as s from cutat)),
+ under as (select patch_id, seg_id, k, filled, (b - a) * case when least(ya, yb) >= 0 and greatest(ya, yb) <= h or abs(yb - ya) < 1e-9 then greatest(0, least(h, (ya + yb) / 2))
+  else ((case when yb > h then h * h / 2 + h * (yb - h) else greatest(yb, 0) * greatest(yb, 0) / 2 end) - (case when ya > h then h * h / 2 + h * (ya - h) else greatest(ya, 0) * greatest(ya, 0) / 2 end)) / (yb - ya) end as a from held),
+ part as (select patch_id, seg_id, sum(case when filled then a else -a end) as part from (select patch_id, seg_id, k, any_value(filled) as filled, abs(sum(a)) as a from under group by patch_id, seg_id, k) group by patch_id, seg_id),
+ -- bounds of what lies in the patch: edges cut by its sides, and its corners inside the polygon
+ ts as (select patch_id, seg_id, x1, y1, x2, y2, w, h, minx, miny, greatest(0, case when x1 = x2 then case when x1 >= 0 and x1 <= w then 0 else 2 end else least((0 - x1) / (x2 - x1), (w - x1) / (x2 - x1)) end, case when y1 = y2 then case when y1 >= 0 and y1 <= h then 0 else 2 end else least((0 - y1) / (y2 - y1), (h - y1) / (y2 - y1)) end) as t0,
+  least(1, case when x1 = x2 then 1 else greatest((0 - x1) / (x2 - x1), (w - x1) / (x2 - x1)) end, case when y1 = y2 then 1 else greatest((0 - y1) / (y2 - y1), (h - y1) / (y2 - y1)) end) as t1 from cutat),
+ ends as (select patch_id, seg_id, minx + greatest(0, least(w, case when t = 1 then x2 else x1 + (x2 - x1) * t end)) as x, miny + greatest(0, least(h, case when t = 1 then y2 else y1 + (y2 - y1) * t end)) as y from (select *, unnest([t0, t1]) as t from ts where t0 <= t1)),
+ corner as (select patch_id, seg_id, cx + minx as x, cy + miny as y from (select patch_id, seg_id, minx, miny, x1, y1, x2, y2, unnest([0, 0, w, w]) as cx, unnest([0, h, 0, h]) as cy from cutat) group by patch_id, seg_id, minx, miny, cx, cy having sum(case when (y1 > cy) <> (y2 > cy) and cx < x1 + (cy - y1) * (x2 - x1) / (y2 - y1) then 1 else 0 end) % 2 = 1),
+ bounds as (select patch_id, seg_id, min(x) as bx0, min(y) as by0, max(x) as bx1, max(y) as by1 from (select * from ends union all select * from corner) group by patch_id, seg_id),
+ shown as (select * from (select met.*, arch_type, dfm, case when inside then 1 else part / whole end as fraction, case when inside then sx0 else bx0 end as ix0, case when inside then sx1 else bx1 end as ix1, case when inside then sy0 else by0 end as iy0, case when inside then sy1 else by1 end as iy1
+  from met join polys using (seg_id) left join part using (patch_id, seg_id) left join bounds using (patch_id, seg_id) where whole > 0) where fraction > 0.33e0),
  px as (select *, greatest(cast(trunc((ix0 - minx) / res) as bigint), 0) as rx0, least(cast(trunc((ix1 - minx) / res) as bigint), cast(trunc((maxx - minx) / res) as bigint)) as rx1,
   greatest(cast(trunc((maxy - iy1) / res) as bigint), 0) as ry0, least(cast(trunc((maxy - iy0) / res) as bigint), cast(trunc((maxx - minx) / res) as bigint)) as ry1 from shown),
- lines as (select *, concat_ws(' ', rx0, ry1, rx1, ry1, rx1, ry0, rx0, ry0, arch_type, coalesce(dfm, 1)) as line from px)"""
+ lines as (select *, concat_ws(' ', rx0, ry0, rx1, ry0, rx1, ry1, rx0, ry1, arch_type, coalesce(dfm, 1)) as line from px)"""
 
 
 @query
@@ -603,58 +608,71 @@ def labeltxt_by_patch(spark: SparkSession, d: str) -> DataFrame:
 
 
 sql("segment_fraction", f"with {SHOWN_SQL} select patch_id, seg_id, cast(floor(fraction * 10000 + 0.5e0) as bigint) as fraction, case when fraction < 1 then 1 else 0 end as edge from shown")
-sql("relative_bounds", f"with {SHOWN_SQL} select patch_id, seg_id, rx0, ry0, rx1, ry1, concat_ws(' ', rx0, ry1, rx1, ry1, rx1, ry0, rx0, ry0) as corners from px")
+sql("relative_bounds", f"with {SHOWN_SQL} select patch_id, seg_id, rx0, ry0, rx1, ry1, concat_ws(' ', rx0, ry0, rx1, ry0, rx1, ry1, rx0, ry1) as corners from px")
 sql("labeltxt_lines", f"with {SHOWN_SQL} select patch_id, seg_id, line from lines")
 sql("labeltxt_by_patch", f"with {SHOWN_SQL} select patch_id, string_agg(line, chr(10) order by seg_id, line) as labeltxt from lines group by patch_id")
 
-MASK_RES_M, MASK_SIDE = 4.0, 128
+CLASSES = ["barrow", "enclosure", "ringfort"]
 
 
-def mask_boxes(spark: SparkSession, d: str) -> DataFrame:
-    """Shown segments of three classes as boxes from the patch's top left, in metres, with band and quality."""
-    bands = P.class_bands(["barrow", "enclosure", "ringfort"])
-    b = F.when(F.col("r_arch_type") == "barrow", bands["barrow"]).when(F.col("r_arch_type") == "enclosure", bands["enclosure"]).when(F.col("r_arch_type") == "ringfort", bands["ringfort"])
-    s = shown(spark, d).withColumn("band", b).filter("band is not null")
-    return s.select("patch_id", "band", F.col("r_seg_id").alias("seq"), P.default_quality(F.col("r_dfm")).alias("dfm"), F.expr("r_minx - minx").alias("x0"), F.expr("r_maxx - minx").alias("x1"), F.expr("maxy - r_maxy").alias("y0"), F.expr("maxy - r_miny").alias("y1"))
+def mask_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Shown segments of three classes with band, place in the order and quality."""
+    band = F.lit(None).cast("int")
+    for c, k in P.class_bands(CLASSES).items():
+        band = F.when(F.col("r_arch_type") == c, k).otherwise(band)
+    return shown(spark, d).select("patch_id", "minx", "miny", "maxx", "maxy", "res", "r_rings", band.alias("band"), F.col("r_seg_id").alias("seq"), P.default_quality(F.col("r_dfm")).alias("dfm")).filter("band is not null")
 
 
 @query
 def mask_rasterise(spark: SparkSession, d: str) -> DataFrame:
-    """Overview of the masks at 4 m a pixel over the first 512 m of each patch (the whole masks: mask_rasterise_px): number and place sums of pixels by band and value."""
-    cells = P.burned(P.touched_cells(mask_boxes(spark, d), MASK_RES_M, MASK_SIDE), "patch_id", "dfm", "seq")
-    return cells.groupBy("patch_id", "band", "v").agg(F.count(F.lit(1)).alias("n"), F.sum("row").alias("sum_row"), F.sum("col").alias("sum_col"))
+    """The masks of all patches in the patches' own pixels: number and place sums of pixels by band and value."""
+    return P.mask_sums(mask_segments(spark, d))
 
 
-sql("mask_rasterise", f"""with {SHOWN_SQL}, b as (select patch_id, case arch_type when 'barrow' then 0 when 'enclosure' then 1 when 'ringfort' then 2 end as band, seg_id as seq, coalesce(dfm, 1) as dfm, s.minx - shown.minx as x0, s.maxx - shown.minx as x1, shown.maxy - s.maxy as y0, shown.maxy - s.miny as y1
-  from shown join (select distinct seg_id as sid, arch_type as at, dfm as df, minx, miny, maxx, maxy from segs) s on s.sid = shown.seg_id and s.at is not distinct from shown.arch_type and s.df is not distinct from shown.dfm),
- i as (select distinct patch_id, band, seq, dfm, greatest(cast(floor(x0 / 4) as bigint), 0) as c0, least(greatest(cast(ceil(x1 / 4) as bigint) - 1, cast(floor(x0 / 4) as bigint)), 127) as c1, greatest(cast(floor(y0 / 4) as bigint), 0) as r0, least(greatest(cast(ceil(y1 / 4) as bigint) - 1, cast(floor(y0 / 4) as bigint)), 127) as r1 from b where band is not null),
- cells as (select patch_id, band, seq, dfm, row, unnest(range(c0, c1 + 1)) as col from (select *, unnest(range(r0, r1 + 1)) as row from i)),
- burned as (select patch_id, band, row, col, arg_max(dfm, seq) as v from cells group by all)
-select patch_id, band, v, count(*) as n, cast(sum(row) as bigint) as sum_row, cast(sum(col) as bigint) as sum_col from burned group by patch_id, band, v""")
-
-
-@query
-def mask_rasterise_px(spark: SparkSession, d: str) -> DataFrame:
-    """The masks of all patches in the patches' own pixels: each at its res, rows and columns from its extent."""
-    size = P.pixel_size(tiles(spark, d)).select("patch_id", "res", "n_rows", "n_cols")
-    return P.mask_sums(mask_boxes(spark, d).join(size, "patch_id"), "patch_id", "dfm", "seq", "res", "n_rows", "n_cols")
+# the pixels that edges cross, row by row, and those whose centre is inside
+sql("mask_rasterise", f"""with {SHOWN_SQL}, size as (select patch_id, seg_id, band, dfm, minx, maxy, res, cast(ceil(round((maxy - miny) / res, 6)) as bigint) as nr, cast(ceil(round((maxx - minx) / res, 6)) as bigint) as nc from (select *, case arch_type when 'barrow' then 0 when 'enclosure' then 1 when 'ringfort' then 2 end as band from shown) where band is not null and res > 0),
+ e as (select patch_id, seg_id, nr, nc, case when down then px2 else px1 end as xa, case when down then py2 else py1 end as ya, case when down then px1 else px2 end as xb, case when down then py1 else py2 end as yb from (select *, py1 > py2 as down from (select patch_id, seg_id, nr, nc, (x1 - minx) / res as px1, (maxy - y1) / res as py1, (x2 - minx) / res as px2, (maxy - y2) / res as py2 from size join edge using (seg_id)))),
+ g as (select *, case when yb > ya then (xb - xa) / (yb - ya) else 0 end as s from e),
+ cross_ as (select patch_id, seg_id, nc, r, case when r <= ya then xa else xa + (r - ya) * s end as u, case when r + 1 >= yb then xb else xa + (r + 1 - ya) * s end as v from (select *, unnest(range(greatest(0, cast(floor(ya) as bigint)), least(nr, cast(ceil(yb) as bigint)))) as r from g)),
+ mid as (select patch_id, seg_id, r, greatest(0, least(nc, cast(ceil(x - 0.5e0) as bigint))) as c from (select *, xa + (r + 0.5e0 - ya) * s as x from (select *, unnest(range(greatest(0, cast(ceil(ya - 0.5e0) as bigint)), least(nr, cast(ceil(yb - 0.5e0) as bigint)))) as r from g))),
+ pair as (select patch_id, seg_id, r, c as lo, lead(c) over w as hi, row_number() over w as k from mid window w as (partition by patch_id, seg_id, r order by c)),
+ runs as (select patch_id, seg_id, r, greatest(0, cast(floor(least(u, v)) as bigint)) as lo, least(nc, cast(ceil(greatest(u, v)) as bigint)) as hi from cross_ union all select patch_id, seg_id, r, lo, hi from pair where k % 2 = 1),
+ cells as (select distinct patch_id, seg_id, r, unnest(range(lo, hi)) as c from runs where hi > lo),
+ burned as (select patch_id, band, r, c, arg_max(dfm, seg_id) as v from cells join (select patch_id, seg_id, band, coalesce(dfm, 1) as dfm from size) using (patch_id, seg_id) group by all)
+select patch_id, band, v, count(*) as n, cast(sum(r) as bigint) as sum_row, cast(sum(c) as bigint) as sum_col from burned group by patch_id, band, v""")
 
 
 @query
 def polygon_measures(spark: SparkSession, d: str) -> DataFrame:
     """Exact area and roundness of every segment polygon, in hundredths and ten-thousandths."""
-    s = table(spark, d, "segments_gdf").select("seg_id", "geometry").filter("geometry is not null").distinct()
-    s = s.select("seg_id", Y.area_of("geometry").alias("area"), Y.hull_of("geometry").alias("hull")).filter("area is not null")
+    s = Y.with_measures(segs(spark, d).select("seg_id", "rings"), "rings").filter("area is not null")
     return s.select("seg_id", q(F.col("area"), 100).alias("area"), q(S.roundness(F.col("area"), F.col("hull"))).alias("roundness"))
 
 
+def hull_sql(points: str, key: str) -> str:
+    """Perimeter of the convex hull of points (key, x, y): pairs with all other points on one side and none of their line beyond them."""
+    return f"""sides as (select {', '.join('p.' + k.strip() for k in key.split(','))}, p.x as px, p.y as py, q.x as qx, q.y as qy from {points} p join {points} q using ({key}) where p.x <> q.x or p.y <> q.y),
+ hull as (select {key}, sum(sqrt((qx - px) * (qx - px) + (qy - py) * (qy - py))) as hull from (select {key}, px, py, qx, qy from sides join {points} t using ({key}) group by all having bool_and((qx - px) * (t.y - py) - (qy - py) * (t.x - px) > 0 or ((qx - px) * (t.y - py) - (qy - py) * (t.x - px) = 0 and (t.x - px) * (t.x - qx) + (t.y - py) * (t.y - qy) <= 0))) group by {key})"""
+
+
+sql("polygon_measures", f"""with {EDGES_SQL}, pts as (select distinct seg_id, x1 as x, y1 as y from edge), {hull_sql('pts', 'seg_id')}
+select seg_id, cast(floor(whole * 100 + 0.5e0) as bigint) as area, cast(floor(4 * pi() * whole / (hull * hull) * 10000 + 0.5e0) as bigint) as roundness from whole join hull using (seg_id)""")
+sql("mask_features_roundness", f"""with recursive {COMP_SQL}, pts as (select distinct tr, part, cast(c + i as double) as x, cast(r + j as double) as y from parts, (select unnest([0, 1]) as i), (select unnest([0, 1]) as j)), {hull_sql('pts', 'tr, part')},
+ n as (select tr, part, count(*) * 0.25e0 as area from parts group by tr, part)
+select tr, part, area, cast(floor(4 * pi() * area / (hull * hull * 0.25e0) * 10000 + 0.5e0) as bigint) as roundness from n join hull using (tr, part) where 4 * pi() * area / (hull * hull * 0.25e0) > 0.5e0 and area > 0.3e0""")
+
+
 @query
-def polygon_fraction(spark: SparkSession, d: str) -> DataFrame:
-    """Share of every segment polygon that lies in a patch, above 0.33, by clipping the polygon itself."""
-    s = with_extent(table(spark, d, "segments_gdf").select("seg_id", "geometry")).filter("maxx > minx and maxy > miny").distinct()
-    met = rect_join(tiles(spark, d), s, CELL_M)
-    cut = met.withColumn("a", Y.area_within("r_geometry", *BOUNDS)).withColumn("whole", Y.area_of("r_geometry"))
-    return cut.withColumn("f", F.try_divide("a", "whole")).filter(F.col("f") > P.LEAST_FRACTION).select("patch_id", F.col("r_seg_id").alias("seg_id"), q(F.col("f")).alias("fraction"))
+def mask_polygon_edges(spark: SparkSession, d: str) -> DataFrame:
+    """The unit edges of the outlines of `mask_polygons`, in half-pixel ground units from their corner."""
+    p = mask_polygons(spark, d).select("part", F.explode(Y.wkt_rings(F.col("geometry"))).alias("g"))
+    p = p.select("part", F.explode(F.expr("transform(sequence(1, size(g.x) - 1), i -> struct(element_at(g.x, i) as x, element_at(g.y, i) as y, element_at(g.x, i + 1) as x2, element_at(g.y, i + 1) as y2))")).alias("e"))
+    px = lambda c, o, s: F.round((F.col(f"e.{c}") - o) * s).cast("long")
+    return p.select("part", px("x", 600000.0, 2).alias("x1"), px("y", 700000.0, -2).alias("y1"), px("x2", 600000.0, 2).alias("x2"), px("y2", 700000.0, -2).alias("y2"))
+
+
+sql("mask_polygon_edges", f"""with recursive {COMP_SQL}, side as (select part, r, c, unnest([-1, 0, 1, 0]) as dr, unnest([0, 1, 0, -1]) as dc, unnest([c, c + 1, c + 1, c]) as x1, unnest([r, r, r + 1, r + 1]) as y1, unnest([c + 1, c + 1, c, c]) as x2, unnest([r, r + 1, r + 1, r]) as y2 from parts)
+select part, x1, y1, x2, y2 from side s where not exists (select 1 from parts n where n.part = s.part and n.r = s.r + s.dr and n.c = s.c + s.dc)""")
 
 
 # ---- fan-out, names, logs

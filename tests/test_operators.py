@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,7 +51,7 @@ def test_nodata_of_every_raster(spark, data):
     from terraframe import queries
 
     kinds = {r.raster_id: r.nodata for r in spark.read.parquet(f"{data}/raster.parquet").collect()}
-    out = {r.raster_id: (r.n_pix, r.n_valid) for r in queries.nodata_kinds_all(spark, data).collect()}
+    out = {r.raster_id: (r.n_pix, r.n_valid) for r in queries.nodata_kinds(spark, data).collect()}
     assert set(out) == set(kinds) and sum(n for n, _ in out.values()) == queries.pixels(spark, data).count()
     for k, v in kinds.items():
         assert (out[k][0] == out[k][1]) == (v is None or math.isnan(v))  # each number takes pixels away
@@ -191,7 +192,7 @@ def test_components_and_outlines(spark):
     assert len(set(raster.label_components(c, r).tolist())) == len(set(first.tolist()))
     for part in set(first.tolist()):
         rings = raster.outline(r[first == part], c[first == part])
-        assert abs(sum(polygon.signed_area(np.array(x[:-1], float)) for x in rings)) == (first == part).sum()
+        assert abs(sum(float(np.dot(x[:-1, 0], x[1:, 1]) - np.dot(x[1:, 0], x[:-1, 1])) / 2 for x in map(np.array, rings))) == (first == part).sum()
     two = spark.createDataFrame([(0, 0), (1, 1)], "r long, c long")
     assert raster.components(two, 8, 8).select("part").distinct().count() == 2
     assert raster.components(two.limit(0), 8, 8).count() == 0
@@ -205,14 +206,59 @@ def test_roundness_anchors():
     assert 4 * math.pi * 9 / raster.hull_perimeter(np.array([0.0, 3, 3, 0]), np.array([0.0, 0, 3, 3])) ** 2 == pytest.approx(math.pi / 4)
 
 
-def test_polygon_area_and_clip():
-    ring = "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))"
-    assert polygon.polygon_area(ring) == 96
-    assert polygon.polygon_area("MULTIPOLYGON (((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)))") == 1.0
-    assert polygon.polygon_area("POLYGON EMPTY") is None and polygon.polygon_area(None) is None
-    l_shape = np.array([[0.0, 0], [4, 0], [4, 1], [1, 1], [1, 4], [0, 4]])
-    assert abs(polygon.signed_area(polygon.clip(l_shape, (0.5, 0.5, 3, 3)))) == pytest.approx(0.5 * 2.5 + 0.5 * 2.0)
-    assert len(polygon.clip(l_shape, (8, 8, 9, 9))) == 0
+def ringed(spark, rows):
+    """(id, wkt) rows with their rings."""
+    return spark.createDataFrame(rows, "id long, geometry string").select("id", polygon.wkt_rings(F.col("geometry")).alias("rings"), F.lit(0.5).alias("minx"), F.lit(0.5).alias("miny"), F.lit(3.0).alias("maxx"), F.lit(3.0).alias("maxy"))
+
+
+def test_polygon_area_and_clip(spark):
+    texts = {
+        1: "POLYGON ((0 0, 10 0, 10 10, 0 10, 0 0), (2 2, 4 2, 4 4, 2 4, 2 2))", 2: "MULTIPOLYGON ( ((0 0, 1 0, 1 1, 0 0)), ((5 5, 6 5, 6 6, 5 5)) )", 3: "POLYGON EMPTY", 4: None, 5: "POINT (1 1)",
+        6: "SRID=2157;POLYGON Z ((0 0 9, 4 0 9, 4 1 9, 1 1 9, 1 4 9, 0 4 9))", 7: "POLYGON ((8 8, 9 8, 9 9, 8 8))", 8: "POLYGON ((1 1, 2 1, 2 2, 1 2, 1 1))", 9: "POLYGON ((-9 -9, 9 -9, 9 9, -9 9, -9 -9))"}
+    df = ringed(spark, list(texts.items()))
+    area = {r.id: r.area for r in polygon.with_measures(df, "rings").collect()}
+    assert area == {1: 96.0, 2: 1.0, 3: None, 4: None, 5: None, 6: 7.0, 7: 0.5, 8: 1.0, 9: 324.0}
+    cut = {r.id: (r.whole, r.part, r.px0, r.py0, r.px1, r.py1) for r in polygon.with_clip(df, "rings", ("minx", "miny", "maxx", "maxy")).collect()}
+    assert cut[1] == (96.0, 6.25 - 1, 0.5, 0.5, 3.0, 3.0) and cut[2] == (1.0, 0.125, 0.5, 0.5, 1.0, 1.0)
+    assert cut[3] == cut[4] == cut[5] == (0.0, 0.0, None, None, None, None) and cut[7] == (0.5, 0.0, None, None, None, None)
+    assert cut[6] == pytest.approx((7.0, 0.5 * 2.5 + 0.5 * 2.0, 0.5, 0.5, 3.0, 3.0)) and cut[8] == (1.0, 1.0, 1.0, 1.0, 2.0, 2.0) and cut[9] == (324.0, 6.25, 0.5, 0.5, 3.0, 3.0)
+    assert polygon.with_clip(df.limit(0), "rings", ("minx", "miny", "maxx", "maxy")).count() == 0
+
+
+def star(rng, corners, centre, size):
+    at, far = np.sort(rng.uniform(0, 2 * np.pi, corners)), rng.uniform(0.3, 1, corners) * size
+    return np.column_stack([centre[0] + far * np.cos(at), centre[1] + far * np.sin(at)])
+
+
+def batch(p):
+    kind = pa.list_(pa.struct([("outer", pa.bool_()), ("x", pa.list_(pa.float64())), ("y", pa.list_(pa.float64()))]))
+    return polygon.edges(pa.array([[{"outer": True, "x": p[:, 0].tolist(), "y": p[:, 1].tolist()}]], kind))
+
+
+def test_touched_pixels_are_those_with_a_share():
+    rng = np.random.default_rng(1)
+    for t in range(150):
+        p = star(rng, rng.integers(3, 12), rng.uniform(-2, 14, 2), rng.uniform(0.5, 8))
+        e = batch(np.round(p) if t % 3 == 0 else p)
+        if polygon.areas(e, 1)[0] < 1e-9:
+            continue
+        r0, c0, m = polygon.touched(e.x1, e.y1, e.x2, e.y2, 12, 10)
+        hit = np.zeros((12, 10), bool)
+        hit[r0:r0 + m.shape[0], c0:c0 + m.shape[1]] = m
+        want = np.array([[polygon.areas_within(e, np.array([[j, i, j + 1, i + 1]], float))[0] > 1e-10 for j in range(10)] for i in range(12)])
+        assert (hit == want).all()
+
+
+def test_clip_adds_up_and_bounds_hold():
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        e = batch(star(rng, rng.integers(3, 12), rng.uniform(0, 12, 2), rng.uniform(2, 8)))
+        whole = sum(polygon.areas_within(e, np.array([[x, y, x + 4, y + 4]], float))[0] for x in range(-12, 28, 4) for y in range(-12, 28, 4))
+        assert whole == pytest.approx(polygon.areas(e, 1)[0])
+        box = polygon.bounds_within(e, np.array([[2.0, 3.0, 9.0, 8.0]]))[0]
+        share = np.array([(x, y) for x in np.arange(2.05, 9, 0.1) for y in np.arange(3.05, 8, 0.1) if polygon.areas_within(e, np.array([[x - 0.05, y - 0.05, x + 0.05, y + 0.05]]))[0] > 1e-9]).reshape(-1, 2)
+        if len(share):
+            assert np.abs(np.concatenate([share.min(0) - 0.05, share.max(0) + 0.05]) - box).max() < 0.13
 
 
 def test_grids(spark):
@@ -246,53 +292,41 @@ def test_parts_touching(spark):
     assert boxes.at_least(df, "score", 0.7).count() == 4 and boxes.at_least(df, "score", None).count() == 7
 
 
-def test_masks_two_ways(spark):
-    rng = np.random.default_rng(6)
-    b = [(int(i % 3), int(i % 2), int(i), int(1 + i % 4), float(x), float(x + w), float(y), float(y + h)) for i, (x, y, w, h) in enumerate(rng.integers(-5, 40, (40, 4)) % [40, 40, 12, 12])]
-    df = spark.createDataFrame(b, "patch_id long, band int, seq long, dfm int, x0 double, x1 double, y0 double, y1 double")
-    cells = got(patches.burned(patches.touched_cells(df, 2.0, 16), "patch_id", "dfm", "seq"))
-    dense = {r.patch_id: np.frombuffer(bytes(r.mask), np.uint8).reshape(3, 16, 16) for r in patches.burn_masks(df, "patch_id", "dfm", "seq", 2.0, 16).collect()}
-    assert cells == {(p, int(k), int(i), int(j), int(m[k, i, j])) for p, m in dense.items() for k, i, j in zip(*np.nonzero(m), strict=True)}
+def test_masks_in_the_patches_own_pixels(spark):
+    # patch 1: 600 m wide, 100 m high at 0.5 m; patch 2: 40 m at 0.25 m; patch 3 has no resolution
+    box = lambda x0, y0, x1, y1: [[True, [x0, x1, x1, x0], [y0, y0, y1, y1]]]
+    b = [
+        (1, 0, 1, 2, box(10.2, 98.0, 11.6, 99.0), 0.0, 0.0, 600.0, 100.0, 0.5), (1, 0, 2, 3, box(590.0, 1.0, 605.0, 5.0), 0.0, 0.0, 600.0, 100.0, 0.5),
+        (2, 1, 3, 1, box(-3.0, 39.0, 1.0, 40.0), 0.0, 0.0, 40.0, 40.0, 0.25), (2, 1, 4, 4, box(0.5, 39.9, 0.6, 40.0), 0.0, 0.0, 40.0, 40.0, 0.25),
+        (3, 0, 5, 1, box(0.0, 0.0, 1.0, 1.0), 0.0, 0.0, 1.0, 1.0, None), (2, 7, 6, 1, box(0.0, 0.0, 1.0, 1.0), 0.0, 0.0, 40.0, 40.0, 0.25)]
+    df = spark.createDataFrame(b, "patch_id long, band int, seq long, dfm int, r_rings array<struct<outer:boolean,x:array<double>,y:array<double>>>, minx double, miny double, maxx double, maxy double, res double")
+    got_ = {r.patch_id: np.frombuffer(bytes(r.mask), np.uint8).reshape(r.n_rows, r.n_cols, 3) for r in patches.burn_masks(df).collect()}
+    want = {1: np.zeros((200, 1200, 3), int), 2: np.zeros((160, 160, 3), int)}
+    want[1][2:4, 20:24, 0], want[1][190:198, 1180:1200, 0], want[2][0:4, 0:4, 1], want[2][0, 2, 1] = 2, 3, 1, 4
+    assert got_.keys() == want.keys() and all((got_[k] == want[k]).all() for k in want)
+    sums = {(k, int(j), int(v), int((m[..., j] == v).sum()), int(np.nonzero(m[..., j] == v)[0].sum()), int(np.nonzero(m[..., j] == v)[1].sum())) for k, m in want.items() for j in range(3) for v in np.unique(m[..., j]) if v}
+    assert got(patches.mask_sums(df)) == sums
+    assert patches.burn_masks(df.limit(0)).count() == 0
     with pytest.raises(ValueError, match="classes"):
         patches.class_bands(["a", "b", "c", "d"])
 
 
-def test_masks_in_the_patches_own_pixels(spark):
-    # patch 1: 600 m wide, 100 m high at 0.5 m; patch 2: 40 m at 0.25 m; seq 2 lies beyond 512 m, seq 4 overlaps seq 3 and wins
-    b = [(1, 0, 1, 2, 10.2, 11.6, 1.0, 2.0, 0.5, 200, 1200), (1, 0, 2, 3, 590.0, 605.0, 95.0, 99.0, 0.5, 200, 1200), (2, 1, 3, 1, -3.0, 1.0, 0.0, 1.0, 0.25, 160, 160), (2, 1, 4, 4, 0.5, 0.6, 0.0, 0.1, 0.25, 160, 160)]
-    df = spark.createDataFrame(b, "patch_id long, band int, seq long, dfm int, x0 double, x1 double, y0 double, y1 double, res double, h long, w long")
-    want = {(1, 0, 2, 2, 3, 4): 2 * 4, (1, 0, 3, 190, 197, 1180, 1199): 8 * 20, (2, 1, 1, 0, 3, 0, 3): 15, (2, 1, 4, 0, 0, 2, 2): 1}
-    cells = patches.burned(patches.touched_cells(df, "res", "h", "w"), "patch_id", "dfm", "seq")
-    sums = ["patch_id", "band", "v", "n", "sum_row", "sum_col"]
-    by_cell = got(cells.groupBy("patch_id", "band", "v").agg(F.count("v").alias("n"), F.sum("row").alias("sum_row"), F.sum("col").alias("sum_col")).select(sums))
-    assert got(patches.mask_sums(df, "patch_id", "dfm", "seq", "res", "h", "w").select(sums)) == by_cell
-    assert {(r[0], r[1], r[2]): r[3] for r in by_cell} == {(k[0], k[1], k[2]): n for k, n in want.items()}
-    dense = {r.patch_id: np.frombuffer(bytes(r.mask), np.uint8).reshape(3, *((200, 1200) if r.patch_id == 1 else (160, 160))) for r in patches.burn_masks(df, "patch_id", "dfm", "seq", "res", "h", "w").collect()}
-    assert got(cells) == {(p, int(k), int(i), int(j), int(m[k, i, j])) for p, m in dense.items() for k, i, j in zip(*np.nonzero(m), strict=True)}
-
-
-def test_masks_query_against_numpy(spark):
-    from terraframe import queries
-
-    d = "/root/testdata/sf0.001"
-    size = {r.patch_id: (r.res, math.ceil(round((r.maxy - r.miny) / r.res, 6)), math.ceil(round((r.maxx - r.minx) / r.res, 6))) for r in queries.tiles(spark, d).collect()}
-    masks = {}
-    for b in sorted(queries.mask_boxes(spark, d).collect(), key=lambda b: b.seq):
-        res, h, w = size[b.patch_id]
-        m = masks.setdefault((b.patch_id, b.band), np.zeros((h, w), int))
-        r0, c0 = math.floor(b.y0 / res), math.floor(b.x0 / res)
-        m[max(r0, 0):max(math.ceil(b.y1 / res), r0 + 1), max(c0, 0):max(math.ceil(b.x1 / res), c0 + 1)] = b.dfm
-    want = {(*k, int(v), int((m == v).sum()), int(np.nonzero(m == v)[0].sum()), int(np.nonzero(m == v)[1].sum())) for k, m in masks.items() for v in np.unique(m[m > 0])}
-    assert got(queries.mask_rasterise_px(spark, d).select("patch_id", "band", "v", "n", "sum_row", "sum_col")) == want
+def test_label_corners_start_at_the_top_left(spark):
+    p = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0, 1.0)], "patch_id long, minx double, miny double, maxx double, maxy double, res double")
+    s = with_extent(spark.createDataFrame([(1, "AO", 3, "POLYGON ((10 60, 30 60, 30 90, 10 90, 10 60))"), (2, "AO", 3, "POLYGON ((90 60, 110 60, 90 90, 90 60))")], "seg_id long, arch_type string, dfm int, geometry string"))
+    shown = patches.shown_segments(p, s.withColumn("rings", polygon.wkt_rings(F.col("geometry"))), 50.0)
+    lines = {r.r_seg_id: r.line for r in patches.label_lines(patches.relative_bounds(shown), "r_arch_type", "r_dfm").collect()}
+    # the triangle's part in the patch: 3/4 of it, from x 90 to 100
+    assert lines == {1: "10 10 30 10 30 40 10 40 AO 3", 2: "90 10 100 10 100 40 90 40 AO 3"}
 
 
 def test_fraction_is_strict(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0, 1.0)], "patch_id long, minx double, miny double, maxx double, maxy double, res double")
-    s = spark.createDataFrame([(1, "a", None, -67.0, 0.0, 33.0, 10.0), (2, "b", 2, -66.0, 0.0, 34.0, 10.0), (3, "c", 3, 100.0, 100.0, 110.0, 110.0)], "seg_id long, arch_type string, dfm int, minx double, miny double, maxx double, maxy double")
-    shown = patches.shown_segments(p, s, 50.0)
+    s = with_extent(spark.createDataFrame([(1, "a", None, "POLYGON ((-67 0, 33 0, 33 10, -67 10))"), (2, "b", 2, "POLYGON ((-66 0, 34 0, 34 10, -66 10))"), (3, "c", 3, "POLYGON ((100 100, 110 100, 110 110, 100 110))"), (4, "d", 3, "POINT (5 5)")], "seg_id long, arch_type string, dfm int, geometry string"))
+    shown = patches.shown_segments(p, s.withColumn("rings", polygon.wkt_rings(F.col("geometry"))), 50.0)
     assert [r.r_seg_id for r in shown.collect()] == [2]
     line = patches.label_lines(patches.relative_bounds(shown), "r_arch_type", "r_dfm").first().line
-    assert line == "0 100 34 100 34 90 0 90 b 2"
+    assert line == "0 90 34 90 34 100 0 100 b 2"
 
 
 def test_iou_and_precision(spark):
