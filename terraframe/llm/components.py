@@ -13,6 +13,8 @@ from terraframe.functions.labels import least_roots
 from terraframe.plans import stage
 
 TASK_EDGES = 500_000  # links that one task may solve alone (about 50 MB)
+STRIP_EDGES = 50_000  # links that one task may strip alone (about 20 MB)
+MERGE_AT = 1 << 18  # links a task gathers at least before it merges them into its forest
 
 
 def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -24,18 +26,22 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def local_forest(edges: DataFrame) -> DataFrame:
     """Union-find within each partition: (v, r), each vertex of the partition with its root.
 
-    Batches are merged into the forest as they come, so memory follows the
-    vertices of the partition, not its links.
+    Links are gathered until they are as many as the forest has vertices, then
+    merged into it: memory follows the vertices of the partition, and each link
+    is sorted a bounded number of times, however many batches come.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        us, vs, n = [], [], 0
+        held: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.int64))
         for e in batches:
-            u, v = e["u"].to_numpy(np.int64), e["v"].to_numpy(np.int64)
-            if held is not None:
-                u, v = np.concatenate([u, held[0]]), np.concatenate([v, held[1]])
-            if len(u):
-                held = forest(u, v)
-        if held is not None:
+            us.append(e["u"].to_numpy(np.int64))
+            vs.append(e["v"].to_numpy(np.int64))
+            n += len(e)
+            if n >= max(MERGE_AT, len(held[0])):
+                held = forest(np.concatenate([*us, held[0]]), np.concatenate([*vs, held[1]]))
+                us, vs, n = [], [], 0
+        if n or len(held[0]):
+            held = forest(np.concatenate([*us, held[0]]), np.concatenate([*vs, held[1]])) if n else held
             yield pd.DataFrame({"v": held[0], "r": held[1]})
 
     return edges.select("u", "v").mapInPandas(run, "v bigint, r bigint")
@@ -75,43 +81,143 @@ def contract(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
     return labels
 
 
-def strip_components(edges: DataFrame, u: str = "u", v: str = "v", task_edges: int = 50_000, least_rounds: int = 2) -> DataFrame:
+def _ends(e: DataFrame) -> DataFrame:
+    """u, deg, n1, n2: each vertex with its number of neighbours and the least and greatest of them."""
+    both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return both.groupBy("u").agg(F.count(F.lit(1)).alias("deg"), F.min("v").alias("n1"), F.max("v").alias("n2"))
+
+
+def rank_chains(middles: DataFrame) -> DataFrame:
+    """(u, p, far): the two ends of the chain that each vertex of two neighbours (u, n1, n2) lies in; p the lesser end.
+
+    List ranking by pointer doubling: from each vertex one walk in either
+    direction; in a round a walk is lengthened by the walk that starts where it
+    has come to, so a chain of n vertices takes about log2 n rounds. A walk ends
+    at the first vertex that is none of `middles`. Closed rings have no end and
+    give no row: once a round ends no walk, all that are open go round in rings.
+    """
+    walk = middles.select(F.explode(F.array(F.struct(F.col("n1").alias("a"), F.col("n2").alias("b")), F.struct(F.col("n2").alias("a"), F.col("n1").alias("b")))).alias("w"), "u")
+    walk = stage(walk.select(F.col("w.a").alias("a"), "u", F.col("u").alias("ta"), F.col("w.b").alias("tu"), F.lit(True).alias("open")), "walks")
+    ended, left, rounds = walk.limit(0), walk.count(), 0
+    while left:
+        rounds += 1
+        # of the walks already ended, those matter that an open one has come to
+        onto = walk.unionByName(ended).select(F.col("a").alias("ta"), F.col("u").alias("tu"), F.col("ta").alias("na"), F.col("tu").alias("nu"), F.col("open").alias("further"))
+        walk = walk.join(onto, ["ta", "tu"], "left").select(
+            "a", "u", F.coalesce("na", "ta").alias("ta"), F.when(F.col("nu").isNull(), F.col("tu")).otherwise(F.col("nu")).alias("tu"), F.coalesce("further", F.lit(False)).alias("open"))
+        walk = stage(walk, "walks")
+        ended = ended.unionByName(walk.filter("not open"))
+        walk = walk.filter("open")
+        now = walk.count()
+        if now == left:
+            break
+        left = now
+    ends = ended.groupBy("u").agg(F.min("tu").alias("p"), F.max("tu").alias("far"), F.count(F.lit(1)).alias("n"))
+    return ends.filter("n = 2").select("u", "p", "far")
+
+
+def strip_in_task(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stripping of `strip_components` on the links one task holds: its vertices and, for each, the least of its group."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    n, a, b = len(ids), at[: len(u)], at[len(u):]
+    up, removed = np.arange(n), []
+
+    def distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        k = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+        a, b = k // n, k % n
+        return a[a != b], b[a != b]
+
+    a, b = distinct(a, b)
+    while True:
+        deg = np.bincount(np.concatenate([a, b]), minlength=n)
+        x, y = np.where(deg[b] == 1, b, a), np.where(deg[b] == 1, a, b)  # of a lone pair b, the greater
+        leaf = deg[x] == 1
+        if leaf.any():
+            up[x[leaf]] = y[leaf]
+            removed.append(x[leaf])
+            a, b = a[~leaf], b[~leaf]
+            deg = np.bincount(np.concatenate([a, b]), minlength=n)
+        # list ranking: walks over the links, either way; a walk to a vertex of two neighbours goes on by its other link
+        m, src, to = len(a), np.concatenate([a, b]), np.concatenate([b, a])
+        out = np.argsort(src, kind="stable")
+        middle = np.flatnonzero(deg[to] == 2)
+        first = np.searchsorted(src[out], to[middle])
+        one, two = out[first], out[np.minimum(first + 1, 2 * m - 1)]
+        jump = np.full(2 * m, -1)
+        jump[middle] = np.where(one == (middle + m) % (2 * m), two, one) if m else one
+        for _ in range(m.bit_length() + 2):
+            on = np.flatnonzero(jump >= 0)
+            to[on], jump[on] = to[jump[on]], jump[jump[on]]
+        chained = np.flatnonzero((deg[src] == 2) & (jump < 0))  # what still goes on stands in a ring
+        if len(chained):
+            end = np.full(n, n)
+            np.minimum.at(end, src[chained], to[chained])
+            gone = np.unique(src[chained])
+            up[gone] = end[gone]
+            removed.append(gone)
+            fold = np.arange(n)
+            fold[gone] = end[gone]
+            a, b = distinct(fold[a], fold[b])
+        if not leaf.any() and not len(chained):
+            break
+    root = least_roots(n, a, b)
+    for gone in reversed(removed):
+        root[gone] = root[up[gone]]
+    least = np.full(n, n)
+    np.minimum.at(least, root, np.arange(n))
+    return ids, ids[least[root]]
+
+
+def _one_task(e: DataFrame) -> DataFrame:
+    """(v, r) of links that fit one task."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [(b["u"].to_numpy(np.int64), b["v"].to_numpy(np.int64)) for b in batches]
+        if sum(len(x) for x, _ in held):
+            v, r = strip_in_task(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            yield pd.DataFrame({"v": v, "r": r})
+
+    return e.select("u", "v").coalesce(1).mapInPandas(run, "v bigint, r bigint")
+
+
+def strip_components(edges: DataFrame, u: str = "u", v: str = "v", task_edges: int = STRIP_EDGES) -> DataFrame:
     """(id, group_id) for each vertex of the links; group_id is the smallest id of the group.
 
-    Rounds of stripping: a vertex of one neighbour is taken off; a vertex of two
-    is spliced out of its chain, its neighbours being linked instead (list
-    contraction by independent sets: of adjacent candidates only the one of the
-    lowest random rank goes in a round). Each round takes a fixed share of all
-    trees and chains. What is left, the core where all have three neighbours
-    or more, is solved by `contract`; then the removed vertices get the label
-    of the neighbour they were folded into, round by round backwards.
+    Rounds of stripping, until no vertex of one neighbour and no chain is left,
+    whatever the size: vertices of one neighbour are taken off (of a lone pair
+    the greater); then the vertices of two neighbours are ranked along their
+    chains (`rank_chains`) and each chain is replaced by one link between its
+    ends. What is left, the core, where all have three neighbours or more or
+    stand in a closed ring, is solved by `contract`; then the removed vertices
+    get the label of the vertex they were folded into, round by round backwards.
+    Once at most `task_edges` links are left (after a first round at least), one
+    task does the further rounds in the same way (`strip_in_task`).
 
     Links may repeat or come in either direction; null ends and self-links give
     nothing, so a vertex with only such links has no row. No links: no rows.
     A group or hub of any size is fine: no step gathers a group or a
     neighbourhood, all are aggregations with map-side combine and joins.
     """
-    e = stage(clean(edges, u, v), "links")
-    n, removed = e.count(), []
-    while n and (len(removed) < least_rounds or n > task_edges):
-        k = len(removed)
-        both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.groupBy("u").agg(F.count(F.lit(1)).alias("deg"), F.min("v").alias("n1"), F.max("v").alias("n2"))
-        cand = stage(near.filter("deg <= 2").withColumn("rank", F.struct(F.xxhash64(F.col("u"), F.lit(k)), F.col("u"))), "cand")
-        told = cand.select(F.explode(F.array_distinct(F.array("n1", "n2"))).alias("u"), F.col("rank").alias("seen"), F.lit(None).cast("bigint").alias("p"), F.lit(None).cast(cand.schema["rank"].dataType).alias("rank"))
-        own = cand.select("u", F.lit(None).cast(cand.schema["rank"].dataType).alias("seen"), F.col("n1").alias("p"), "rank")
-        met = own.unionByName(told).groupBy("u").agg(F.min("seen").alias("seen"), F.max("p").alias("p"), F.max("rank").alias("rank"))
-        gone = stage(met.filter("rank is not null and (seen is null or rank < seen)").select("u", "p"), "gone")
-        removed.append(gone)
-        for side in ("u", "v"):
-            e = e.join(gone.withColumnRenamed("u", side), side, "left").withColumn(side, F.coalesce("p", side)).drop("p")
-        e = stage(clean(e), "links")
-        left = e.count()
-        if left > 0.95 * n and k + 1 >= least_rounds:
-            n = left
+    e, removed = stage(clean(edges, u, v), "links"), []
+    while True:
+        rounds = len(removed)
+        ends = stage(_ends(e).filter("deg <= 2"), "ends")
+        kinds = {r["deg"] for r in ends.select("deg").distinct().collect()}  # 1 and 2 at most
+        if 1 in kinds:
+            leaf = ends.filter("deg = 1").groupBy(F.least("u", "n1").alias("a"), F.greatest("u", "n1").alias("b")).agg(F.max(F.struct(F.col("u").alias("u"), F.col("n1").alias("p"))).alias("x"))
+            gone = stage(leaf.select("a", "b", "x.u", "x.p"), "gone")
+            removed.append(gone.select("u", "p"))
+            e = stage(e.join(gone.select(F.col("a").alias("u"), F.col("b").alias("v")), ["u", "v"], "left_anti"), "links")
+            ends = stage(_ends(e).filter("deg = 2"), "ends")
+        if not (middles := ends.filter("deg = 2")).isEmpty():
+            gone = stage(rank_chains(middles), "gone")
+            if not gone.isEmpty():
+                removed.append(gone.select("u", "p"))
+                for side in ("u", "v"):
+                    e = e.join(gone.select(F.col("u").alias(side), "p"), side, "left").withColumn(side, F.coalesce("p", side)).drop("p")
+                e = stage(clean(e), "links")
+        if len(removed) == rounds or e.count() <= task_edges:
             break
-        n = left
-    labels = contract(e, max(task_edges, 1))
+    labels = _one_task(e) if e.count() <= task_edges else contract(e, max(task_edges, 1))
     for gone in reversed(removed):
         below = gone.join(labels.withColumnRenamed("v", "p"), "p", "left").select(F.col("u").alias("v"), F.coalesce("r", "p").alias("r"))
         labels = stage(labels.union(below), "labels")
@@ -124,41 +230,44 @@ def strip_components(edges: DataFrame, u: str = "u", v: str = "v", task_edges: i
 def hierarchical_components(edges: DataFrame, u: str = "u", v: str = "v", fan: int = 8, task_edges: int = TASK_EDGES) -> DataFrame:
     """(id, group_id) by union-find: local forests, merged level by level.
 
-    Each partition makes the forest of its links. A vertex of one partition only
-    is done but for its root's label and leaves the graph; vertices that several
-    partitions share go on with their roots, in an eighth of the partitions. A
-    last task merges what is left if that is at most `task_edges` links, else
-    `contract` does it distributed. group_id is the smallest id of the group.
+    Links are range-partitioned, at most about `task_edges` to a task, also
+    those of a hub; each partition makes the forest of its links. A vertex that is
+    no root is done but for its least root's label and leaves the graph; where
+    partitions share a vertex, its roots are linked. These links go on to the
+    next level, in an eighth of the partitions (`fan`), but never more than
+    `task_edges` to a task: if a level then leaves more than nine tenths of its
+    links, `contract` does the rest distributed. group_id is the smallest id of the group.
 
     Null ends and self-links give nothing; no links, no rows.
     """
     spark = edges.sparkSession
-    e = clean(edges, u, v)
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    done: list[DataFrame] = []
-    while True:
-        tree = local_forest(e.repartition(parts, "u"))
-        seen = tree.groupBy("v").agg(F.count(F.lit(1)).alias("n"), F.collect_set("r").alias("rs"))  # at most one per partition
-        seen = stage(seen, "forest")
-        done.append(seen.filter("n = 1 and rs[0] <> v").select("v", F.col("rs")[0].alias("r")))
-        e = stage(clean(seen.filter("n > 1").select(F.col("v").alias("u"), F.explode("rs").alias("v"))), "shared")
-        left = e.count()
-        if not left:
-            labels = spark.createDataFrame([], "v bigint, r bigint")
-            break
-        if left <= task_edges:
-            labels = local_forest(e.coalesce(1))
+    e, done = stage(clean(edges, u, v), "links"), []
+    left = e.count()
+    parts = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-left // task_edges))
+    labels = None
+    while left:
+        last = parts == 1
+        tree = stage(local_forest(e.coalesce(1) if last else e.repartitionByRange(parts, "u", "v")), "forest")
+        if last:
+            labels = tree
             break
-        if parts == 1 or len(done) > 6:
+        roots = stage(tree.groupBy("v").agg(F.min("r").alias("m"), F.max("r").alias("far"), F.max(F.col("r") == F.col("v")).alias("root")), "roots")
+        done.append(roots.filter("not root").select("v", F.col("m").alias("r")))
+        shared = roots.filter("m < far").select("v", "m")
+        e = stage(clean(tree.join(shared, "v").select(F.col("r").alias("u"), F.col("m").alias("v"))), "links")
+        before, left = left, e.count()
+        fewer = max(-(-parts // fan), -(-left // task_edges))
+        if fewer > 1 and left > 0.9 * before:
             labels = contract(e, task_edges)
             least = labels.groupBy("r").agg(F.min("v").alias("m"))
             labels = labels.join(least, "r").select("v", F.col("m").alias("r"))
             break
-        parts = max(1, parts // fan)
+        parts = fewer
+    if labels is None:
+        labels = spark.createDataFrame([], "v bigint, r bigint")
     for level in reversed(done):
-        below = level.join(labels.withColumnRenamed("v", "p").withColumnRenamed("r", "top"), level["r"] == F.col("p"), "left")
-        below = below.select("v", F.coalesce("top", "r").alias("r"))
-        labels = stage(labels.union(below), "labels")
+        below = level.join(labels.select(F.col("v").alias("r"), F.col("r").alias("top")), "r", "left")
+        labels = stage(labels.union(below.select("v", F.coalesce("top", "r").alias("r"))), "labels")
     heads = labels.select(F.col("r").alias("v"), "r")
     return labels.union(heads).distinct().select(F.col("v").alias("id"), F.col("r").alias("group_id"))
 

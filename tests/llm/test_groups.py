@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 
 from terraframe.llm import components, grouping, overlap, queries
@@ -45,6 +46,41 @@ def test_components(spark, solve):
     assert solve(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_stripping_in_one_task(seed):
+    rng = np.random.default_rng(seed)
+    links = [(a, b) for a, b in shapes() if a is not None and b is not None] + [(20_000 + int(a), 20_000 + int(b)) for a, b in rng.integers(0, 50 * 4**seed, (400, 2))]
+    u, v = np.array(links).T
+    assert set(zip(*(x.tolist() for x in components.strip_in_task(u, v)), strict=True)) == groups_of(links) | {(k, k) for a, b in links if a == b for k in [a] if k not in dict(groups_of(links))}
+    assert len(components.strip_in_task(u[:0], v[:0])[0]) == 0
+
+
+def test_chains_are_ranked_to_their_ends(spark):
+    line, ring = [(i, i + 1) for i in range(10)], [(100 + i, 100 + (i + 1) % 7) for i in range(7)]
+    ends = components._ends(components.clean(spark.createDataFrame([*line, *ring, (0, 50), (0, 51)], "u long, v long")))
+    assert got(components.rank_chains(ends.filter("deg = 2").select("u", "n1", "n2"))) == {(i, 0, 10) for i in range(1, 10)}
+
+
+def test_no_task_merges_more_than_its_bound(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    links = rng.integers(0, 200_000, (300_000, 2))
+    links[:100_000, 0] = 7  # a hub with a third of all links
+    df = spark.createDataFrame(pd.DataFrame(links, columns=["a", "b"])).repartition(8).cache()
+    largest, local = [], components.local_forest
+    monkeypatch.setattr(components, "local_forest", lambda e: (largest.append(max(e.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect())), local(e))[1])
+    out = components.hierarchical_components(df, "a", "b", task_edges=20_000).toPandas()
+    want = dict(groups_of(links.tolist()))
+    assert dict(zip(out["id"], out["group_id"], strict=True)) == want
+    assert max(largest) <= 1.5 * 20_000  # range bounds are sampled
+    largest.clear()
+    assert components.contract(spark.createDataFrame([(i, i + 1) for i in range(3000)], "u long, v long"), 300).select("r").distinct().count() == 1
+    assert max(largest) <= 300
+    at = rng.permutation(6000)  # a ring in random order hardly shrinks within partitions
+    ring = spark.createDataFrame(pd.DataFrame({"a": at, "b": np.roll(at, 1)}))
+    assert components.hierarchical_components(ring, "a", "b", task_edges=300).filter("group_id = 0").count() == 6000
+    assert max(largest) <= 1.5 * 300
+
+
 def test_stars(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b"), (4, None), (None, "a"), *[(10 + i, "a") for i in range(100)]], "id long, k string")
     e = got(components.star_links(df, "id", ["k"]))
