@@ -127,15 +127,10 @@ def p9_kept(spark: SparkSession, d: str) -> DataFrame:
     return spans.without_repeats(table(spark, d, "documents"))
 
 
-def passages(spark: SparkSession, d: str) -> list[tuple[int, str]]:
-    """The held-out passages: a fixed query set, not the corpus."""
-    return [(r.item_id, r.passage) for r in table(spark, d, "eval_item").select("item_id", "passage").collect()]
-
-
 @query
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Pages that hold 20 words or more of a test passage in a row, with the passage."""
-    return leakage.leaks(table(spark, d, "documents"), passages(spark, d))
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_item"))
 
 
 @query

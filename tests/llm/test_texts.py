@@ -123,9 +123,72 @@ def test_leaks(spark):
     docs.append((17, *page(split, per=40)))
     want.add((17, 7))
     df = spark.createDataFrame(docs, SCHEMA)
-    found = [(i, " ".join(w)) for i, w in items] + [(90, "too short to leak"), (91, None)]
+    found = asked(spark, [(i, " ".join(w)) for i, w in items] + [(90, "too short to leak"), (91, None), (None, "no id"), (1, " ".join(ws[1]))])
     assert got(leakage.leaks(df, found)) == want
-    assert got(leakage.leaks(df.limit(0), found)) == set() and got(leakage.leaks(df, [])) == set()
+    assert got(leakage.leaks(df, found, slice_chars=500)) == want  # several readings of the pages
+    assert got(leakage.leaks(df.limit(0), found)) == set() and got(leakage.leaks(df, found.limit(0))) == set()
+
+
+def asked(spark, items):
+    return spark.createDataFrame(items, "item_id long, passage string")
+
+
+def holds(item, tokens):
+    """Whether 20 words or more in a row stand in the tokens, word by word or parted in two, at most one in six misread."""
+    def walk(i, j, run, bad):
+        if run >= 20 and bad * 6 <= run:
+            return True
+        if i == len(item) or j >= len(tokens) or bad * 6 > len(item):
+            return False
+        if item[i] == tokens[j]:
+            if walk(i + 1, j + 1, run + 1, bad):
+                return True
+        elif j + 1 < len(tokens) and item[i] == tokens[j] + tokens[j + 1]:
+            if walk(i + 1, j + 2, run + 1, bad):
+                return True
+        elif leakage._alike(item[i], tokens[j]) and walk(i + 1, j + 1, run + 1, bad + 1):
+            return True
+        return False
+
+    return any(walk(i, j, 0, 0) for i in range(len(item) - 19) for j in range(len(tokens)))
+
+
+def test_no_leak_is_lost(spark):
+    """Against brute force: few different words, misread and parted words, stray fragments of the same passage."""
+    rng = np.random.default_rng(31)
+    items, docs = [], []
+    for i in range(160):
+        few = i % 4 == 0
+        item = [str(w) for w in rng.choice(WORDS[:6] if few else WORDS, int(rng.integers(20, 40)))]
+        lo = int(rng.integers(0, len(item) - 19))
+        run = item[lo: lo + int(rng.integers(18, 26))]
+        at = rng.permutation(len(run))
+        n_bad, n_cut = int(rng.integers(0, 5)), int(rng.integers(0, 7))
+        out = []
+        for k, w in enumerate(run):
+            if k in at[:n_bad]:
+                out.append("x" + w[1:])
+            elif k in at[n_bad: n_bad + n_cut]:
+                out += [w[:2], w[2:]]
+            else:
+                out.append(w)
+        stray = item[lo + 12: lo + 19] if i % 3 == 0 else []
+        tokens = passage(rng, 15) + stray + passage(rng, 9) + out + passage(rng, 15)
+        items.append((i, " ".join(item)))
+        docs.append((i, "\n".join(wrap(tokens)), None))
+    want = {(i, i) for (i, text), (_, page_, _) in zip(items, docs, strict=True) if holds(text.split(), page_.split())}
+    found = got(leakage.leaks(spark.createDataFrame(docs, SCHEMA), asked(spark, items)))
+    assert 40 < len(want) < 150 and want <= found
+    assert len({(d, i) for d, i in found if d == i} - want) <= 8  # words left out or put in are borne, too
+
+
+def test_a_long_advert_is_passed_over(spark):
+    rng = np.random.default_rng(32)
+    item = passage(rng, 24)
+    lines = wrap(passage(rng, 12)) + wrap(item[:12]) + [" ".join(passage(rng, 5)) for _ in range(14)] + wrap(item[12:]) + wrap(passage(rng, 12))
+    apart = wrap(passage(rng, 12)) + wrap(item[:12]) + [" ".join([*passage(rng, 3), *item[12:]])]
+    df = spark.createDataFrame([(1, "\n".join(lines), None), (2, "\n".join(apart), None)], SCHEMA)
+    assert got(leakage.leaks(df, asked(spark, [(7, " ".join(item))]))) == {(1, 7)}
 
 
 def test_blocks_of_passages(spark, monkeypatch):
@@ -133,7 +196,7 @@ def test_blocks_of_passages(spark, monkeypatch):
     items = [(i, " ".join(passage(rng, 30))) for i in range(20)]
     df = spark.createDataFrame([(i, t, None) for i, t in items], SCHEMA)
     monkeypatch.setattr(leakage, "VOCABULARY", 100)
-    assert got(leakage.leaks(df, items)) == {(i, i) for i, _ in items}
+    assert got(leakage.leaks(df, asked(spark, items))) == {(i, i) for i, _ in items}
 
 
 def test_longest_matches_are_found():
@@ -155,6 +218,21 @@ def test_longest_matches_are_found():
     assert got_ == want
 
 
+def test_suffixes_are_in_order():
+    rng = np.random.default_rng(14)
+    codes = rng.integers(0, 4, 3000).astype(np.int64)
+    codes[500:540] = codes[900:940] = 1
+    at, head, rank = leakage.suffix_ranks(codes, 4)
+    suffix = [tuple(codes[k: k + int(np.flatnonzero(codes[k:] == 0)[0])].tolist()) if (codes[k:] == 0).any() else tuple(codes[k:].tolist()) for k in at]
+    cut = [s[: len(s) - len(s) % leakage.SEED] for s in suffix]  # the last words, fewer than four, stay unordered
+    order = np.lexsort((rank, head))
+    assert all(s[:4] <= t[:4] for s, t in zip([suffix[k] for k in order], [suffix[k] for k in order[1:]], strict=False))
+    longest = {}
+    for k, r in enumerate(rank.tolist()):
+        longest.setdefault(r, set()).add(cut[k])
+    assert all(len(v) == 1 for v in longest.values())
+
+
 def test_reports(spark, data):
     found = got(queries.p7_found(spark, data))
     assert {r.doc_id: r.n_items for r in queries.p7_report(spark, data).collect()} == {d: sum(x == d for x, _ in found) for d, _ in found}
@@ -174,7 +252,7 @@ def test_very_long_texts(spark):
     item = passage(rng, 40)
     page_ = "\n".join(wrap(passage(rng, 90_000) + item + passage(rng, 90_000)))
     docs = spark.createDataFrame([(1, page_, None)], SCHEMA)
-    assert got(leakage.leaks(docs, [(5, " ".join(item))])) == {(1, 5)}
+    assert got(leakage.leaks(docs, asked(spark, [(5, " ".join(item))]))) == {(1, 5)}
 
 
 def test_repeated_sentences_are_removed_but_once(spark):
