@@ -135,10 +135,46 @@ def test_mixture(spark):
 
 
 def test_rates():
-    for mean, cap in ((0.2, 1), (0.9, 1), (1.5, 2), (2.9, 3), (0.01, 6)):
-        c = mixing._cdf(mixing.rate_for(mean, cap), cap)
-        assert sum(1 - v for v in c) == pytest.approx(mean, abs=1e-6)
+    for mean, cap in ((0.2, 1), (0.9, 1), (1.5, 2), (2.9, 3), (0.01, 6), (1000.0, 2000), (1999.0, 2000), (30.0, 1_000_000)):
+        assert (1 - mixing._cdf(mixing.rate_for(mean, cap), cap)).sum() == pytest.approx(mean, rel=1e-6)
     assert mixing.rate_for(2, 2) == float("inf")
+    assert mixing._cdf(3.0, 4).tolist() == pytest.approx([0.0497871, 0.1991483, 0.4231901, 0.6472319])
+
+
+def test_large_caps_keep_the_shares(spark):
+    sizes = spark.range(3000).selectExpr("id as doc_id", "if(id < 20, 'few', 'many') as source", "10 + id % 7 as n_tokens")
+    targets = spark.createDataFrame([("few", 0.5, 2000), ("many", 0.5, 7)], "source string, target_share double, max_repeats int")
+    mix = mixing.mixture(sizes, targets, shuffled=False)
+    shares = {r.source: r for r in mixing.actual_shares(mix, sizes, targets).collect()}
+    assert shares["few"].actual_share == pytest.approx(0.5, abs=1e-3) and 900 < shares["few"].most_repeats < 2000
+
+
+def test_counts_are_the_inverted_distribution(spark):
+    """Each page's count from its own hash, by plain sums of the Poisson distribution."""
+    import math
+
+    sizes = spark.createDataFrame([(i, "ab"[i % 2], 1 + i * 7 % 40) for i in range(800)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.7, 3), ("b", 0.3, 2)], "source string, target_share double, max_repeats int")
+    rows = mixing.plan(sizes, targets, 20_000.0)
+    rate, cap = mixing.rates(sizes, rows, 5), {"a": 3, "b": 2}
+    want = {}
+    for r in sizes.withColumn("u", mixing.uniform(5)).collect():
+        n, below, p = 0, 0.0, math.exp(-rate[r.source])
+        while n < cap[r.source] and r.u > (below := below + p):
+            n += 1
+            p *= rate[r.source] / n
+        if n:
+            want[r.doc_id] = n
+    mix = mixing.mixture(sizes, targets, 20_000.0, 5)
+    assert {r.doc_id: r["count"] for r in mix.groupBy("doc_id").count().collect()} == want
+    tokens = {r.source: r.t for r in mix.groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    assert abs(tokens["a"] - 14_000) <= 45 and abs(tokens["b"] - 6_000) <= 45  # a page's tokens
+
+
+def test_shares_at_scale(spark):
+    """Within half a percent of all tokens on ten thousand pages."""
+    for r in queries.p8_shares(spark, "/root/testdata/sf0.1").collect():
+        assert r.actual_share == pytest.approx(r.target_share, abs=0.005) and r.most_repeats <= r.max_repeats
 
 
 def test_tokens(spark):
