@@ -26,26 +26,34 @@ def clear_stages(spark: SparkSession) -> int:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in tests on one machine, a temporary
-    folder is taken and set for this session.
+    Only where the session names none and runs on one machine, as in tests, a
+    temporary folder is taken and set for this session; on a cluster that is an error.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="terraframe-")
+        folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not folder.isDefined() and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = folder.get() if folder.isDefined() else tempfile.mkdtemp(prefix="terraframe-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at
 
 
+def held(path: str) -> str:
+    """Note a folder that was written, so that `clear_stages` deletes it too."""
+    _staged.append(path)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
     The lineage ends there: a lost executor costs a re-read, not a recomputation.
-    Column statistics of the files also let Catalyst choose joins by true sizes.
+    The size of the files, compressed, lets Catalyst choose joins by what was
+    really written; adaptive plans correct it by the rows read.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}"
-    _staged.append(path)
+    path = held(f"{shared_dir(spark)}/stage-{name}-{uuid.uuid4().hex}")
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

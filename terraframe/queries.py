@@ -18,7 +18,7 @@ from terraframe.operators import patches as P
 from terraframe.operators import polygon as Y
 from terraframe.operators import raster as R
 from terraframe.operators.spatial import rect_join, rect_semi_join
-from terraframe.plans import shared_dir, stage
+from terraframe.plans import held, shared_dir, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -70,7 +70,7 @@ def prediction_archive(spark: SparkSession, d: str) -> DataFrame:
     import uuid
 
     files = table(spark, d, "prediction_file").select("file_id", "file_path", "content")
-    return archive.write_archive(files, f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}", path="file_path")
+    return archive.write_archive(files, held(f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"), path="file_path")
 
 
 @query
