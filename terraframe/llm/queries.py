@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from terraframe.functions.geometry import with_extent
 from terraframe.llm import crosssplit, grouping, leakage, mixing, pieces, spans
 from terraframe.operators.spatial import rect_join
-from terraframe.plans import stage
+from terraframe.plans import held, shared_dir, stage
 from terraframe.queries import GRID_SQL, ext_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,6 +107,18 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumnRenamed("kind", "item_kind").withColumnRenamed("id", "item_id")
 
 
+@query
+def p6_file_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All pages written out as giant text files, cut in pieces of at most 4,096 bytes that overlap by 256."""
+    at = f"{shared_dir(spark)}/stage-pages-{uuid.uuid4().hex}"
+    texts = table(spark, d, "documents").select("text").filter("text is not null")
+    held(at)
+    texts.write.text(at)
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(at).select("path").toLocalIterator()  # one row per giant file
+    out = pieces.cut_files(spark, [r.path for r in paths], 4096, 256, 1024)
+    return out.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("file"), "piece", "start", "stop", "boundary", "text")
+
+
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     """Stretches of at least 400 characters that stand on another page too."""
@@ -179,6 +192,15 @@ SQL["p5_found"] = f"""with recursive t as (select distinct det_id as id, cls, mi
 select id as det_id, min(other) as group_id from reach group by id"""
 SQL["p6_found"] = f"""with {GRID_SQL}, i as (select 'grid' as item_kind, cell_id as item_id, minx, miny, maxx, maxy, res from cells join raster using (raster_id) union all select 'one_tile', patch_id, minx, miny, maxx, maxy, res from (select patch_id, res, {ext_sql()} from one_tile))
 select distinct item_kind, item_id from i where res > 0 and (round((maxx - minx) / res, 6) > 512 or round((maxy - miny) / res, 6) > 512)"""
+SQL["p6_pieces"] = f"""with recursive {GRID_SQL}, it as (select distinct kind, id, minx, maxy, res, round((maxx - minx) / res, 6) as w, round((maxy - miny) / res, 6) as h, miny, maxx from (select 'grid' as kind, cell_id as id, minx, miny, maxx, maxy, res from cells join raster using (raster_id) union all select 'one_tile', patch_id, minx, miny, maxx, maxy, res from (select patch_id, res, {ext_sql()} from one_tile)) where res > 0 and minx is not null),
+ big as (select * from it where greatest(w, h) > 512), {_OBJ}, sg as (select distinct minx, miny, maxx, maxy from (select {ext_sql()} from segments_gdf) where minx is not null),
+ ob as (select kind, id, l, t, r, b from big join o on kind = 'one_tile' and id = o.patch_id union all select kind, id, (s.minx - big.minx) / res, (big.maxy - s.maxy) / res, (s.maxx - big.minx) / res, (big.maxy - s.miny) / res from big join sg s on kind = 'grid' and s.minx <= big.maxx and s.maxx >= big.minx and s.miny <= big.maxy and s.maxy >= big.miny),
+ ax as (select distinct kind, id, 'x' as axis, w as len from big union select distinct kind, id, 'y', h from big), sp as (select kind, id, 'x' as axis, l as a, r as b from ob union all select kind, id, 'y', t, b from ob),
+ px as (select kind, id, axis, len, unnest(range(0, cast(ceil(len) as bigint) + 1)) as x from ax), cutting as (select distinct kind, id, axis, x from px join sp using (kind, id, axis) where a < x and x < b),
+ fr as (select px.*, cutting.x is null as free from px left join cutting using (kind, id, axis, x)), nx as (select kind, id, axis, len, x, free, max(case when free then x end) over (partition by kind, id, axis order by x range between 1 following and 448 following) as far from fr),
+ walk(kind, id, axis, len, k, c, nat) as (select kind, id, axis, len, cast(0 as bigint), cast(64 as bigint), true from ax union all select w.kind, w.id, w.axis, w.len, w.k + 1, coalesce(nx.far, w.c + 448), nx.far is not null from walk w join nx on nx.kind = w.kind and nx.id = w.id and nx.axis = w.axis and nx.x = w.c where w.c + 448 < w.len),
+ pc as (select kind, id, axis, k, cast(lag(c) over (partition by kind, id, axis order by k) - 64 as double) as lo, cast(c as double) as hi, nat from walk union all select kind, id, axis, max(k) + 1, cast(max(c) - 64 as double), any_value(len), true from walk group by kind, id, axis)
+select x.kind as item_kind, x.id as item_id, x.k as piece_x, y.k as piece_y, x.lo as x0, y.lo as y0, x.hi as x1, y.hi as y1, x.nat and y.nat as natural from pc x join pc y on x.kind = y.kind and x.id = y.id where x.axis = 'x' and y.axis = 'y' and x.k > 0 and y.k > 0"""
 SQL["p9_found"] = """with w as (select doc_id, i - 1 as pos, md5(substr(text, i, 400)) as h from (select doc_id, text, unnest(range(1, length(text) - 398)) as i from documents where length(text) >= 400)),
  s as (select doc_id, pos from w where h in (select h from w group by h having min(doc_id) < max(doc_id))),
  g as (select *, case when pos <= lag(pos) over (partition by doc_id order by pos) + 400 then 0 else 1 end as new from s),

@@ -92,7 +92,35 @@ def test_pieces_cover_and_stay_within(spark):
                 assert not (r.x1 < size[k, i][0] and lo < r.x1 < hi) and not (r.y1 < size[k, i][1] and to < r.y1 < bo)
     assert pieces.cut_items(di.limit(0), do).count() == 0 and pieces.cut_items(di, do.limit(0)).filter("not natural").count() == 0
     with pytest.raises(ValueError, match="limit"):
-        pieces.cut_items(di, do, limit=200, overlap=64, window=100)
+        pieces.cut_items(di, do, limit=100, overlap=64)
+
+
+def fewest_through_spans(length, spans, limit=512, overlap=64):
+    """Least number of cuts through spans, by trying all places from the left."""
+    free = [not any(a < x < b for a, b in spans) for x in range(int(length) + limit)]
+    best = {overlap: 0}
+    for at in range(overlap, int(length) + 1):
+        if at in best:
+            if at + limit - overlap >= length:
+                continue
+            for to in range(at + 1, at + limit - overlap + 1):
+                best[to] = min(best.get(to, 10**9), best[at] + (not free[to]))
+    return min(n for at, n in best.items() if at + limit - overlap >= length)
+
+
+@pytest.mark.parametrize("range_px", [pieces.RANGE_PX, 700])
+def test_no_cut_goes_through_an_object_needlessly(spark, range_px):
+    rng = np.random.default_rng(19)
+    items = [("g", i, float(w), 100.0) for i, w in enumerate([513, 700, 700.5, 1400, 2600, 5000, 900, 3000])]
+    objs = [("g", 1, 150.0, 0.0, 400.0, 9.0), *[("g", 6, 40.0 * k, 0.0, 40.0 * k + 39.5, 9.0) for k in range(23)], ("g", 7, -50.0, 0.0, 2990.0, 9.0)]
+    objs += [("g", int(i), float(a), 0.0, float(a + w), 9.0) for i, a, w in zip(rng.choice([2, 3, 4, 5], 200), rng.uniform(-20, 5000, 200), rng.uniform(0, 500, 200) ** 1.2 / 9, strict=True)]
+    out = pieces.cut_items(spark.createDataFrame(items, "kind string, id long, width double, height double"), spark.createDataFrame(objs, "kind string, id long, l double, t double, r double, b double"), range_px=range_px).collect()
+    for _, i, width, _ in items:
+        seq = sorted((r for r in out if r.id == i), key=lambda r: r.piece_x)
+        assert [r.piece_x for r in seq] == list(range(1, len(seq) + 1)) and seq[0].x0 == 0 and seq[-1].x1 == width
+        assert all(r.x1 - r.x0 <= 512 for r in seq) and all(b.x0 == a.x1 - 64 for a, b in zip(seq, seq[1:], strict=False))
+        assert sum(not r.natural for r in seq) == fewest_through_spans(width, [(o[2], o[4]) for o in objs if o[1] == i])
+    assert [(r.x0, r.x1) for r in sorted((r for r in out if r.id == 1), key=lambda r: r.piece_x)] == [(0, 512), (448, 700)]
 
 
 def test_giant_files_in_ranges(spark, tmp_path):
@@ -101,16 +129,28 @@ def test_giant_files_in_ranges(spark, tmp_path):
     (tmp_path / "a.txt").write_text(text, encoding="utf-8")
     (tmp_path / "b.txt").write_text("y" * 5000)
     (tmp_path / "c.txt").write_text("")
-    out = pieces.cut_files(spark, [str(tmp_path / n) for n in ("a.txt", "b.txt", "c.txt")], 1000, 50, 200).collect()
+    (tmp_path / "d.txt").write_text("short")
+    (tmp_path / "e.txt").write_text("日" * 4000, encoding="utf-8")
+    paths = [str(tmp_path / f"{n}.txt") for n in "abcde"]
+    whole = {tuple(r) for r in pieces.cut_files(spark, paths, 1000, 50, 200).collect()}
+    out = pieces.cut_files(spark, paths, 1000, 50, 200, range_bytes=1700).collect()
+    assert {tuple(r) for r in out} == whole  # ranges don't show
     raw = {p: open(p, "rb").read() for p in {r.path for r in out}}
+    assert len(raw) == 5
     for path, body in raw.items():
         seq = sorted((r for r in out if r.path == path), key=lambda r: r.piece)
-        assert seq[0].start == 0 and seq[-1].stop == len(body)
+        assert [r.piece for r in seq] == list(range(1, len(seq) + 1)) and seq[0].start == 0 and seq[-1].stop == len(body)
         for r in seq:
             assert r.stop - r.start <= 1000 and body[r.start:r.stop].decode() == r.text
         assert all(0 <= a.stop - b.start <= 50 and a.stop - b.start > 46 for a, b in zip(seq, seq[1:], strict=False))
+        for r in seq[:-1]:  # a worse boundary is taken only where the window has no better
+            late = body[max(r.start, r.stop - 1):r.start + 1000]
+            if r.boundary in ("word", "sentence"):
+                assert b"\n" not in late[1:]
     assert any(r.boundary == "none" for r in out) and any(r.boundary == "paragraph" for r in out)
-    assert sum(r.path.endswith("c.txt") for r in out) == 1
+    assert sum(r.path.endswith("c.txt") for r in out) == 1 == sum(r.path.endswith("d.txt") for r in out)
+    with pytest.raises(ValueError, match="limit"):
+        pieces.cut_files(spark, paths, 100, 60, 20)
 
 
 # ---- mixing
