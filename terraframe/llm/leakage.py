@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -57,7 +59,7 @@ def as_printed(text: str, x0: list[int], y0: list[int], x1: list[int]) -> str:
     out = []
     for n, line in enumerate(lines):
         x = x0[n]
-        own = int(np.searchsorted(starts, x, "right")) - 1
+        own = bisect_right(starts, x) - 1
         keep = not any(lo <= x <= hi for lo, hi in inset_from)
         if "   " in line or "\t" in line:
             parts = _GAP.split(line.strip())
@@ -256,31 +258,32 @@ def _chained(item: list[str], page: list[str], line: np.ndarray, slip: int) -> b
         if j + 1 < len(page):
             at += [(i, j, 2) for i in places.get(w + page[j + 1], ())]
     gain, back = [0] * len(at), [-1] * len(at)
-    opens = [j for j in range(len(page)) if j and line[j] != line[j - 1]]
-    closes = set(j - 1 for j in opens)
+    starts = (np.flatnonzero(np.diff(line)) + 1).tolist()
+    opens, closes = {0, *starts}, {j - 1 for j in starts}
     order = sorted(range(len(at)), key=lambda m: (at[m][0], at[m][1]))
     most = max(3, len(item) // ONE_IN)
-    best_close: list[tuple[int, int, int]] = []  # (item word, page word, match) of matches that end a line
+    closing: list[list[tuple[int, int]]] = [[] for _ in item]  # matches that end a line, by their item word
     for m in order:
         i, j, n = at[m]
         best, source = None, -1
         for gi in range(min(most, i) + 1):
-            ended = ends[i - 1 - gi] if i - 1 - gi >= 0 else {}
+            if i - 1 - gi < 0 or not (ended := ends[i - 1 - gi]):
+                continue
             for gp in range(max(0, gi - slip), gi + slip + 1):
                 for q, g in ended.get(j - 1 - gp, ()):
                     if best is None or g - (ONE_IN - 1) * gi > best:
                         best, source = g - (ONE_IN - 1) * gi, q
-        starts_line = [gi for gi in range(min(most, i) + 1) if j - gi == 0 or (j - gi > 0 and line[j - gi] != line[j - gi - 1])]
-        for gi in starts_line:
-            for ci, cj, q in best_close:
-                if ci == i - 1 - gi and cj < j - gi and (best is None or gain[q] - (ONE_IN - 1) * gi > best):
-                    best, source = gain[q] - (ONE_IN - 1) * gi, q
+        for gi in range(min(most, i, j) + 1):
+            if j - gi in opens and i - 1 - gi >= 0:
+                for cj, q in closing[i - 1 - gi]:
+                    if cj < j - gi and (best is None or gain[q] - (ONE_IN - 1) * gi > best):
+                        best, source = gain[q] - (ONE_IN - 1) * gi, q
         gain[m] = 1 + max(best, -4 * ONE_IN) if best is not None else 1
         back[m] = source
         last = j + n - 1
         ends[i].setdefault(last, []).append((m, gain[m]))
         if last in closes:
-            best_close.append((i, last, m))
+            closing[i].append((last, m))
     for m in sorted(range(len(at)), key=lambda m: -gain[m]):
         good, k, first = np.zeros(len(item), bool), m, m
         while k >= 0:
@@ -369,8 +372,8 @@ def _search(blocks: list[list[tuple[int, list[str]]]]):
                 tokens.append(PAGE_END)
                 bounds.append(len(tokens))
             ids, bounds = b["doc_id"].to_numpy(), np.asarray(bounds)
-            real = np.fromiter((k for k, w in enumerate(tokens) if w != "\n"), np.int64)  # line breaks are no words
-            plain = [tokens[k] for k in real]
+            plain = [w for w in tokens if w != "\n"]
+            real = np.array([k for k, w in enumerate(tokens) if w != "\n"], np.int64)  # line breaks are no words
             first = np.searchsorted(real, bounds)
             for passages in sets:
                 out = [(int(ids[d]), i) for d, i in _found(passages, plain, real, first)]
@@ -383,7 +386,7 @@ def _search(blocks: list[list[tuple[int, list[str]]]]):
 def _found(passages: Passages, plain: list[str], real: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
     """(page number, item id) of a batch: words of all pages, their places among words and line breaks, first word of each page."""
     number = passages.number
-    codes = np.fromiter((number.get(w, 0) for w in plain), np.int64, len(plain))
+    codes = np.array(list(map(number.get, plain, repeat(0))), np.int64)
     hits = [passages.matches(codes)]
     joined, places = rejoined(plain, codes, number, passages.pairs)
     if len(places) < len(codes):
