@@ -9,6 +9,8 @@ from terraframe.functions.geometry import NUMBER, with_extent
 from terraframe.plans import stage
 
 IOU, CONTAINED, TOLERANCE_PX, TOKEN_PX = 0.8, 0.75, 8, 32
+HOT_WORD = 4000  # training words of one hash that one task should meet at most
+_OBJECT = rf"^\s*(?:{NUMBER}\s+){{8}}\S"
 
 
 def split_of(name: Column) -> Column:
@@ -23,26 +25,25 @@ def label_objects(text: Column) -> Column:
     A line has eight corner numbers in any order, a class and more fields;
     others are no objects. Line ends may be LF or CR LF. Null gives null.
     """
-    f = F.transform(F.split(text, r"\r?\n"), lambda s: F.split(F.regexp_replace(s, r"^\s+|\s+$", ""), r"\s+"))
-    f = F.filter(f, lambda a: (F.size(a) >= 9) & F.forall(F.slice(a, 1, 8), lambda v: v.rlike(f"^{NUMBER}$")))
-
-    def box(a: Column) -> Column:
-        n = F.transform(F.slice(a, 1, 8), lambda v: v.cast("double"))
-        xs, ys = F.array(*[n[i] for i in (0, 2, 4, 6)]), F.array(*[n[i] for i in (1, 3, 5, 7)])
-        return F.struct(F.lower(a[8]).alias("cls"), F.array_min(xs).alias("l"), F.array_min(ys).alias("t"), F.array_max(xs).alias("r"), F.array_max(ys).alias("b"))
-
-    return F.transform(f, box)
+    lines = F.filter(F.split(text, r"\r?\n"), lambda s: s.rlike(_OBJECT))
+    # step by step: what a lambda names is worked out once
+    fields = F.transform(lines, lambda s: F.split(F.regexp_replace(s, r"^\s+", ""), r"\s+", 10))
+    parts = F.transform(fields, lambda f: F.struct(F.lower(f[8]).alias("cls"), F.slice(f, 1, 8).cast("array<double>").alias("n")))
+    ends = lambda g, n, ks: g(*[n[k] for k in ks])
+    return F.transform(parts, lambda p: F.struct(
+        p["cls"].alias("cls"), ends(F.least, p["n"], (0, 2, 4, 6)).alias("l"), ends(F.least, p["n"], (1, 3, 5, 7)).alias("t"), ends(F.greatest, p["n"], (0, 2, 4, 6)).alias("r"), ends(F.greatest, p["n"], (1, 3, 5, 7)).alias("b")))
 
 
 def cross_split_pairs(patches: DataFrame, iou: float = IOU, contained: float = CONTAINED, tolerance: int = TOLERANCE_PX) -> DataFrame:
     """(eval_id, train_id) of patches of the same ground with agreeing labels, one in train, one in validation or test.
 
-    A record's words are its objects. Each is hashed with its class, its corner
+    A record's words are its objects, taken one by one: neighbours may change
+    places within the tolerance, so longer n-grams would lose cases. Each is hashed with its class, its corner
     in steps of 32 px and the ground cell of its patch; evaluation records are
     hashed under every neighbouring value within the tolerance, so no case is
     missed. Training words are scanned against these hashes, partitioned by
     hash, and the containment of each evaluation record in each training record
-    and back is counted: both must reach `contained`, the extents an
+    and back is counted; words that crowds of training records share are salted. Both must reach `contained`, the extents an
     intersection over union of `iou`. Several objects may share a counterpart.
 
     Exact copies (same extent, objects and side) are compared once and only the
@@ -80,9 +81,18 @@ def cross_split_pairs(patches: DataFrame, iou: float = IOU, contained: float = C
     near = F.expr("e_cls = t_cls and " + " and ".join(f"abs(e_{c} - t_{c}) <= {tolerance}" for c in "ltrb"))
     inter = F.expr("greatest(0D, least(e_maxx, t_maxx) - greatest(e_minx, t_minx)) * greatest(0D, least(e_maxy, t_maxy) - greatest(e_miny, t_miny))")
     both = F.expr("(e_maxx - e_minx) * (e_maxy - e_miny) + (t_maxx - t_minx) * (t_maxy - t_miny)") - inter
-    hits = t.join(e, "word").filter(near & (inter / both >= iou))
+    t, e = _salted(t, e)
+    hits = t.join(e, ["word", "salt"]).filter(near & (inter / both >= iou))
     found = hits.groupBy("e_rep", "t_rep", "e_n", "t_n").agg(F.size(F.collect_set("e_no")).alias("e_in"), F.size(F.collect_set("t_no")).alias("t_in"))
     found = found.filter((F.col("e_in") >= F.col("e_n") * contained) & (F.col("t_in") >= F.col("t_n") * contained)).select("e_rep", "t_rep")
     ids = lambda s, n: members.filter(F.col("side") == s).select(F.col("rep").alias(f"{s}_rep"), F.col("patch_id").alias(n))
     out = found.join(ids("e", "eval_id"), "e_rep").join(ids("t", "train_id"), "t_rep")
     return out.filter("eval_id <> train_id").select("eval_id", "train_id").distinct()
+
+
+def _salted(t: DataFrame, e: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with `salt`: a word that many training rows have is spread over salts, its evaluation rows go to all of them."""
+    crowd = stage(t.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT_WORD).select("word", F.ceil(F.col("n") / HOT_WORD).cast("int").alias("salts")), "crowd")
+    t = t.join(crowd, "word", "left").withColumn("salt", F.pmod(F.xxhash64("t_rep"), F.coalesce("salts", F.lit(1)).cast("long")).cast("int")).drop("salts")
+    e = e.join(crowd, "word", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    return t, e

@@ -18,6 +18,13 @@ def test_found_against_brute_force(spark, data):
 # ---- cross-split overlaps
 
 
+def test_crowded_words_are_salted(spark, monkeypatch):
+    d = "/root/testdata/sf0.001"
+    want = brute.cross_split(d)
+    monkeypatch.setattr(crosssplit, "HOT_WORD", 1)
+    assert want and got(queries.p2_found(spark, d)) == want
+
+
 def square(x, y, w):
     return f"POLYGON (({x} {y}, {x + w} {y}, {x + w} {y + w}, {x} {y + w}, {x} {y}))"
 
