@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from terraframe.functions.geometry import to_world
 from terraframe.functions.labels import least_roots
 from terraframe.functions.scalars import half_even, is_confident, score_text
+from terraframe.operators.raster import outline
 
 BOX = ["minx", "miny", "maxx", "maxy"]
 
@@ -51,75 +51,107 @@ def touching(group: np.ndarray, x0: np.ndarray, y0: np.ndarray, x1: np.ndarray,
     return (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (a, a)
 
 
-def parts(boxes: DataFrame, group: str, box_no: str = "box_no") -> DataFrame:
-    """Boxes of a file merged to disjoint parts: group, box_no, part, score and the bounds of each box, reach.
-
-    Boxes with a common area or a common edge of some length belong together,
-    directly or over others; a shared corner does not join them. part is the
-    least box_no of the part. reach is the best score among all boxes of the
-    file that touch this box, corners included. Boxes without area are left out.
-
-    Files are sorted within their partitions and swept many at a time, so tiny
-    files cost no task or call each.
-    """
-    def solve(p: pd.DataFrame) -> pd.DataFrame:
-        g = p["g"].to_numpy()
-        x0, y0, x1, y1 = (p[c].to_numpy() for c in BOX)
-        a, b = touching(g, x0, y0, x1, y1)
-        score = p["score"].to_numpy(float)
-        reach = score.copy()
-        np.fmax.at(reach, a, score[b])
-        np.fmax.at(reach, b, score[a])
-        w = np.minimum(x1[a], x1[b]) - np.maximum(x0[a], x0[b])
-        h = np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b])
-        joined = w + h > 0
-        a, b = a[joined], b[joined]
-        no = p["no"].to_numpy()
-        rank = np.lexsort((no, g))
-        place = np.empty(len(p), int)
-        place[rank] = np.arange(len(p))
-        root = least_roots(len(p), place[a], place[b])
-        return p.assign(part=no[rank[root[place]]], reach=reach)
-
+def _merged(p: pd.DataFrame) -> pd.DataFrame:
+    """part and reach of the boxes of whole files, sorted by file, then minx."""
+    g = p["g"].to_numpy()
+    x0, y0, x1, y1 = (p[c].to_numpy() for c in BOX)
+    a, b = touching(g, x0, y0, x1, y1)
+    score = p["score"].to_numpy(float)
+    reach = score.copy()
+    np.fmax.at(reach, a, score[b])
+    np.fmax.at(reach, b, score[a])
+    w = np.minimum(x1[a], x1[b]) - np.maximum(x0[a], x0[b])
+    h = np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b])
+    joined = w + h > 0
+    a, b = a[joined], b[joined]
+    no = p["no"].to_numpy()
+    rank = np.lexsort((no, g))
+    place = np.empty(len(p), int)
+    place[rank] = np.arange(len(p))
+    root = least_roots(len(p), place[a], place[b])
+    return p.assign(part=no[rank[root[place]]], reach=reach)
+
+
+def _by_file(boxes: DataFrame, group: str, box_no: str, make: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """`make` of the boxes of many whole files at a time: sorted within partitions, so tiny files cost no task or call each."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for p in batches:
             p = p if held is None else pd.concat([held, p], ignore_index=True)
             if not len(p):
                 continue
-            last = int(np.flatnonzero((p["g"] != p["g"].iloc[-1]).to_numpy())[-1] + 1) if (p["g"] != p["g"].iloc[-1]).any() else 0
+            other = np.flatnonzero((p["g"] != p["g"].iloc[-1]).to_numpy())
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
-                yield solve(p.iloc[:last].reset_index(drop=True))
+                yield make(p.iloc[:last].reset_index(drop=True))
             held = p.iloc[last:].reset_index(drop=True)
         if held is not None and len(held):
-            yield solve(held)
+            yield make(held)
 
     rows = boxes.select(F.col(group).cast("long").alias("g"), F.col(box_no).cast("long").alias("no"), F.col("score").cast("double").alias("score"), *[F.col(c).cast("double").alias(c) for c in BOX])
     rows = rows.filter("g is not null and no is not null and maxx > minx and maxy > miny").repartition("g").sortWithinPartitions("g", "minx")
-    out = rows.mapInPandas(run, "g long, no long, score double, minx double, miny double, maxx double, maxy double, part long, reach double")
+    return rows.mapInPandas(run, schema)
+
+
+def parts(boxes: DataFrame, group: str, box_no: str = "box_no") -> DataFrame:
+    """Boxes of a file merged to disjoint parts: group, box_no, part, score and the bounds of each box, reach.
+
+    Boxes with a common area or a common edge of some length belong together,
+    directly or over others; a shared corner does not join them. part is the
+    least box_no of the part. reach is the best score among all boxes of the
+    file that touch this box, corners included. Boxes without area are left out.
+    """
+    out = _by_file(boxes, group, box_no, _merged, "g long, no long, score double, minx double, miny double, maxx double, maxy double, part long, reach double")
     return out.withColumnRenamed("g", group).withColumnRenamed("no", box_no)
 
 
-def part_scores(merged: DataFrame, group: str) -> DataFrame:
-    """group, part, score (best of all boxes that touch the part), number of boxes and the part's bounds."""
-    return merged.groupBy(group, "part").agg(F.max("reach").alias("score"), F.count(F.lit(1)).alias("n_boxes"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+def union_of(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The edges' coordinates in x and y, and which fields between them the boxes cover (row by y)."""
+    xs, ys = np.unique(np.concatenate([x0, x1])), np.unique(np.concatenate([y0, y1]))
+    step = np.zeros((len(ys), len(xs)), np.int64)
+    i, j, k, l = (np.searchsorted(v, w) for v, w in ((ys, y0), (ys, y1), (xs, x0), (xs, x1)))
+    for r, c, sign in ((i, k, 1), (i, l, -1), (j, k, -1), (j, l, 1)):
+        np.add.at(step, (r, c), sign)
+    return xs, ys, step.cumsum(0).cumsum(1)[:-1, :-1] > 0
+
+
+def union_wkt(xs: np.ndarray, ys: np.ndarray, covered: np.ndarray) -> str:
+    """Outline of the covered fields, which hang together, as polygon text; points on straight sides are left out."""
+    rings = []
+    for ring in outline(*np.nonzero(covered)):
+        pts = ring[:-1]
+        turn = [p for k, p in enumerate(pts) if (p[0] - pts[k - 1][0]) * (pts[(k + 1) % len(pts)][1] - p[1]) != (p[1] - pts[k - 1][1]) * (pts[(k + 1) % len(pts)][0] - p[0])]
+        rings.append("(" + ", ".join(f"{float(xs[x])!r} {float(ys[y])!r}" for x, y in [*turn, turn[0]]) + ")")
+    return f"POLYGON ({', '.join(rings)})"
 
 
-def union_area(merged: DataFrame, group: str) -> DataFrame:
-    """group, part, area of the union of the part's boxes, overlap counted once.
+def part_features(boxes: DataFrame, group: str, box_no: str = "box_no", geometry: bool = False) -> DataFrame:
+    """One row per part of `parts`: group, part, n_boxes, score (best of all boxes that touch the part), area (overlap counted once), bounds, and on demand its outline.
 
-    Strips between neighbouring x edges; in each, the covered y length by a
-    running maximum. All windows run within a part or a strip of it.
+    Merging, scores and areas are made in one sweep where a file's boxes lie
+    sorted: one shuffle in all. The boxes of one file, a tile's detections, are held together.
     """
-    key = [group, "part"]
-    edges = merged.select(*key, F.explode(F.array("minx", "maxx")).alias("x")).distinct()
-    strips = edges.withColumn("x2", F.lead("x").over(W.partitionBy(*key).orderBy("x"))).filter("x2 is not null")
-    boxes = merged.select(*[F.col(k).alias(f"b_{k}") for k in key], *BOX)
-    cond = [F.col(k) == F.col(f"b_{k}") for k in key] + [F.col("minx") <= F.col("x"), F.col("maxx") >= F.col("x2")]
-    inside = strips.join(boxes, cond)
-    past = F.max("maxy").over(W.partitionBy(*key, "x").orderBy("miny", "maxy").rowsBetween(W.unboundedPreceding, -1))
-    new = F.greatest(F.lit(0.0), F.col("maxy") - F.greatest("miny", F.coalesce(past, F.col("miny"))))
-    return inside.withColumn("a", (F.col("x2") - F.col("x")) * new).groupBy(*key).agg(F.sum("a").alias("area"))
+    def make(p: pd.DataFrame) -> pd.DataFrame:
+        m = _merged(p).sort_values(["g", "part"], kind="stable")
+        g, part = m["g"].to_numpy(), m["part"].to_numpy()
+        first = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (part[1:] != part[:-1])]))
+        x0, y0, x1, y1 = (m[c].to_numpy() for c in BOX)
+        n = np.diff(np.append(first, len(m)))
+        area = ((x1 - x0) * (y1 - y0))[first]
+        shape: list[str | None] = [None] * len(first)
+        for k in np.flatnonzero(n > 1) if not geometry else range(len(first)):
+            s = slice(first[k], first[k] + n[k])
+            xs, ys, covered = union_of(x0[s], y0[s], x1[s], y1[s])
+            if n[k] > 1:
+                area[k] = np.diff(ys) @ covered @ np.diff(xs)
+            if geometry:
+                shape[k] = union_wkt(xs, ys, covered)
+        return pd.DataFrame({
+            "g": g[first], "part": part[first], "n_boxes": n, "score": np.maximum.reduceat(m["reach"].to_numpy(), first), "area": area,
+            "minx": np.minimum.reduceat(x0, first), "miny": np.minimum.reduceat(y0, first), "maxx": np.maximum.reduceat(x1, first), "maxy": np.maximum.reduceat(y1, first), "geometry": shape})
+
+    out = _by_file(boxes, group, box_no, make, "g long, part long, n_boxes long, score double, area double, minx double, miny double, maxx double, maxy double, geometry string")
+    return (out if geometry else out.drop("geometry")).withColumnRenamed("g", group)
 
 
 def at_least(features: DataFrame, column: str, limit: float | None) -> DataFrame:

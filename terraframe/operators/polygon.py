@@ -12,8 +12,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from terraframe.functions.geometry import NUMBER
+from terraframe.functions.geometry import BOUNDS, NUMBER
 from terraframe.operators.raster import hull_perimeter
+from terraframe.operators.spatial import rect_join
 
 _POINT = re.compile(r"([-+\d.eE]+)\s+([-+\d.eE]+)")
 _PAIR = rf"({NUMBER})\s+({NUMBER})(?:\s+{NUMBER})*"
@@ -160,6 +161,17 @@ def with_clip(df: DataFrame, rings_col: str, box: tuple[str, str, str, str]) ->
     return df.mapInArrow(run, out)
 
 
+def polygon_semi_join(left: DataFrame, polygons: DataFrame, key: list[str], cell: float) -> DataFrame:
+    """Rows of `left` (boxes, unique by `key`) that a polygon meets, touching included.
+
+    polygons: bounds and `rings`; what has no ring (a point) counts by its
+    bounds. Boxes choose the candidates, the edges decide.
+    """
+    met = rect_join(left.select(*key, *BOUNDS), polygons.select("rings", *BOUNDS), cell)
+    hit = with_clip(met, "r_rings", BOUNDS).filter("px0 is not null or size(r_rings) = 0")
+    return left.join(hit.select(*key).distinct(), key, "left_semi")
+
+
 def with_measures(df: DataFrame, rings_col: str) -> DataFrame:
     """df with area and hull (the convex hull's perimeter) of each polygon; both null for no polygon."""
     df = df.drop("area", "hull")

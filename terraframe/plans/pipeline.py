@@ -1,4 +1,4 @@
-"""Whole runs: detection over a raster, training patches, batches, parameters and the text log."""
+"""Runs on relations: detection over pixels or records, training patches, batches and parameters."""
 
 from __future__ import annotations
 
@@ -14,7 +14,7 @@ from terraframe.operators import boxes as B
 from terraframe.operators import grid as G
 from terraframe.operators import patches as P
 from terraframe.operators import raster as R
-from terraframe.operators.spatial import rect_semi_join
+from terraframe.operators.polygon import polygon_semi_join
 from terraframe.sources.geotiff import read_tiles
 
 KINDS = ("segmentation", "object detection")
@@ -120,20 +120,19 @@ def object_detection(records: DataFrame, params: RunParameters) -> DataFrame:
     and held against the least area.
     """
     found = B.confident(B.world_boxes(records))
-    merged = B.parts(found, "file_id")
     labels = records.groupBy("file_id").agg(F.min_by("label", "box_no").alias("label"))
-    f = B.part_scores(merged, "file_id").join(B.union_area(merged, "file_id"), ["file_id", "part"]).join(labels, "file_id")
+    f = B.part_features(found, "file_id").join(labels, "file_id")
     return B.at_least(f, "area", params.min_area)
 
 
 def training_patches(rasters: DataFrame, segments: DataFrame, tile_px: int = 512, stagger_px: int = 256, cell: float = 256.0) -> DataFrame:
     """Patch rows of staggered tiles that show a segment: raster_id, bounds, filestem, labeltxt and output paths.
 
-    segments: seg_id, arch_type, dfm, bounds. No segments: no rows.
+    segments: seg_id, arch_type, dfm, bounds and rings (`polygon.wkt_rings`). No segments: no rows.
     """
     g = G.staggered_grid(rasters, tile_px, stagger_px).join(rasters.select("raster_id", "raster_name", "res"), "raster_id")
     g = g.withColumn("patch", F.concat_ws("-", "raster_id", "tile_id", "copy"))
-    g = rect_semi_join(g, segments, ["patch"], cell)
+    g = polygon_semi_join(g, segments, ["patch"], cell)
     lines = P.label_lines(P.relative_bounds(P.shown_segments(g, segments, cell)), "r_arch_type", "r_dfm")
     texts = P.label_texts(lines, "patch", "r_seg_id").filter("labeltxt <> ''")
     stem = S.filestem(F.col("minx"), F.col("miny"))
@@ -143,14 +142,5 @@ def training_patches(rasters: DataFrame, segments: DataFrame, tile_px: int = 512
     return out.drop("patch")
 
 
-def log_text(title: str, sections: dict[str, dict[str, object]], width: int = 60) -> str:
-    """Text of a run's log: a header, then sections of name and value lines; missing values have no line."""
-    out = ["=" * width, title, "=" * width]
-    for name, lines in sections.items():
-        out += ["", name.capitalize(), "-" * width]
-        out += [f"{k}: {v}" for k, v in lines.items() if v is not None]
-    return "\n".join(out) + "\n"
-
-
 def duration(seconds: float) -> str:
     return f"{seconds / 60:.1f} min" if seconds >= 60 else f"{seconds:.1f} sec"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +18,12 @@ from terraframe.operators import metrics as M
 from terraframe.operators import patches as P
 from terraframe.operators import polygon as Y
 from terraframe.operators import raster as R
+from terraframe.operators.polygon import polygon_semi_join as polygon_semi
 from terraframe.operators.spatial import rect_join, rect_semi_join
-from terraframe.plans import held, shared_dir, stage
+from terraframe.plans import held, pipeline, runs, shared_dir, stage
+from terraframe.sources import geotiff as T
+from terraframe.sources import mosaics as M_
+from terraframe.sources import texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -67,8 +72,6 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def prediction_archive(spark: SparkSession, d: str) -> DataFrame:
     """The prediction files packed into containers in the shared folder, as read back."""
-    import uuid
-
     files = table(spark, d, "prediction_file").select("file_id", "file_path", "content")
     return archive.write_archive(files, held(f"{shared_dir(spark)}/archive-{uuid.uuid4().hex}"), path="file_path")
 
@@ -481,10 +484,14 @@ def box_parts(spark: SparkSession, d: str) -> DataFrame:
     return merged_boxes(spark, d).select("file_id", "box_no", "part")
 
 
+def box_features(spark: SparkSession, d: str, geometry: bool = False) -> DataFrame:
+    return B.part_features(B.world_boxes(B.confident(box_records(spark, d))), "file_id", geometry=geometry)
+
+
 @query
 def box_parts_score(spark: SparkSession, d: str) -> DataFrame:
     """Best score of each part, boxes that touch only a corner included."""
-    return B.part_scores(merged_boxes(spark, d), "file_id").select("file_id", "part", "n_boxes", "score")
+    return box_features(spark, d).select("file_id", "part", "n_boxes", "score")
 
 
 sql("box_parts", f"with recursive {PARTS_SQL} select file_id, box_no, part from merged")
@@ -494,15 +501,21 @@ sql("box_parts_score", f"with recursive {PARTS_SQL} select file_id, part, count(
 @query
 def box_union_area(spark: SparkSession, d: str) -> DataFrame:
     """Area of each part, overlap counted once, in hundredths."""
-    return B.union_area(stage(merged_boxes(spark, d), "merged"), "file_id").select("file_id", "part", q(F.col("area"), 100).alias("area"))
+    return box_features(spark, d).select("file_id", "part", q(F.col("area"), 100).alias("area"))
+
+
+@query
+def box_outlines(spark: SparkSession, d: str) -> DataFrame:
+    """The same area measured on the parts' outlines."""
+    shapes = box_features(spark, d, geometry=True).select("file_id", "part", Y.wkt_rings(F.col("geometry")).alias("rings"))
+    return Y.with_measures(shapes, "rings").select("file_id", "part", q(F.col("area"), 100).alias("area"))
 
 
 @query
 def box_features_min_area(spark: SparkSession, d: str) -> DataFrame:
     """Object detection features: parts larger than 400 square metres with their score."""
-    m = stage(merged_boxes(spark, d), "merged")
-    f = B.part_scores(m, "file_id").join(B.union_area(m, "file_id"), ["file_id", "part"])
-    return B.at_least(f.withColumn("area", q(F.col("area"), 100)), "area", 40_000).select("file_id", "part", "score", "area")
+    f = box_features(spark, d).withColumn("area", q(F.col("area"), 100))
+    return B.at_least(f, "area", 40_000).select("file_id", "part", "score", "area")
 
 
 AREA_SQL = PARTS_SQL + """, xs as (select distinct file_id, part, unnest([minx, maxx]) as x from merged), strips as (select *, lead(x) over (partition by file_id, part order by x) as x2 from xs),
@@ -510,6 +523,7 @@ AREA_SQL = PARTS_SQL + """, xs as (select distinct file_id, part, unnest([minx,
  run as (select *, max(maxy) over (partition by file_id, part, x order by miny, maxy rows between unbounded preceding and 1 preceding) as past from ins),
  areas as (select file_id, part, sum((x2 - x) * greatest(0, maxy - greatest(miny, coalesce(past, miny)))) as area from run group by file_id, part)"""
 sql("box_union_area", f"with recursive {AREA_SQL} select file_id, part, cast(floor(area * 100 + 0.5e0) as bigint) as area from areas")
+sql("box_outlines", SQL["box_union_area"])
 sql("box_features_min_area", f"with recursive {AREA_SQL}, sc as (select file_id, part, max(reach) as score from merged group by file_id, part) select file_id, part, score, cast(floor(area * 100 + 0.5e0) as bigint) as area from sc join areas using (file_id, part) where cast(floor(area * 100 + 0.5e0) as bigint) > 40000")
 
 
@@ -553,6 +567,12 @@ sql("spatial_semi_join", f"with {GRID_SQL}, {SEGS_SQL} select cell_id, raster_id
 sql("spatial_inner_join", f"with {TILES_SQL}, {SEGS_SQL} select patch_id, seg_id from tiles c join segs s on s.minx <= c.maxx and s.maxx >= c.minx and s.miny <= c.maxy and s.maxy >= c.miny")
 
 
+@query
+def polygon_semi_join(spark: SparkSession, d: str) -> DataFrame:
+    """Grid cells that a segment's own outline meets, touching included; points count by their place."""
+    return polygon_semi(grid_cells(spark, d), segs(spark, d), ["cell_id"], CELL_M).select("cell_id", "raster_id")
+
+
 def shown(spark: SparkSession, d: str) -> DataFrame:
     return P.shown_segments(tiles(spark, d), segs(spark, d), CELL_M)
 
@@ -564,7 +584,7 @@ EDGES_SQL = rf"""polys as (select seg_id, any_value(geometry) as geometry, any_v
  edge as (select seg_id, k, filled, xs[i] as x1, ys[i] as y1, xs[i % len(xs) + 1] as x2, ys[i % len(ys) + 1] as y2 from (select *, unnest(range(1, len(xs) + 1)) as i from ring where len(xs) >= 3)),
  ext as (select seg_id, min(x1) as sx0, min(y1) as sy0, max(x1) as sx1, max(y1) as sy1 from edge group by seg_id),
  whole as (select seg_id, sum(case when filled then a else -a end) as whole from (select seg_id, k, any_value(filled) as filled, abs(sum(((x1 - sx0) * (y2 - sy0) - (x2 - sx0) * (y1 - sy0)) / 2)) as a from edge join ext using (seg_id) group by seg_id, k) group by seg_id)"""
-SHOWN_SQL = f"""{TILES_SQL}, {EDGES_SQL}, met as (select t.patch_id, t.filestem, t.res, t.minx, t.miny, t.maxx, t.maxy, s.*, whole, sx0 >= t.minx and sy0 >= t.miny and sx1 <= t.maxx and sy1 <= t.maxy as inside from tiles t join ext s on s.sx0 <= t.maxx and s.sx1 >= t.minx and s.sy0 <= t.maxy and s.sy1 >= t.miny join whole using (seg_id)),
+_CLIP_SQL = """met as (select t.patch_id, t.filestem, t.res, t.minx, t.miny, t.maxx, t.maxy, s.*, whole, sx0 >= t.minx and sy0 >= t.miny and sx1 <= t.maxx and sy1 <= t.maxy as inside from tiles t join ext s on s.sx0 <= t.maxx and s.sx1 >= t.minx and s.sy0 <= t.maxy and s.sy1 >= t.miny join whole using (seg_id)),
  cutat as (select patch_id, seg_id, minx, miny, maxx, maxy, k, filled, maxx - minx as w, maxy - miny as h, x1 - minx as x1, y1 - miny as y1, x2 - minx as x2, y2 - miny as y2 from met join edge using (seg_id) where not inside),
  held as (select *, y1 + s * (a - x1) as ya, y1 + s * (b - x1) as yb from (select *, greatest(0, least(w, x1)) as a, greatest(0, least(w, x2)) as b, case when x1 = x2 then 0 else (y2 - y1) / (x2 - x1) end as s from cutat)),
  under as (select patch_id, seg_id, k, filled, (b - a) * case when least(ya, yb) >= 0 and greatest(ya, yb) <= h or abs(yb - ya) < 1e-9 then greatest(0, least(h, (ya + yb) / 2))
@@ -581,6 +601,7 @@ SHOWN_SQL = f"""{TILES_SQL}, {EDGES_SQL}, met as (select t.patch_id, t.filestem,
  px as (select *, greatest(cast(trunc((ix0 - minx) / res) as bigint), 0) as rx0, least(cast(trunc((ix1 - minx) / res) as bigint), cast(trunc((maxx - minx) / res) as bigint)) as rx1,
   greatest(cast(trunc((maxy - iy1) / res) as bigint), 0) as ry0, least(cast(trunc((maxy - iy0) / res) as bigint), cast(trunc((maxx - minx) / res) as bigint)) as ry1 from shown),
  lines as (select *, concat_ws(' ', rx0, ry0, rx1, ry0, rx1, ry1, rx0, ry1, arch_type, coalesce(dfm, 1)) as line from px)"""
+SHOWN_SQL = f"{TILES_SQL}, {EDGES_SQL}, {_CLIP_SQL}"
 
 
 @query
@@ -607,6 +628,9 @@ def labeltxt_by_patch(spark: SparkSession, d: str) -> DataFrame:
     return P.label_texts(labeltxt_lines(spark, d), "patch_id", "seg_id")
 
 
+sql("polygon_semi_join", f"""with {GRID_SQL}, {SEGS_SQL}, tiles as (select cell_id as patch_id, null as filestem, 1 as res, minx, miny, maxx, maxy from cells), {EDGES_SQL}, {_CLIP_SQL},
+ hit as (select patch_id from met left join bounds using (patch_id, seg_id) where inside or bx0 is not null union select t.patch_id from tiles t join segs s on s.minx <= t.maxx and s.maxx >= t.minx and s.miny <= t.maxy and s.maxy >= t.miny where s.seg_id not in (select seg_id from edge))
+select cell_id, raster_id from cells where cell_id in (select patch_id from hit)""")
 sql("segment_fraction", f"with {SHOWN_SQL} select patch_id, seg_id, cast(floor(fraction * 10000 + 0.5e0) as bigint) as fraction, case when fraction < 1 then 1 else 0 end as edge from shown")
 sql("relative_bounds", f"with {SHOWN_SQL} select patch_id, seg_id, rx0, ry0, rx1, ry1, concat_ws(' ', rx0, ry0, rx1, ry0, rx1, ry1, rx0, ry1) as corners from px")
 sql("labeltxt_lines", f"with {SHOWN_SQL} select patch_id, seg_id, line from lines")
@@ -703,10 +727,8 @@ sql("label_names", "select run_code, title, case when coalesce(save_vis, false)
 @query
 def batch_fanout(spark: SparkSession, d: str) -> DataFrame:
     """Runs a batch of raster files makes: one file alone, several as one mosaic if so wished, else one run each."""
-    from terraframe.plans.pipeline import batch_plan
-
     r = table(spark, d, "raster").select(F.substring("raster_name", 1, 3).alias("batch"), F.col("raster_name").alias("path"), (F.col("res") < 1).alias("as_mosaic"))
-    return batch_plan(r)
+    return pipeline.batch_plan(r)
 
 
 sql("batch_fanout", """with r as (select substr(raster_name, 1, 3) as batch, raster_name as path, res < 1 as m from raster), n as (select batch, count(*) as n, bool_and(m) as m from r group by batch)
@@ -759,6 +781,176 @@ def union_features(spark: SparkSession, d: str) -> DataFrame:
 sql("union_features", f"""with {DETS_SQL}, {SEGS_SQL}, u as (select 'od' as kind, det_id as id, label, score, null as dfm from dets union all select 'seg', seg_id, arch_type, null, dfm from segs)
 select kind, label, count(*) as n, count(score) as n_score, count(dfm) as n_dfm, cast(sum(id) as bigint) as sum_id from u group by kind, label""")
 
+# ---- files and whole runs
+
+X0, Y0, RES, EPSG, NODATA = 600000.0, 700000.0, 0.5, 2157, -99999.0
+
+
+def raster_files(spark: SparkSession, d: str) -> str:
+    """The holed raster as files of 64 px in the shared folder, as the runs read them; gives the folder."""
+    folder = f"{shared_dir(spark)}/stage-rasters-{uuid.uuid4().hex}"
+    runs.write_raster_tiles(holed(spark, d), TILE_PX, folder, RES, X0, Y0, EPSG, NODATA).count()
+    return folder
+
+
+@query
+def files_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Header and pixels of each raster file of a folder, read back."""
+    meta = T.scan_metadata(T.list_rasters(spark, raster_files(spark, d)))
+    px = T.as_pixels(T.read_tiles(meta, 50), 50).join(meta.select("path", "width", "height"), "path").filter("r < height and c < width").groupBy("path").agg(F.count(F.lit(1)).alias("n_pix"), F.count("z").alias("n_valid"), F.sum(F.col("z").cast("long")).alias("sum_z"))
+    return meta.join(px, "path").select(((Y0 - F.col("y_max")) / (TILE_PX * RES)).cast("long").alias("tr"), "epsg", "res", "x_min", "y_max", "width", "height", "bands", "nodata", "n_pix", "n_valid", "sum_z")
+
+
+sql("files_scan", f"""with {HOLED} select r // 64 as tr, {EPSG} as epsg, {RES}e0 as res, {X0}e0 as x_min, {Y0}e0 - (r // 64) * 32 as y_max, 64 as width, max(r) % 64 + 1 as height, 1 as bands, {NODATA}e0 as nodata, count(*) as n_pix, count(z) as n_valid, cast(sum(z) as bigint) as sum_z from holed group by r // 64""")
+
+
+def mosaic_sources(spark: SparkSession, d: str) -> DataFrame:
+    folder = raster_files(spark, d)
+    return stage(M_.read_mosaic(spark, held(M_.mosaic_of_folder(spark, folder, f"{folder.rpartition('/')[2]}.vrt"))), "sources")
+
+
+@query
+def files_mosaic(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of 40 px with a halo of 3 over the mosaic of the files: valid pixels and their sum."""
+    w = M_.mosaic_tiles(mosaic_sources(spark, d), 40, 3).select("tr", "tc", F.explode("values").alias("z")).filter("not isnan(z)")
+    return w.groupBy("tr", "tc").agg(F.count(F.lit(1)).alias("n_valid"), F.sum(F.col("z").cast("long")).alias("sum_z"))
+
+
+sql("files_mosaic", f"""with {HOLED}, t as (select tr, tc from (select unnest(range(0, (select (max(r) + 3) // 40 + 1 from pixels))) as tr), (select unnest(range(0, 2)) as tc))
+select tr, tc, count(z) as n_valid, cast(sum(z) as bigint) as sum_z from t join holed on r between tr * 40 - 3 and tr * 40 + 42 and c between tc * 40 - 3 and tc * 40 + 42 group by tr, tc having count(z) > 0""")
+
+
+def relief_files(spark: SparkSession, d: str) -> str:
+    """Relief tiles of 64 px made from the mosaic with its halo and written as files; gives their folder. Elevations are in ten-thousandths."""
+    windows = M_.mosaic_tiles(mosaic_sources(spark, d), TILE_PX, RADIUS_PX)
+    windows = windows.withColumn("values", F.transform("values", lambda v: (v / F.lit(10_000.0)).cast("float")))
+    folder = held(f"{shared_dir(spark)}/stage-relief-{uuid.uuid4().hex}")
+    T.write_tiles(runs.relief_tiles(windows, RADIUS_PX), folder).count()
+    return folder
+
+
+def _relief_pixels(spark: SparkSession, d: str) -> DataFrame:
+    meta = T.scan_metadata(T.list_rasters(spark, relief_files(spark, d)))
+    px = T.as_pixels(T.read_tiles(meta, TILE_PX), TILE_PX).join(meta.select("path", "x_min", "y_max"), "path")
+    return px.select((F.col("r") + F.round((Y0 - F.col("y_max")) / RES)).cast("long").alias("r"), (F.col("c") + F.round((F.col("x_min") - X0) / RES)).cast("long").alias("c"), F.coalesce("z", F.lit(0.0)).alias("z"))  # 0 is the tiles' nodata
+
+
+@query
+def files_relief(spark: SparkSession, d: str) -> DataFrame:
+    """Pixels of the relief tiles, read back from their files, in hundredths; the raster's own pixels only."""
+    own = pixels(spark, d).agg(F.max("r").alias("last"))
+    px = _relief_pixels(spark, d).crossJoin(F.broadcast(own)).filter("r <= last")
+    return px.select("r", "c", F.floor(F.col("z") * 100 + 0.5 + 1e-4).cast("long").alias("v"))
+
+
+sql("files_relief", f"with {SLRM_SQL} select r, c, cast(floor(v * 100 + 0.5e0 + 1e-4) as bigint) as v from vis")
+
+AO_LEVEL, BARROW_LEVEL, BOX_LEVEL = 6_500, 3_400, 7_400
+
+
+def level_score(image, label: str):
+    """Stand-in for a model: high ground for one class, low for the other, around 0.5 at the levels."""
+    import numpy as np
+
+    v = np.floor(image[..., 0].astype(np.float64) * 10_000 + 0.5 + 1e-3)
+    return np.where(v >= AO_LEVEL, 0.75, 0.25) if label == "AO" else np.where((v > 0) & (v <= BARROW_LEVEL), 0.5, 0.4999)
+
+
+def level_boxes(image, label: str):
+    """Stand-in for a detector: a box of three pixels around each pixel above the level, on half pixels, scored by its height."""
+    import numpy as np
+
+    v = np.floor(image[..., 0].astype(np.float64) * 10_000 + 0.5 + 1e-3)
+    r, c = np.nonzero(v >= BOX_LEVEL)
+    boxes = np.column_stack([c - 0.5, r - 0.5, c + 2.5, r + 1.5])
+    return boxes, v[r, c] / 10_000 - (0.0 if label == "AO" else 0.25)
+
+
+def _vector_rows(spark: SparkSession, folder: str, columns: str) -> DataFrame:
+    """Features of a run's GeoPackages with the area and bounds of their outlines as read back, in hundredths and pixels."""
+    from terraframe.sources.vectors import read_gpkg
+
+    f = read_gpkg(spark, folder, folder.rpartition("/")[2], columns)
+    f = Y.with_measures(with_extent(f.withColumnRenamed("area", "told")).withColumn("rings", Y.wkt_rings(F.col("geometry"))), "rings")
+    px = lambda e: F.round(e / RES).cast("long")
+    return f.withColumns({"area": q(F.col("area"), 100), "told": q(F.col("told"), 100), "c0": px(F.col("minx") - X0), "r0": px(Y0 - F.col("maxy")), "c1": px(F.col("maxx") - X0), "r1": px(Y0 - F.col("miny"))})
+
+
+def _run(spark: SparkSession, d: str, model, **params: object) -> str:
+    p = pipeline.RunParameters(labels=("AO", "barrow"), vis_exist_ok=True, **params)
+    folder = held(f"{shared_dir(spark)}/stage-run-{uuid.uuid4().hex}")
+    return runs.run(spark, T.list_rasters(spark, relief_files(spark, d)), p, folder, model, TILE_PX)[0]
+
+
+@query
+def run_segmentation(spark: SparkSession, d: str) -> DataFrame:
+    """A segmentation run from raster files to a vector file, as read back: features above 0.4 square metres."""
+    f = _vector_rows(spark, _run(spark, d, level_score, ml_type="segmentation", min_area=0.4), "label string, n_pix long, area double, roundness double")
+    return f.select("label", "n_pix", "area", "told", "c0", "r0", "c1", "r1")
+
+
+_LEVELS = f"""lev as (select r, c, r // 64 as tr, cast(floor(cast(cast(v as float) as double) * 10000 + 0.5e0 + 1e-3) as bigint) as v from vis)"""
+sql("run_segmentation", f"""with recursive {SLRM_SQL}, {_LEVELS}, m as (select 'AO' as label, r, c, tr, r * 64 + c as id from lev where v >= {AO_LEVEL} union all select 'barrow', r, c, tr, r * 64 + c from lev where v > 0 and v <= {BARROW_LEVEL}),
+ e as (select a.label, a.id as a, b.id as b from m a join m b on a.label = b.label and a.tr = b.tr and ((b.r = a.r and b.c in (a.c - 1, a.c + 1)) or (b.c = a.c and b.r in (a.r - 1, a.r + 1)))),
+ reach(label, id, other) as (select label, id, id from m union select reach.label, reach.id, e.b from reach join e on reach.label = e.label and reach.other = e.a),
+ comp as (select label, id, min(other) as part from reach group by label, id)
+select label, count(*) as n_pix, count(*) * 25 as area, count(*) * 25 as told, min(c) as c0, min(r) as r0, max(c) + 1 as c1, max(r) + 1 as r1 from m join comp using (label, id) group by label, part having count(*) * 0.25e0 > 0.4e0""")
+
+
+@query
+def run_detection(spark: SparkSession, d: str) -> DataFrame:
+    """An object detection run from raster files over box files to a vector file, as read back."""
+    f = _vector_rows(spark, _run(spark, d, level_boxes, ml_type="object detection", min_area=1.0), "label string, score double, n_boxes long, area double")
+    return f.select("label", q(F.col("score")).alias("score"), "n_boxes", "area", "told", "c0", "r0", "c1", "r1")
+
+
+sql("run_detection", f"""with recursive {SLRM_SQL}, {_LEVELS}, raw as (select label, tr, row_number() over (partition by label, tr order by r, c) as line_no, r % 64 as r, c, cast(printf('%.4f', v / 10000e0 - down) as double) as score from lev, (select unnest(['AO', 'barrow']) as label, unnest([0e0, 0.25e0]) as down) where v >= {BOX_LEVEL}),
+ b as (select label, tr, line_no, score, cast(round_even(c - 0.5e0, 0) as bigint) as minx, cast(round_even(r - 0.5e0, 0) as bigint) + tr * 64 as miny, cast(round_even(c + 2.5e0, 0) as bigint) as maxx, cast(round_even(r + 1.5e0, 0) as bigint) + tr * 64 as maxy from raw where score > 0.5e0),
+ ok as (select * from b where maxx > minx and maxy > miny),
+ pair as (select a.label, a.tr, a.line_no as a, c.line_no as b, c.score, least(a.maxx, c.maxx) - greatest(a.minx, c.minx) as w, least(a.maxy, c.maxy) - greatest(a.miny, c.miny) as h from ok a join ok c on a.label = c.label and a.tr = c.tr and a.minx <= c.maxx and c.minx <= a.maxx and a.miny <= c.maxy and c.miny <= a.maxy),
+ reach(label, tr, a, b) as (select label, tr, line_no, line_no from ok union select reach.label, reach.tr, reach.a, pair.b from reach join pair on reach.label = pair.label and reach.tr = pair.tr and reach.b = pair.a where pair.w + pair.h > 0),
+ comp as (select label, tr, a, min(b) as part from reach group by label, tr, a),
+ best as (select label, tr, a, max(score) as score from pair group by label, tr, a),
+ mem as (select comp.label, comp.tr, comp.part, ok.*exclude (label, tr, score), best.score from comp join ok on ok.label = comp.label and ok.tr = comp.tr and ok.line_no = comp.a join best on best.label = comp.label and best.tr = comp.tr and best.a = comp.a),
+ cell as (select label, tr, part, count(*) * 25 as area from (select distinct label, tr, part, x, unnest(range(miny, maxy)) as y from (select *, unnest(range(minx, maxx)) as x from mem)) group by label, tr, part)
+select label, cast(floor(max(score) * 10000 + 0.5e0) as bigint) as score, count(*) as n_boxes, any_value(area) as area, any_value(area) as told, min(minx) as c0, min(miny) as r0, max(maxx) as c1, max(maxy) as r1 from mem join cell using (label, tr, part) group by label, tr, part having any_value(area) > 100""")
+
+
+@query
+def mask_files(spark: SparkSession, d: str) -> DataFrame:
+    """The masks of `mask_rasterise` written as image files and read back: pixels by band and value."""
+    m = P.burn_masks(mask_segments(spark, d)).join(tiles(spark, d).select("patch_id", "minx", "maxy", "res"), "patch_id")
+    folder = held(f"{shared_dir(spark)}/stage-masks-{uuid.uuid4().hex}")
+    m = m.select(F.format_string("%d.tif", "patch_id").alias("name"), F.col("n_rows").cast("int").alias("rows"), F.col("n_cols").cast("int").alias("cols"), F.lit(P.MAX_CLASSES).alias("bands"), F.col("mask").alias("values"), F.lit(EPSG).alias("epsg"), "res", F.col("minx").alias("x_min"), F.col("maxy").alias("y_max"), F.lit(None).cast("double").alias("nodata"))
+    T.write_tiles(m, folder).count()
+    return runs.band_values(spark, folder).select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("patch_id"), "band", "v", "n")
+
+
+sql("mask_files", f"with t as ({SQL['mask_rasterise']}) select patch_id, band, v, n from t")
+
+
+@query
+def training_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Rows of the staggered training patches that show a segment, with label text and paths."""
+    return pipeline.training_patches(table(spark, d, "raster"), segs(spark, d)).select("raster_id", "tile_id", "copy", "filestem", "labeltxt", "images_path", "segmentation_masks_path", "labeltxt_path")
+
+
+sql("training_rows", f"""with {_grid_sql(True)}, st as (select raster_id, tile_id, k, res, minx + k * res * 256 as minx, miny + k * res * 256 as miny, maxx + k * res * 256 as maxx, maxy + k * res * 256 as maxy from g, (select unnest([0, 1]) as k)),
+ num as (select *, row_number() over (order by raster_id, tile_id, k) as patch_id from st), tiles as (select patch_id, null as filestem, res, minx, miny, maxx, maxy from num), {EDGES_SQL}, {_CLIP_SQL},
+ txt as (select patch_id, string_agg(line, chr(10) order by seg_id, line) as labeltxt from lines group by patch_id), f as (select num.*, raster_name, labeltxt, cast(trunc(minx) as bigint) || '_' || cast(trunc(miny) as bigint) as filestem from txt join num using (patch_id) join (select raster_id, raster_name from raster) using (raster_id))
+select raster_id, tile_id, k as copy, filestem, labeltxt, 'images/' || filestem || '__' || raster_name || '__images.tif' as images_path, 'segmentation_masks/' || filestem || '__' || raster_name || '__segmentation_masks.tif' as segmentation_masks_path, 'labelTxt/' || filestem || '__' || raster_name || '__labelTxt.txt' as labeltxt_path from f""")
+
+
+@query
+def legacy_box_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes in the older text form, classes by number; unknown numbers have no class."""
+    r = box_records(spark, d).withColumns({"label": texts.legacy_label((F.col("line_no") % 5).cast("int")), "score": q(F.col("score"))})
+    r = r.withColumns({c: F.col(c) / 2 for c in ("x0", "y0", "x1", "y1")})
+    return texts.legacy_box_text(r).select("file_id", "line_no", "line")
+
+
+sql("legacy_box_lines", f"""with {LINES_SQL} select file_id, line_no, concat_ws(' ', cast(round_even(x0 / 2, 0) as bigint), cast(round_even(y0 / 2, 0) as bigint), cast(round_even(x1 / 2, 0) as bigint), cast(round_even(y1 / 2, 0) as bigint), case line_no % 5 when 1 then 'enclosure' when 2 then 'barrow' when 3 then 'ringfort' end, cast(floor(score * 10000 + 0.5e0) as bigint)) as line from recs""")
+
 # ---- dataset filters and measures
 
 

@@ -34,7 +34,8 @@ def open_file(path: str):
     """A seekable file on any filesystem pyarrow knows."""
     from pyarrow import fs
 
-    where, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    path = path.removeprefix("file:") if path.startswith("file:") else path
+    where, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
     return where.open_input_file(at)
 
 
@@ -169,7 +170,7 @@ def scan_metadata(paths: DataFrame) -> DataFrame:
 
 
 def read_tiles(rasters: DataFrame, tile: int, halo: int = 0) -> DataFrame:
-    """Tiles of each raster (path, width, height): path, tr, tc, rows, cols, bands, values, with a halo on each side.
+    """Tiles of each raster (path, width, height): path, tr, tc, rows, cols, bands, values, with a halo on each side, and epsg, res, x_min, y_max of the tile without it.
 
     Each tile is one row and one ranged read, so a giant raster is read by many
     tasks. Places outside the raster and nodata are NaN.
@@ -182,14 +183,15 @@ def read_tiles(rasters: DataFrame, tile: int, halo: int = 0) -> DataFrame:
             for path, g in b.groupby("path"):
                 with open_file(path) as f:
                     h = header(f)
-                    nodata = metadata(path, h)[8]
+                    _, epsg, res, x_min, y_max, *_, nodata = metadata(path, h)
                     for tr, tc in zip(g["tr"], g["tc"], strict=True):
                         a = read_window(f, h, tr * tile - halo, (tr + 1) * tile + halo, tc * tile - halo, (tc + 1) * tile + halo)
                         if nodata is not None:
                             a = np.where(a == nodata, np.nan, a)
-                        yield pd.DataFrame({"path": [path], "tr": [tr], "tc": [tc], "rows": [a.shape[0]], "cols": [a.shape[1]], "bands": [a.shape[2]], "values": [a.astype(np.float32).ravel()]})
+                        yield pd.DataFrame({"path": [path], "tr": [tr], "tc": [tc], "rows": [a.shape[0]], "cols": [a.shape[1]], "bands": [a.shape[2]], "values": [a.astype(np.float32).ravel()],
+                                            "epsg": pd.array([epsg], "Int32"), "res": [res], "x_min": [x_min + tc * tile * res], "y_max": [y_max - tr * tile * res]})
 
-    return w.repartition("path", "tr", "tc").mapInPandas(run, "path string, tr int, tc int, rows int, cols int, bands int, values array<float>")
+    return w.repartition("path", "tr", "tc").mapInPandas(run, "path string, tr int, tc int, rows int, cols int, bands int, values array<float>, epsg int, res double, x_min double, y_max double")
 
 
 def as_pixels(tiles: DataFrame, tile: int, band: int = 0) -> DataFrame:
@@ -245,23 +247,29 @@ def encode(a: np.ndarray, res: float, x_min: float, y_max: float, epsg: int | No
 
 
 def write_tiles(tiles: DataFrame, folder: str) -> DataFrame:
-    """Write tiles (name, rows, cols, bands, values, res, x_min, y_max, epsg, nodata) as files; gives name and n_bytes of each.
+    """Write tiles (name, rows, cols, bands, values, res, x_min, y_max, epsg, nodata) as files; gives path, name and n_bytes of each.
 
-    Runs when the result is read. Names should be unique; a rerun of a task
-    writes the same file again.
+    values is an array of numbers (stored as 32-bit floats) or binary (stored as
+    bytes). Runs when the result is read. Names should be unique; a rerun of a
+    task writes the same file again.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        where, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        plain = folder.removeprefix("file:") if folder.startswith("file:") else folder
+        where, base = fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), plain)
         where.create_dir(base, recursive=True)
         for b in batches:
             out = []
             for r in b.itertuples(index=False):
-                data = encode(np.asarray(r.values, np.float32).reshape(r.rows, r.cols, r.bands), r.res, r.x_min, r.y_max, None if pd.isna(r.epsg) else int(r.epsg), None if pd.isna(r.nodata) else float(r.nodata))
+                a = np.frombuffer(r.values, np.uint8) if isinstance(r.values, bytes | bytearray) else np.asarray(r.values, np.float32)
+                data = encode(a.reshape(r.rows, r.cols, r.bands), r.res, r.x_min, r.y_max, None if pd.isna(r.epsg) else int(r.epsg), None if pd.isna(r.nodata) else float(r.nodata))
+                if "/" in r.name:
+                    where.create_dir(f"{base}/{r.name}".rpartition("/")[0], recursive=True)
                 with where.open_output_stream(f"{base}/{r.name}") as f:
                     f.write(data)
-                out.append((r.name, len(data)))
-            yield pd.DataFrame(out, columns=["name", "n_bytes"])
+                out.append((f"{folder}/{r.name}", r.name, len(data)))
+            yield pd.DataFrame(out, columns=["path", "name", "n_bytes"])
 
-    return tiles.mapInPandas(run, "name string, n_bytes long")
+    need = ("name", "rows", "cols", "bands", "values", "res", "x_min", "y_max", "epsg", "nodata")
+    return tiles.select(*need).mapInPandas(run, "path string, name string, n_bytes long")

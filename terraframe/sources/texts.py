@@ -46,7 +46,8 @@ def write_texts(files: DataFrame, folder: str, name: str = "name", text: str = "
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        where, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        plain = folder.removeprefix("file:") if folder.startswith("file:") else folder
+        where, base = fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), plain)
         for b in batches:
             out = []
             for n, t in zip(b[name], b[text], strict=True):

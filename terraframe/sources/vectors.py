@@ -124,7 +124,8 @@ create table "{layer}" (fid integer primary key autoincrement, geom blob{', ' +
                 from pyspark import TaskContext
 
                 part = f"{layer}-{TaskContext.get().partitionId():05d}.gpkg"
-                where, base = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+                plain = folder.removeprefix("file:") if folder.startswith("file:") else folder
+                where, base = fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), plain)
                 where.create_dir(base, recursive=True)
                 with where.open_output_stream(f"{base}/{part}") as f:
                     f.write(at.read_bytes())
