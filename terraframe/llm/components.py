@@ -13,7 +13,7 @@ from terraframe.functions.labels import least_roots
 from terraframe.plans import stage
 
 TASK_EDGES = 500_000  # links that one task may solve alone (about 50 MB)
-STRIP_EDGES = 50_000  # links that one task may strip alone (about 20 MB)
+STRIP_EDGES = 250_000  # links that one task may strip alone (about 100 MB)
 MERGE_AT = 1 << 18  # links a task gathers at least before it merges them into its forest
 
 

@@ -172,10 +172,11 @@ def cut_axis(items: DataFrame, spans: DataFrame, limit: int, overlap: int, range
         return out
 
     order = [*key, "range", F.col("length").isNull(), "a"]
-    tables = rows.repartition(*key, "range").sortWithinPartitions(*order).mapInPandas(by_range(table, ["range", "stop", "first", "lo", "goes", "last", "n"]), f"{kinds}, range bigint, stop bigint, first bigint, {_TABLE}")
+    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much to do: not to be coalesced
+    tables = rows.repartition(n, *key, "range").sortWithinPartitions(*order).mapInPandas(by_range(table, ["range", "stop", "first", "lo", "goes", "last", "n"]), f"{kinds}, range bigint, stop bigint, first bigint, {_TABLE}")
     begin = stitched(tables, key, "first")
     told = rows.filter("length is not null").join(begin, [*key, "range"]).unionByName(rows.filter("length is null").select("*", none.alias("enter"), none.alias("before"), none.alias("k")))
-    out = told.repartition(*key, "range").sortWithinPartitions(*order).mapInPandas(by_range(pieces, ["k", "lo", "hi", "natural"]), f"{kinds}, k bigint, lo double, hi double, natural boolean")
+    out = told.repartition(n, *key, "range").sortWithinPartitions(*order).mapInPandas(by_range(pieces, ["k", "lo", "hi", "natural"]), f"{kinds}, k bigint, lo double, hi double, natural boolean")
     return out
 
 
