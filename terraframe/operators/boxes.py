@@ -13,6 +13,7 @@ from terraframe.functions.geometry import to_world
 from terraframe.functions.labels import least_roots
 from terraframe.functions.scalars import half_even, is_confident, score_text
 from terraframe.operators.raster import outline
+from terraframe.plans import tasks
 
 BOX = ["minx", "miny", "maxx", "maxy"]
 
@@ -89,7 +90,7 @@ def _by_file(boxes: DataFrame, group: str, box_no: str, make: Callable[[pd.DataF
             yield make(held)
 
     rows = boxes.select(F.col(group).cast("long").alias("g"), F.col(box_no).cast("long").alias("no"), F.col("score").cast("double").alias("score"), *[F.col(c).cast("double").alias(c) for c in BOX])
-    rows = rows.filter("g is not null and no is not null and maxx > minx and maxy > miny").repartition("g").sortWithinPartitions("g", "minx")
+    rows = rows.filter("g is not null and no is not null and maxx > minx and maxy > miny").repartition(tasks(rows), "g").sortWithinPartitions("g", "minx")
     return rows.mapInPandas(run, schema)
 
 

@@ -13,6 +13,7 @@ from terraframe.functions.geometry import BOUNDS
 from terraframe.functions.scalars import truncated
 from terraframe.operators.polygon import edges, touched, with_clip
 from terraframe.operators.spatial import rect_join
+from terraframe.plans import tasks
 
 LEAST_FRACTION = 0.33
 MAX_CLASSES = 3
@@ -78,7 +79,7 @@ def _painted(shown: DataFrame, patch: str, band: str, value: str, order: str, em
     rows = pixel_size(shown).select(
         F.col(patch).cast("long").alias("p"), F.col(band).cast("int").alias("band"), F.col(value).cast("int").alias("v"), F.col(order).alias("o"),
         F.col("n_rows"), F.col("n_cols"), "minx", "maxy", "res", "r_rings")
-    rows = rows.filter(f"band >= 0 and band < {MAX_CLASSES}").repartition("p").sortWithinPartitions("p", "o", "v")
+    rows = rows.filter(f"band >= 0 and band < {MAX_CLASSES}").repartition(tasks(rows), "p").sortWithinPartitions("p", "o", "v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]

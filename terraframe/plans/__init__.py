@@ -45,6 +45,11 @@ def held(path: str) -> str:
     return path
 
 
+def tasks(df: DataFrame) -> int:
+    """Number of shuffle partitions, for `repartition` before work whose rows are few but costly: with a number given, adaptive plans do not coalesce it."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 

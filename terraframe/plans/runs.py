@@ -16,7 +16,7 @@ from terraframe.operators import archive as A
 from terraframe.operators import boxes as B
 from terraframe.operators import patches as P
 from terraframe.operators import raster as R
-from terraframe.plans import held, stage
+from terraframe.plans import held, stage, tasks
 from terraframe.plans.pipeline import RunParameters, duration
 from terraframe.sources import geotiff as T
 from terraframe.sources import mosaics as M
@@ -179,7 +179,7 @@ def training_files(patches: DataFrame, shown: DataFrame, folder: str) -> DataFra
                         v = np.nan_to_num(np.clip(a, 0.0, 1.0), nan=0.0).astype(np.float32)
                         yield pd.DataFrame([(t.images_path, *v.shape, v.ravel(), epsg, res, t.minx, t.maxy, 0.0)], columns=[x.split()[0] for x in _TILE.split(", ")])
 
-    images = size.select("path", "images_path", "minx", "maxy", "n_rows", "n_cols").repartition("path", "images_path").mapInPandas(cut, _TILE)
+    images = size.select("path", "images_path", "minx", "maxy", "n_rows", "n_cols").repartition(tasks(size), "path", "images_path").mapInPandas(cut, _TILE)
     masks = P.burn_masks(shown).join(patches.select("patch_id", "segmentation_masks_path", "minx", "maxy", "res"), "patch_id").select(
         F.col("segmentation_masks_path").alias("name"), F.col("n_rows").cast("int").alias("rows"), F.col("n_cols").cast("int").alias("cols"), F.lit(P.MAX_CLASSES).alias("bands"), F.col("mask").alias("values"),
         F.lit(None).cast("int").alias("epsg"), "res", F.col("minx").alias("x_min"), F.col("maxy").alias("y_max"), F.lit(None).cast("double").alias("nodata"))

@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraframe.plans import tasks
+
 # fixed values: TIFF field types (letter of struct, bytes) and tag numbers
 TYPES = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: ("b", 1), 8: ("h", 2), 9: ("i", 4), 11: ("f", 4), 12: ("d", 8), 16: ("Q", 8), 17: ("q", 8)}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_BYTES, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284
@@ -191,7 +193,7 @@ def read_tiles(rasters: DataFrame, tile: int, halo: int = 0) -> DataFrame:
                         yield pd.DataFrame({"path": [path], "tr": [tr], "tc": [tc], "rows": [a.shape[0]], "cols": [a.shape[1]], "bands": [a.shape[2]], "values": [a.astype(np.float32).ravel()],
                                             "epsg": pd.array([epsg], "Int32"), "res": [res], "x_min": [x_min + tc * tile * res], "y_max": [y_max - tr * tile * res]})
 
-    return w.repartition("path", "tr", "tc").mapInPandas(run, "path string, tr int, tc int, rows int, cols int, bands int, values array<float>, epsg int, res double, x_min double, y_max double")
+    return w.repartition(tasks(w), "path", "tr", "tc").mapInPandas(run, "path string, tr int, tc int, rows int, cols int, bands int, values array<float>, epsg int, res double, x_min double, y_max double")
 
 
 def as_pixels(tiles: DataFrame, tile: int, band: int = 0) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terraframe.plans import tasks
 from terraframe.sources.geotiff import header, list_rasters, metadata, open_file, read_window, scan_metadata
 
 _SOURCES = "seq long, path string, res double, x_min double, y_max double, width int, height int"
@@ -122,5 +123,5 @@ def mosaic_tiles(sources: DataFrame, tile: int, halo: int = 0) -> DataFrame:
         tr, tc = int(p["tr"].iloc[0]), int(p["tc"].iloc[0])
         return pd.DataFrame({"tr": [tr], "tc": [tc], "rows": [side], "cols": [side], "bands": [1], "values": [out.ravel()], "epsg": pd.array([p["epsg"].iloc[0]], "Int32"), "res": [res], "x_min": [x0 + tc * tile * res], "y_max": [y1 - tr * tile * res]})
 
-    pieces = w.repartition("path", "tr", "tc").mapInPandas(read, "tr int, tc int, seq long, r int, c int, h int, w int, v array<float>, epsg int")
+    pieces = w.repartition(tasks(w), "path", "tr", "tc").mapInPandas(read, "tr int, tc int, seq long, r int, c int, h int, w int, v array<float>, epsg int")
     return pieces.groupBy("tr", "tc").applyInPandas(join, "tr int, tc int, rows int, cols int, bands int, values array<float>, epsg int, res double, x_min double, y_max double")
