@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from terraframe.llm.components import forest, star_links
-from terraframe.plans import stage
+from terraframe.plans import stage, tasks
 
 HOT_CELL = 2000  # boxes that one task compares within one cell
 _BOX = ["minx", "miny", "maxx", "maxy"]
@@ -58,7 +58,7 @@ def _cell_links(rows: DataFrame) -> DataFrame:
         if held is not None and len(held):
             yield links(held, np.zeros(len(held), dtype=int))
 
-    return rows.select("id", *_CELL, *_BOX).repartition(*_CELL).sortWithinPartitions(*_CELL, "minx").mapInPandas(run, "u bigint, v bigint")
+    return rows.select("id", *_CELL, *_BOX).repartition(tasks(rows), *_CELL).sortWithinPartitions(*_CELL, "minx").mapInPandas(run, "u bigint, v bigint")
 
 
 def overlap_links(df: DataFrame, id_col: str, key_cols: list[str], hot_cell: int = HOT_CELL) -> DataFrame:

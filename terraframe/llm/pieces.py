@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terraframe.plans import stage
+from terraframe.plans import stage, tasks
 
 LIMIT_PX, OVERLAP_PX = 512, 64
 RANGE_PX = 1 << 15  # px of an item's side that one step looks at
@@ -172,7 +172,7 @@ def cut_axis(items: DataFrame, spans: DataFrame, limit: int, overlap: int, range
         return out
 
     order = [*key, "range", F.col("length").isNull(), "a"]
-    n = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, much to do: not to be coalesced
+    n = tasks(items)
     tables = rows.repartition(n, *key, "range").sortWithinPartitions(*order).mapInPandas(by_range(table, ["range", "stop", "first", "lo", "goes", "last", "n"]), f"{kinds}, range bigint, stop bigint, first bigint, {_TABLE}")
     begin = stitched(tables, key, "first")
     told = rows.filter("length is not null").join(begin, [*key, "range"]).unionByName(rows.filter("length is null").select("*", none.alias("enter"), none.alias("before"), none.alias("k")))
