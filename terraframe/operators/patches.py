@@ -70,8 +70,8 @@ def pixel_size(patches: DataFrame, res: str = "res") -> DataFrame:
     return patches.filter(F.col(res) > 0).filter(~F.isnan(res)).withColumns({"n_rows": px("miny", "maxy"), "n_cols": px("minx", "maxx")})
 
 
-def _painted(shown: DataFrame, patch: str, band: str, value: str, order: str, emit: Callable[[int, np.ndarray], list[tuple]], schema: str) -> DataFrame:
-    """Rows that `emit` gives of each patch's mask, an array (rows, cols, bands) of bytes.
+def _painted(shown: DataFrame, patch: str, band: str, value: str, order: str, emit: Callable[[int, np.ndarray, tuple], list[tuple]], schema: str) -> DataFrame:
+    """Rows that `emit` gives of each patch, its mask, an array (rows, cols, bands) of bytes, and its minx, maxy and res.
 
     The segments of a patch stream through its task in order, so only one mask
     and one Arrow batch are held however many there are.
@@ -83,8 +83,8 @@ def _painted(shown: DataFrame, patch: str, band: str, value: str, order: str, em
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in schema.split(", ")]
-        types = [{"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
-        held, mask = None, np.zeros((0, 0, MAX_CLASSES), np.uint8)
+        types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+        held, geo, mask = None, (), np.zeros((0, 0, MAX_CLASSES), np.uint8)
         for b in batches:
             e = edges(b.column(9))
             cut = np.searchsorted(e.row, np.arange(b.num_rows + 1)).tolist()
@@ -92,22 +92,22 @@ def _painted(shown: DataFrame, patch: str, band: str, value: str, order: str, em
             for k, (p, at, v, _, h, w, minx, maxy, res, _) in enumerate(zip(*[b.column(i).to_pylist() if i < 9 else [None] * b.num_rows for i in range(10)], strict=True)):
                 if p != held:
                     if held is not None:
-                        out += emit(held, mask)
-                    held, mask = p, np.zeros((h, w, MAX_CLASSES), np.uint8)
+                        out += emit(held, mask, geo)
+                    held, geo, mask = p, (minx, maxy, res), np.zeros((h, w, MAX_CLASSES), np.uint8)
                 i, j = cut[k], cut[k + 1]
                 if i < j:
                     r0, c0, hit = touched((e.x1[i:j] - minx) / res, (maxy - e.y1[i:j]) / res, (e.x2[i:j] - minx) / res, (maxy - e.y2[i:j]) / res, h, w)
                     mask[r0:r0 + hit.shape[0], c0:c0 + hit.shape[1], at][hit] = v
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-        if held is not None and (out := emit(held, mask)):
+        if held is not None and (out := emit(held, mask, geo)):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("p", patch)
 
 
 def burn_masks(shown: DataFrame, patch: str = "patch_id", band: str = "band", value: str = "dfm", order: str = "seq") -> DataFrame:
-    """Mask of each patch that shows a segment: patch, n_rows, n_cols, mask (rows * cols * 3 bytes, band = class position, background 0).
+    """Mask of each patch that shows a segment: patch, n_rows, n_cols, minx, maxy, res, mask (rows * cols * 3 bytes, band = class position, background 0).
 
     shown: rows of `shown_segments` with the columns named. Every pixel whose
     inside a segment's polygon meets gets the segment's value; of several the
@@ -115,12 +115,12 @@ def burn_masks(shown: DataFrame, patch: str = "patch_id", band: str = "band", va
     in the patch's own pixels. Patches without a segment or without a
     resolution have no row.
     """
-    return _painted(shown, patch, band, value, order, lambda p, m: [(p, m.shape[0], m.shape[1], m.tobytes())], "p long, n_rows long, n_cols long, mask binary")
+    return _painted(shown, patch, band, value, order, lambda p, m, g: [(p, m.shape[0], m.shape[1], *g, m.tobytes())], "p long, n_rows long, n_cols long, minx double, maxy double, res double, mask binary")
 
 
 def mask_sums(shown: DataFrame, patch: str = "patch_id", band: str = "band", value: str = "dfm", order: str = "seq") -> DataFrame:
     """Number and place sums of the pixels of `burn_masks` by patch, band and value: (patch, band, v, n, sum_row, sum_col); no mask leaves its task."""
-    def emit(p: int, m: np.ndarray) -> list[tuple]:
+    def emit(p: int, m: np.ndarray, _: tuple) -> list[tuple]:
         r, c, b = np.nonzero(m)
         key = b * 256 + m[r, c, b]
         return [(p, k // 256, k % 256, int((hit := key == k).sum()), int(r[hit].sum()), int(c[hit].sum())) for k in np.unique(key).tolist()]

@@ -83,15 +83,25 @@ def tile_images(spark: SparkSession, folder: str) -> DataFrame:
                     a = T.read_window(f, h, 0, height, 0, width)
                     yield pd.DataFrame({"path": [p], "rows": [height], "cols": [width], "bands": [a.shape[2]], "values": [a.astype(np.float32).ravel()], "epsg": pd.array([epsg], "Int32"), "res": [res], "x_min": [x_min], "y_max": [y_max]})
 
-    return meta.select("path").mapInPandas(run, "path string, rows int, cols int, bands int, values array<float>, epsg int, res double, x_min double, y_max double")
+    return meta.select("path").repartition(tasks(meta), "path").mapInPandas(run, "path string, rows int, cols int, bands int, values array<float>, epsg int, res double, x_min double, y_max double")
 
 
 def band_values(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, band, v, n): pixels of each value above 0 by band of the raster files of a folder."""
-    def make(t, a: np.ndarray) -> list[tuple]:
-        return [(t.path, band, int(v), int(n)) for band in range(a.shape[2]) for v, n in zip(*np.unique(a[..., band], return_counts=True), strict=True) if v > 0]
+    """(path, band, v, n): pixels of each value from 1 to 255 by band of the raster files of a folder, counted where they are read."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for p in b["path"]:
+                with T.open_file(p) as f:
+                    h = T.header(f)
+                    a = T.read_window(f, h, 0, h.tags[T.HEIGHT][0], 0, h.tags[T.WIDTH][0])
+                for band in range(a.shape[2]):
+                    n = np.bincount(a[..., band].ravel().astype(np.uint8), minlength=256)
+                    out += [(p, band, v, int(n[v])) for v in np.flatnonzero(n[1:]) + 1]
+            yield pd.DataFrame(out, columns=["path", "band", "v", "n"])
 
-    return _images(tile_images(spark, folder), make, "path string, band int, v int, n long")
+    paths = T.list_rasters(spark, folder)
+    return paths.repartition(tasks(paths), "path").mapInPandas(run, "path string, band int, v int, n long")
 
 
 def box_texts(images: DataFrame, labels: tuple[str, ...], detect: Detect) -> DataFrame:
@@ -180,7 +190,7 @@ def training_files(patches: DataFrame, shown: DataFrame, folder: str) -> DataFra
                         yield pd.DataFrame([(t.images_path, *v.shape, v.ravel(), epsg, res, t.minx, t.maxy, 0.0)], columns=[x.split()[0] for x in _TILE.split(", ")])
 
     images = size.select("path", "images_path", "minx", "maxy", "n_rows", "n_cols").repartition(tasks(size), "path", "images_path").mapInPandas(cut, _TILE)
-    masks = P.burn_masks(shown).join(patches.select("patch_id", "segmentation_masks_path", "minx", "maxy", "res"), "patch_id").select(
+    masks = P.burn_masks(shown).join(patches.select("patch_id", "segmentation_masks_path"), "patch_id").select(
         F.col("segmentation_masks_path").alias("name"), F.col("n_rows").cast("int").alias("rows"), F.col("n_cols").cast("int").alias("cols"), F.lit(P.MAX_CLASSES).alias("bands"), F.col("mask").alias("values"),
         F.lit(None).cast("int").alias("epsg"), "res", F.col("minx").alias("x_min"), F.col("maxy").alias("y_max"), F.lit(None).cast("double").alias("nodata"))
     texts = patches.select(F.col("labeltxt_path").alias("name"), F.col("labeltxt").alias("text"))
