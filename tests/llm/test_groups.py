@@ -3,7 +3,7 @@ import pandas as pd
 import pytest
 
 from terraframe.llm import components, grouping, overlap, queries
-from tests import brute
+from tests.llm import brute
 
 
 def got(df):

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from terraframe.llm import crosssplit, mixing, pieces, queries
-from tests import brute
+from tests.llm import brute
 
 
 def got(df):

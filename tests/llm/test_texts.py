@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from terraframe.llm import leakage, queries, spans
-from tests import brute
+from tests.llm import brute
 
 
 def got(df):
