@@ -161,13 +161,13 @@ def with_clip(df: DataFrame, rings_col: str, box: tuple[str, str, str, str]) ->
     return df.mapInArrow(run, out)
 
 
-def polygon_semi_join(left: DataFrame, polygons: DataFrame, key: list[str], cell: float) -> DataFrame:
+def polygon_semi_join(left: DataFrame, polygons: DataFrame, key: list[str], cell: float, mixed: bool = False) -> DataFrame:
     """Rows of `left` (boxes, unique by `key`) that a polygon meets, touching included.
 
     polygons: bounds and `rings`; what has no ring (a point) counts by its
-    bounds. Boxes choose the candidates, the edges decide.
+    bounds. Boxes choose the candidates (see `rect_join` for `mixed`), the edges decide.
     """
-    met = rect_join(left.select(*key, *BOUNDS), polygons.select("rings", *BOUNDS), cell)
+    met = rect_join(left.select(*key, *BOUNDS), polygons.select("rings", *BOUNDS), cell, mixed=mixed)
     hit = with_clip(met, "r_rings", BOUNDS).filter("px0 is not null or size(r_rings) = 0")
     return left.join(hit.select(*key).distinct(), key, "left_semi")
 

@@ -331,6 +331,19 @@ def test_fraction_is_strict(spark):
     assert line == "0 90 34 90 34 100 0 100 b 2"
 
 
+def test_boxes_of_all_sizes_meet_without_many_rows(spark):
+    rng = np.random.default_rng(8)
+    v = np.column_stack([rng.uniform(-3000, 3000, (150, 2)), 10 ** rng.uniform(-1, 4.5, (150, 2))])
+    v[:5, 2:] = 0
+    b = [(i, float(x), float(y), float(x + w), float(y + h)) for i, (x, y, w, h) in enumerate(v)] + [(900, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(b, "id long, minx double, miny double, maxx double, maxy double")
+    want = {(p[0], q[0]) for p in b[:-1] for q in b[:-1] if p[1] <= q[3] and q[1] <= p[3] and p[2] <= q[4] and q[2] <= p[4]}
+    out = spatial.rect_join(df, df, 1.0, mixed=True).select("id", "r_id").collect()
+    assert len(out) == len(want) and {tuple(r) for r in out} == want
+    huge = spark.createDataFrame([(1, 0.0, 0.0, 1e7, 1e7)], "id long, minx double, miny double, maxx double, maxy double")
+    assert spatial.rect_join(huge, df, 1.0, mixed=True).filter("r_id < 900").count() == sum(q[3] >= 0 and q[4] >= 0 for q in b[:-1])
+
+
 def test_iou_and_precision(spark):
     px = spark.createDataFrame([("a", True, True), ("a", True, False), ("a", False, True), ("b", False, False)], "k string, t boolean, p boolean")
     assert got(metrics.pixel_iou(px, "k", "t", "p")) == {("a", 1, 1, 1, 1 / 3), ("b", 0, 0, 0, None)}
