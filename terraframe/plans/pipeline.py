@@ -90,11 +90,12 @@ def segmentation(pixels: DataFrame, params: RunParameters, res: float, width: in
     0.5, parts per tile, then roundness and area filters, in that order. A
     scorer is a function over Arrow batches; a model is loaded once per worker.
     """
-    vis = pixels if params.vis_exist_ok else R.visualised(pixels, int(max(10, -(-10 // res))), scale)
     if not params.model_labels:
         raise ValueError("no labels")
     if params.vis_exist_ok:
-        vis = vis.withColumn("v", S.unit_clamped(F.col("z")))
+        vis = pixels.withColumn("v", S.unit_clamped(F.col("z")))
+    else:
+        vis = R.local_relief_tiled(pixels, int(max(10, -(-10 // res))), tile).withColumn("v", S.stretched(F.col("relief") / F.lit(scale)))
     prob = with_labels(vis.select("r", "c", "v"), params.model_labels).mapInPandas(scorer, "r long, c long, label string, prob double")
     keys = ("label",)
     parts = R.components(R.thresholded(prob, "prob"), tile, width, keys)
