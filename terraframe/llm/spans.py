@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terraframe.plans import stage
+from terraframe.plans import stage, tasks
 
 SPAN = 400  # characters
 # w: reach of a break's neighbourhood; GRAM: characters that rank a break in a text without natural ones
@@ -109,19 +109,80 @@ def _codes(text: str) -> np.ndarray:
 
 
 def anchors(docs: DataFrame, span: int) -> DataFrame:
-    """(doc_id, at, h): the hash of every run of units of each text."""
+    """(doc_id, at, to, h, w, n): start, end and hash of every run of units of each text, hash of the `span` characters from its start (null where the text ends before), characters of the text."""
     length = run_length(span)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for ids, bounds, codes in _chunks(b):
-                h = Hashes(codes, _M1)
+                h, h2 = Hashes(codes, _M1), Hashes(codes, _M2)
                 start, stop, key = runs(codes, h, length)
                 d = np.searchsorted(bounds, start, "right") - 1
                 inside = stop <= bounds[d + 1]
-                yield pd.DataFrame({"doc_id": ids[d[inside]], "at": (start - bounds[d])[inside].astype(np.int32), "h": key[inside]})
+                start, stop, key, d = start[inside], stop[inside], key[inside], d[inside]
+                whole = start + span <= bounds[d + 1]
+                w = pd.array(np.where(whole, h2.of(start, np.where(whole, start + span, start)), 0), "Int64")
+                w[~whole] = pd.NA
+                yield pd.DataFrame({"doc_id": ids[d], "at": (start - bounds[d]).astype(np.int32), "to": (stop - bounds[d]).astype(np.int32), "h": key, "w": w, "n": (bounds[d + 1] - bounds[d]).astype(np.int32)})
+
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, at int, to int, h bigint, w bigint, n int")
+
+
+class Layout:
+    """The runs of a text, in order of their starts, and which of them are repeated."""
+
+    def __init__(self, start: np.ndarray, stop: np.ndarray, repeated: np.ndarray, span: int):
+        self.start, self.stop, self.span = start, stop, span
+        self.bad = _count(~np.isin(start, repeated))
+
+    def first(self, at: np.ndarray) -> np.ndarray:
+        """Number of the first run inside the window at each place."""
+        return np.searchsorted(self.start, at + MARGIN)
+
+    def candidates(self, at: np.ndarray) -> np.ndarray:
+        """Places whose window has only repeated runs inside."""
+        a, z = self.first(at), np.searchsorted(self.stop, at + self.span - MARGIN, "right")
+        return at[self.bad[np.maximum(a, z)] == self.bad[a]]
+
+
+def open_runs(rows: DataFrame, span: int) -> DataFrame:
+    """(h) of the first runs of those windows that may be shared, but that no stretch of surely shared windows covers.
+
+    rows: doc_id, at, kind and, of kind 0 (all runs of a text), to, h, n; of kind 1 the
+    repeated runs, of kind 2 the surely shared windows of `span` characters.
+    """
+    def solve(g: pd.DataFrame) -> np.ndarray:
+        kind, at = g["kind"].to_numpy(), g["at"].to_numpy(np.int64)
+        own = kind == 0
+        layout = Layout(at[own], g["to"].to_numpy()[own].astype(np.int64), at[kind == 1], span)
+        key, sure, n = g["h"].to_numpy()[own], np.unique(at[kind == 2]), int(g["n"].to_numpy()[own][0])
+        # only places near a repeated run can be candidates; of those covered, few are left
+        found = []
+        for lo in range(0, n - span + 1, CHUNK):
+            p = layout.candidates(np.arange(lo, min(lo + CHUNK, n - span + 1)))
+            if len(sure) and len(p):
+                i = np.searchsorted(sure, p, "right") - 1
+                j = np.minimum(i + 1, len(sure) - 1)
+                p = p[~((i >= 0) & ((sure[np.maximum(i, 0)] == p) | ((j > i) & (sure[j] - sure[np.maximum(i, 0)] <= span))))]
+            found.append((k := layout.first(p))[k < len(key)])
+        return np.unique(key[np.unique(np.concatenate(found))]) if found else key[:0]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for b in batches:
+            b = b if held is None else pd.concat([held, b], ignore_index=True)
+            if not len(b):
+                continue
+            d = b["doc_id"].to_numpy()
+            cut = np.flatnonzero(np.concatenate([[True], d[1:] != d[:-1]]))
+            held = b.iloc[cut[-1]:]
+            out = [solve(b.iloc[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+            if out:
+                yield pd.DataFrame({"h": np.unique(np.concatenate(out)).astype(np.int64)})
+        if held is not None and len(held):
+            yield pd.DataFrame({"h": solve(held).astype(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, at int, h bigint")
+    return rows.repartition(tasks(rows), "doc_id").sortWithinPartitions("doc_id", "kind", "at").mapInPandas(run, "h bigint").distinct()
 
 
 def _chunks(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -139,27 +200,26 @@ def _chunks(b: pd.DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def windows(docs: DataFrame, span: int) -> DataFrame:
-    """(doc_id, at, h): the hash of each window of `span` characters of which all runs inside are `repeated`.
+    """(doc_id, at, h, h2): the hashes of each window of `span` characters of which all runs inside are `repeated` and the first is `asked`.
 
-    docs: doc_id, text, repeated (array of the starts of the text's repeated runs).
+    docs: doc_id, text, repeated and asked (arrays of starts of the text's runs).
     """
     length = run_length(span)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for doc, text, good in zip(b["doc_id"], b["text"], b["repeated"], strict=True):
+            for doc, text, good, asked in zip(b["doc_id"], b["text"], b["repeated"], b["asked"], strict=True):
                 codes = _codes(text)
                 h, h2 = Hashes(codes, _M1), Hashes(codes, _M2)
                 start, stop, _ = runs(codes, h, length)
-                bad = _count(~np.isin(start, np.asarray(good)))
+                layout, wanted = Layout(start, stop, np.asarray(good), span), np.append(np.isin(start, np.asarray(asked)), True)
                 for lo in range(0, len(codes) - span + 1, CHUNK):  # a very long text goes on in parts
-                    at = np.arange(lo, min(lo + CHUNK, len(codes) - span + 1))
-                    a, z = np.searchsorted(start, at + MARGIN), np.searchsorted(stop, at + span - MARGIN, "right")
-                    at = at[bad[np.maximum(a, z)] == bad[a]]
+                    at = layout.candidates(np.arange(lo, min(lo + CHUNK, len(codes) - span + 1)))
+                    at = at[wanted[layout.first(at)]]
                     if len(at):
                         yield pd.DataFrame({"doc_id": doc, "at": at.astype(np.int32), "h": h.of(at, at + span), "h2": h2.of(at, at + span)})
 
-    return docs.select("doc_id", "text", "repeated").mapInPandas(run, "doc_id bigint, at int, h bigint, h2 bigint")
+    return docs.select("doc_id", "text", "repeated", "asked").mapInPandas(run, "doc_id bigint, at int, h bigint, h2 bigint")
 
 
 def _few(df: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
@@ -176,10 +236,12 @@ def shared_spans(docs: DataFrame, span: int = SPAN, later_only: bool = False) ->
 
     Runs of several consecutive units (lines, sentences) are hashed and joined
     globally; every shared stretch holds whole runs, as unit bounds depend on the
-    text near them only. In texts with repeated runs each window of `span`
-    characters whose runs are all repeated is then hashed and joined, which
-    gives the stretches to the character. Equal whole texts are grouped first.
-    Both joins are aggregations with map-side combine and semi joins: no pairs
+    text near them only. Of the repeated runs, those that also go on alike up to
+    `span` characters give the stretches but for their ends. There, to the
+    character, each window of `span` characters that may be shared and is not
+    yet covered is hashed and joined, in all texts that hold the window's first
+    run: so a stretch costs a row per run and some 200 for its ends, not a row a
+    character. Equal whole texts are grouped first. All joins are aggregations with map-side combine and semi joins: no pairs
     arise, and a run that a third of all texts share is no hot group.
 
     Null ids and texts and texts under `span` characters take no part; repeated
@@ -196,16 +258,27 @@ def shared_spans(docs: DataFrame, span: int = SPAN, later_only: bool = False) ->
     docs = docs.join(spare, "doc_id", "left_anti")
     runs_ = stage(anchors(docs, span), "runs")
     met = runs_.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h")
-    again = runs_.join(_few(stage(met, "met")), "h", "left_semi")
-    marked = stage(again.groupBy("doc_id").agg(F.collect_set("at").alias("repeated")), "marked")
+    again = stage(runs_.join(_few(stage(met, "met")), "h", "left_semi"), "again")
+    # windows that begin with a repeated run: where they stand twice, they are shared
+    twice = again.filter("w is not null").groupBy("h", "w").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h", "w", "a")
+    sure = again.join(stage(twice, "twice"), ["h", "w"])
+    sure = stage((sure.filter("doc_id > a") if later_only else sure).select("doc_id", "at"), "sure")
+    ids = _few(stage(again.select("doc_id").distinct(), "ids"))
+    none = {"to": F.lit(0), "h": F.lit(0).cast("bigint"), "n": F.lit(0)}  # no nulls: hashes must stay whole numbers
+    kinds_ = runs_.join(ids, "doc_id", "left_semi").select("doc_id", "at", F.lit(0).alias("kind"), "to", "h", "n")
+    for k, part in ((1, again), (2, sure)):
+        kinds_ = kinds_.union(part.select("doc_id", "at", F.lit(k).alias("kind"), *[v.alias(c) for c, v in none.items()]))
+    asked = stage(open_runs(kinds_, span), "asked").withColumn("ask", F.lit(True))
+    marked = again.join(_few(asked), "h", "left").groupBy("doc_id").agg(F.collect_set("at").alias("repeated"), F.collect_set(F.when(F.col("ask"), F.col("at"))).alias("asked"))
+    marked = stage(marked.filter("size(asked) > 0"), "marked")
     texts = docs.join(_few(marked.select("doc_id")), "doc_id", "left_semi").join(marked, "doc_id")
     rows = stage(windows(texts, span), "windows")
     both = rows.groupBy("h", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("h", "h2", *["a"] * later_only)
     if later_only:
-        hits = rows.join(both.withColumnRenamed("a", "first"), ["h", "h2"]).filter("doc_id > first").select("doc_id", "at")
+        hits = rows.join(both.withColumnRenamed("a", "first"), ["h", "h2"]).filter("doc_id > first").select("doc_id", "at").union(sure)
         copies = copies.filter("doc_id <> rep")
     else:
-        hits = rows.join(both, ["h", "h2"], "left_semi").select("doc_id", "at").join(_few(copies.select("doc_id")), "doc_id", "left_anti")
+        hits = rows.join(both, ["h", "h2"], "left_semi").select("doc_id", "at").union(sure).join(_few(copies.select("doc_id")), "doc_id", "left_anti")
     near = hits.repartition("doc_id").sortWithinPartitions("doc_id", "at")
 
     def islands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -255,6 +255,18 @@ def test_very_long_texts(spark):
     assert got(leakage.leaks(docs, asked(spark, [(5, " ".join(item))]))) == {(1, 5)}
 
 
+def test_long_stretches_cost_windows_at_their_ends_only(spark, monkeypatch):
+    rng = np.random.default_rng(41)
+    line = lambda: " ".join(passage(rng, 8))
+    shared = "\n".join(line() for _ in range(900))
+    texts = {k: "\n".join([*(line() for _ in range(20)), shared[k * 500:], *(line() for _ in range(20))]) for k in range(4)}
+    seen, stage = [], spans.stage
+    monkeypatch.setattr(spans, "stage", lambda df, name: (out := stage(df, name), seen.append((name, out.count())))[0])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert got(spans.shared_spans(df)) == brute.shared_stretches(texts)
+    assert dict(seen)["windows"] < 0.05 * sum(map(len, texts.values()))
+
+
 def test_repeated_sentences_are_removed_but_once(spark):
     both = " ".join(f"Shared sentence number {i} of the notice reads so." for i in range(12))
     own = {k: " ".join(f"Text {k} says thing {i * k} by itself here." for i in range(20)) for k in (1, 2, 3)}
