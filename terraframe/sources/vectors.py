@@ -5,9 +5,7 @@ from __future__ import annotations
 import json
 import sqlite3
 import struct
-import tempfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -101,10 +99,8 @@ def write_gpkg(df: DataFrame, folder: str, layer: str, geometry: str = "geometry
         from pyarrow import fs
 
         n = part = None
-        with tempfile.TemporaryDirectory() as d:
-            at = Path(d) / "x.gpkg"
-            db = sqlite3.connect(at)
-            db.executescript(f"""pragma application_id = 1196444487; pragma user_version = 10300;
+        db = sqlite3.connect(":memory:")  # no scratch file on the machine
+        db.executescript(f"""pragma application_id = 1196444487; pragma user_version = 10300;
 create table gpkg_spatial_ref_sys (srs_name text, srs_id integer primary key, organization text, organization_coordsys_id integer, definition text, description text);
 create table gpkg_contents (table_name text primary key, data_type text, identifier text, description text, last_change text default (strftime('%Y-%m-%dT%H:%M:%fZ', 'now')), min_x double, min_y double, max_x double, max_y double, srs_id integer);
 create table gpkg_geometry_columns (table_name text, column_name text, geometry_type_name text, srs_id integer, z tinyint, m tinyint);
@@ -112,23 +108,22 @@ insert into gpkg_spatial_ref_sys values ('EPSG:{epsg}', {epsg}, 'EPSG', {epsg},
 insert into gpkg_contents (table_name, data_type, identifier, srs_id) values ('{layer}', 'features', '{layer}', {epsg});
 insert into gpkg_geometry_columns values ('{layer}', 'geom', 'GEOMETRY', {epsg}, 0, 0);
 create table "{layer}" (fid integer primary key autoincrement, geom blob{', ' + cols if cols else ''});""")
-            for b in batches:
-                lead = struct.pack("<2sBBi", b"GP", 0, 1, epsg)
-                geo = [None if (w := wkb(g)) is None else lead + w for g in b[geometry]]
-                rows = [[None if v is None or v != v else (v.item() if hasattr(v, "item") else v) for v in r] for r in b[names].itertuples(index=False)]
-                db.executemany(f'insert into "{layer}" (geom{"".join(f", {chr(34)}{c}{chr(34)}" for c in names)}) values ({", ".join("?" * (len(names) + 1))})', [[g, *r] for g, r in zip(geo, rows, strict=True)])
-                n = (n or 0) + len(b)
-            db.commit()
-            db.close()
-            if n is not None:
-                from pyspark import TaskContext
-
-                part = f"{layer}-{TaskContext.get().partitionId():05d}.gpkg"
-                plain = folder.removeprefix("file:") if folder.startswith("file:") else folder
-                where, base = fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), plain)
-                where.create_dir(base, recursive=True)
-                with where.open_output_stream(f"{base}/{part}") as f:
-                    f.write(at.read_bytes())
+        for b in batches:
+            lead = struct.pack("<2sBBi", b"GP", 0, 1, epsg)
+            geo = [None if (w := wkb(g)) is None else lead + w for g in b[geometry]]
+            rows = [[None if v is None or v != v else (v.item() if hasattr(v, "item") else v) for v in r] for r in b[names].itertuples(index=False)]
+            db.executemany(f'insert into "{layer}" (geom{"".join(f", {chr(34)}{c}{chr(34)}" for c in names)}) values ({", ".join("?" * (len(names) + 1))})', [[g, *r] for g, r in zip(geo, rows, strict=True)])
+            n = (n or 0) + len(b)
+        db.commit()
+        if n is not None:
+            from pyspark import TaskContext
+
+            part = f"{layer}-{TaskContext.get().partitionId():05d}.gpkg"
+            plain = folder.removeprefix("file:") if folder.startswith("file:") else folder
+            where, base = fs.FileSystem.from_uri(plain) if "://" in plain else (fs.LocalFileSystem(), plain)
+            where.create_dir(base, recursive=True)
+            with where.open_output_stream(f"{base}/{part}") as f:
+                f.write(db.serialize())
         if n is not None:
             yield pd.DataFrame({"name": [part], "features": [n]})
 
@@ -142,16 +137,14 @@ def read_gpkg(spark: SparkSession, folder: str, layer: str, schema: str) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for body in b["content"]:
-                with tempfile.TemporaryDirectory() as d:
-                    at = Path(d) / "x.gpkg"
-                    at.write_bytes(body)
-                    db = sqlite3.connect(at)
-                    geo = db.execute("select column_name from gpkg_geometry_columns where table_name = ?", [layer]).fetchone()[0]
-                    cur = db.execute(f'select "{geo}", {", ".join(chr(34) + c + chr(34) for c in names)} from "{layer}"')
-                    while rows := cur.fetchmany(10_000):
-                        p = pd.DataFrame(rows, columns=["geometry", *names])
-                        yield p.assign(geometry=[wkt(g) for g in p["geometry"]])
-                    db.close()
+                db = sqlite3.connect(":memory:")
+                db.deserialize(body)
+                geo = db.execute("select column_name from gpkg_geometry_columns where table_name = ?", [layer]).fetchone()[0]
+                cur = db.execute(f'select "{geo}", {", ".join(chr(34) + c + chr(34) for c in names)} from "{layer}"')
+                while rows := cur.fetchmany(10_000):
+                    p = pd.DataFrame(rows, columns=["geometry", *names])
+                    yield p.assign(geometry=[wkt(g) for g in p["geometry"]])
+                db.close()
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gpkg").load(folder)
     return files.select("content").mapInPandas(run, f"geometry string, {schema}")
