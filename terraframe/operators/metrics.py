@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from terraframe.functions.geometry import BOUNDS
 from terraframe.operators.spatial import rect_join, shared_area
 from terraframe.plans import stage
 
@@ -27,6 +28,8 @@ def average_precision(predictions: DataFrame, truths: DataFrame, cell: float, io
     best scored is a hit. ap is the sum of the precision at each hit over the
     number of truths.
     """
+    predictions = stage(predictions.select("id", "label", "score", *BOUNDS), "predictions")  # both are needed twice
+    truths = stage(truths.select("id", "label", *BOUNDS), "truths")
     met = rect_join(predictions, truths, cell, on=("label",))
     a = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))
     b = (F.col("r_maxx") - F.col("r_minx")) * (F.col("r_maxy") - F.col("r_miny"))
@@ -36,6 +39,7 @@ def average_precision(predictions: DataFrame, truths: DataFrame, cell: float, io
     first = ranked.filter("truth is not null").groupBy("label", "truth").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("id")).select("id", F.lit(1).alias("hit"))
     ranked = ranked.join(first, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     order = [F.col("label"), F.desc("score"), F.col("id")]
+    ranked = stage(ranked, "scored")  # range bounds are sampled from what is written
     ranked = stage(ranked.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), "ranked")
     # a label may hold most rows: ranks are positions within a sorted range plus what the ranges before it hold
     sums = ranked.groupBy("label", "part").agg(F.count(F.lit(1)).alias("pn"), F.sum("hit").alias("pk"))
