@@ -109,14 +109,14 @@ def p6_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p6_file_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """All pages written out as giant text files, cut in pieces of at most 4,096 bytes that overlap by 256."""
+    """All pages written out as giant text files, cut in pieces of at most 4,096 bytes that overlap by 256; of each piece's text the length and digest."""
     at = f"{shared_dir(spark)}/stage-pages-{uuid.uuid4().hex}"
     texts = table(spark, d, "documents").select("text").filter("text is not null")
     held(at)
     texts.write.text(at)
     paths = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(at).select("path").toLocalIterator()  # one row per giant file
     out = pieces.cut_files(spark, [r.path for r in paths], 4096, 256, 1024)
-    return out.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("file"), "piece", "start", "stop", "boundary", "text")
+    return out.select(F.regexp_extract("path", r"part-(\d+)", 1).alias("file"), "piece", "start", "stop", "boundary", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 @query
@@ -136,8 +136,9 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_kept(spark: SparkSession, d: str) -> DataFrame:
-    """Pages without the sentences that stand in an earlier page's stretch too."""
-    return spans.without_repeats(table(spark, d, "documents"))
+    """Pages without the sentences that stand in an earlier page's stretch too: length and digest of what is kept, characters removed."""
+    kept = spans.without_repeats(table(spark, d, "documents"))
+    return kept.select("doc_id", F.length("text").alias("kept_chars"), "removed_chars", F.md5("text").alias("digest"))
 
 
 @query
