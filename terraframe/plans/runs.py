@@ -267,7 +267,7 @@ def run(spark: SparkSession, rasters: DataFrame, params: RunParameters, folder:
     t = time.time()
     meta = stage(T.scan_metadata(rasters.select("path")), "meta")
     res = meta.agg(F.min("res")).first()[0]
-    sources = meta.withColumn("seq", F.row_number().over(_by_path()).cast("long"))
+    sources = meta.orderBy("path").withColumn("seq", F.monotonically_increasing_id())  # grows with the path
     vis = f"{folder}/{'tiled_image' if params.vis_exist_ok else 'slrm'}"
     radius = 0 if params.vis_exist_ok else int(max(10, -(-10 // res)))
     windows = M.mosaic_tiles(sources, tile, radius)
@@ -316,12 +316,6 @@ def run(spark: SparkSession, rasters: DataFrame, params: RunParameters, folder:
     return out, log
 
 
-def _by_path():
-    from pyspark.sql import Window
-
-    return Window.orderBy("path")  # one row per file of the mosaic
-
-
 def write_raster_tiles(pixels: DataFrame, tile: int, folder: str, res: float, x_min: float, y_max: float, epsg: int, nodata: float) -> DataFrame:
     """Pixel rows (r, c, z) as raster files of `tile` pixels, null as nodata; gives path, name and n_bytes. Each file's pixels meet in one task."""
     def one(p: pd.DataFrame) -> pd.DataFrame:

@@ -250,7 +250,8 @@ def nodata_kinds(spark: SparkSession, d: str) -> DataFrame:
     """Pixels and valid pixels of every raster under its own nodata value (null, NaN or a number); rows of pixels go round all rasters."""
     nod = table(spark, d, "raster").select("raster_id", "nodata", (F.row_number().over(W.orderBy("raster_id")) - 1).cast("long").alias("k"))
     z = F.when(F.expr("(r * 7 + c * 13) % 11 = 0"), F.lit(0.0)).when(F.expr("(r + c) % 7 = 0"), F.lit(-9999.0)).when(F.expr("(r + 2 * c) % 5 = 0"), F.lit(LOWEST)).otherwise(F.col("z").cast("double"))
-    p = pixels(spark, d).crossJoin(F.broadcast(nod.agg(F.count(F.lit(1)).alias("n")))).select((F.col("r") % F.col("n")).alias("k"), z.alias("z"))
+    n = table(spark, d, "raster").count()
+    p = pixels(spark, d).select((F.col("r") % F.lit(max(n, 1))).alias("k"), z.alias("z"))
     valid = R.valid_pixels(p.join(nod, "k"), "nodata").groupBy("raster_id").agg(F.count(F.lit(1)).alias("n_valid"))
     whole = p.groupBy("k").agg(F.count(F.lit(1)).alias("n_pix")).join(nod, "k").select("raster_id", "n_pix")
     return whole.join(valid, "raster_id", "left").select("raster_id", "n_pix", F.coalesce("n_valid", F.lit(0)).alias("n_valid"))
@@ -838,8 +839,8 @@ def _relief_pixels(spark: SparkSession, d: str) -> DataFrame:
 @query
 def files_relief(spark: SparkSession, d: str) -> DataFrame:
     """Pixels of the relief tiles, read back from their files, in hundredths; the raster's own pixels only."""
-    own = pixels(spark, d).agg(F.max("r").alias("last"))
-    px = _relief_pixels(spark, d).crossJoin(F.broadcast(own)).filter("r <= last")
+    last = pixels(spark, d).agg(F.max("r")).first()[0]
+    px = _relief_pixels(spark, d).filter(F.col("r") <= F.lit(last))
     return px.select("r", "c", F.floor(F.col("z") * 100 + 0.5 + 1e-4).cast("long").alias("v"))
 
 
