@@ -17,6 +17,7 @@ from terraframe.plans import tasks
 
 LEAST_FRACTION = 0.33
 MAX_CLASSES = 3
+OUT_ROWS, OUT_BYTES = 10_000, 8 << 20  # most rows and bytes of masks that leave a task at once; a mask above it goes alone
 
 
 def default_quality(dfm: Column) -> Column:
@@ -70,38 +71,49 @@ def pixel_size(patches: DataFrame, res: str = "res") -> DataFrame:
     return patches.filter(F.col(res) > 0).filter(~F.isnan(res)).withColumns({"n_rows": px("miny", "maxy"), "n_cols": px("minx", "maxx")})
 
 
-def _painted(shown: DataFrame, patch: str, band: str, value: str, order: str, emit: Callable[[int, np.ndarray, tuple], list[tuple]], schema: str) -> DataFrame:
-    """Rows that `emit` gives of each patch, its mask, an array (rows, cols, bands) of bytes, and its minx, maxy and res.
+def painted(shown: DataFrame, patch: str, band: str, value: str, order: str, make: Callable[[Iterator[tuple[int, np.ndarray, tuple]]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows that `make` gives of a task's masks: it takes each patch with its mask, an array (rows, cols, bands) of bytes, and its minx, maxy and res.
 
-    The segments of a patch stream through its task in order, so only one mask
-    and one Arrow batch are held however many there are.
+    The segments of a patch stream through its task in order, and rows leave the
+    task before their bytes exceed OUT_BYTES, so one mask, one Arrow batch and
+    those rows are held however many masks there are.
     """
     rows = pixel_size(shown).select(
         F.col(patch).cast("long").alias("p"), F.col(band).cast("int").alias("band"), F.col(value).cast("int").alias("v"), F.col(order).alias("o"),
         F.col("n_rows"), F.col("n_cols"), "minx", "maxy", "res", "r_rings")
     rows = rows.filter(f"band >= 0 and band < {MAX_CLASSES}").repartition(tasks(rows), "p").sortWithinPartitions("p", "o", "v")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [c.split()[0] for c in schema.split(", ")]
-        types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, tuple]]:
         held, geo, mask = None, (), np.zeros((0, 0, MAX_CLASSES), np.uint8)
         for b in batches:
             e = edges(b.column(9))
             cut = np.searchsorted(e.row, np.arange(b.num_rows + 1)).tolist()
-            out = []
             for k, (p, at, v, _, h, w, minx, maxy, res, _) in enumerate(zip(*[b.column(i).to_pylist() if i < 9 else [None] * b.num_rows for i in range(10)], strict=True)):
                 if p != held:
                     if held is not None:
-                        out += emit(held, mask, geo)
+                        yield held, mask, geo
                     held, geo, mask = p, (minx, maxy, res), np.zeros((h, w, MAX_CLASSES), np.uint8)
                 i, j = cut[k], cut[k + 1]
                 if i < j:
                     r0, c0, hit = touched((e.x1[i:j] - minx) / res, (maxy - e.y1[i:j]) / res, (e.x2[i:j] - minx) / res, (maxy - e.y2[i:j]) / res, h, w)
                     mask[r0:r0 + hit.shape[0], c0:c0 + hit.shape[1], at][hit] = v
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-        if held is not None and (out := emit(held, mask, geo)):
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        if held is not None:
+            yield held, mask, geo
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        types = [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in schema.split(", ")]
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+        out, size = [], 0
+        for row in make(masks(batches)):
+            more = sum(len(x) for x in row if isinstance(x, bytes))
+            if out and (len(out) == OUT_ROWS or size + more > OUT_BYTES):
+                yield batch(out)
+                out, size = [], 0
+            out.append(row)
+            size += more
+        if out:
+            yield batch(out)
 
     return rows.mapInArrow(run, schema).withColumnRenamed("p", patch)
 
@@ -115,17 +127,19 @@ def burn_masks(shown: DataFrame, patch: str = "patch_id", band: str = "band", va
     in the patch's own pixels. Patches without a segment or without a
     resolution have no row.
     """
-    return _painted(shown, patch, band, value, order, lambda p, m, g: [(p, m.shape[0], m.shape[1], *g, m.tobytes())], "p long, n_rows long, n_cols long, minx double, maxy double, res double, mask binary")
+    make = lambda masks: ((p, *m.shape[:2], *g, m.tobytes()) for p, m, g in masks)
+    return painted(shown, patch, band, value, order, make, "p long, n_rows long, n_cols long, minx double, maxy double, res double, mask binary")
 
 
 def mask_sums(shown: DataFrame, patch: str = "patch_id", band: str = "band", value: str = "dfm", order: str = "seq") -> DataFrame:
     """Number and place sums of the pixels of `burn_masks` by patch, band and value: (patch, band, v, n, sum_row, sum_col); no mask leaves its task."""
-    def emit(p: int, m: np.ndarray, _: tuple) -> list[tuple]:
-        r, c, b = np.nonzero(m)
-        key = b * 256 + m[r, c, b]
-        return [(p, k // 256, k % 256, int((hit := key == k).sum()), int(r[hit].sum()), int(c[hit].sum())) for k in np.unique(key).tolist()]
+    def make(masks: Iterator[tuple[int, np.ndarray, tuple]]) -> Iterator[tuple]:
+        for p, m, _ in masks:
+            r, c, b = np.nonzero(m)
+            key = b * 256 + m[r, c, b]
+            yield from ((p, k // 256, k % 256, int((hit := key == k).sum()), int(r[hit].sum()), int(c[hit].sum())) for k in np.unique(key).tolist())
 
-    return _painted(shown, patch, band, value, order, emit, "p long, band int, v int, n long, sum_row long, sum_col long")
+    return painted(shown, patch, band, value, order, make, "p long, band int, v int, n long, sum_row long, sum_col long")
 
 
 def class_bands(classes: list[str]) -> dict[str, int]:

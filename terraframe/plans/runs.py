@@ -86,22 +86,42 @@ def tile_images(spark: SparkSession, folder: str) -> DataFrame:
     return meta.select("path").repartition(tasks(meta), "path").mapInPandas(run, "path string, rows int, cols int, bands int, values array<float>, epsg int, res double, x_min double, y_max double")
 
 
-def band_values(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, band, v, n): pixels of each value from 1 to 255 by band of the raster files of a folder, counted where they are read."""
+def write_masks(shown: DataFrame, folder: str, epsg: int | None = None, patch: str = "patch_id", band: str = "band", value: str = "dfm", order: str = "seq") -> DataFrame:
+    """Write the masks of `patches.burn_masks` as files `<patch>.tif`; gives patch, path and n_bytes of each.
+
+    A mask is written by the task that paints it and let go then, none goes
+    through the engine. Runs when the result is read; a rerun of a task writes
+    the same files again.
+    """
+    def make(masks: Iterator[tuple[int, np.ndarray, tuple]]) -> Iterator[tuple]:
+        where, base = T.made_folder(folder)
+        for p, m, (x_min, y_max, res) in masks:
+            data = T.encode(m, res, x_min, y_max, epsg)
+            with where.open_output_stream(f"{base}/{p}.tif") as f:
+                f.write(data)
+            yield p, f"{folder}/{p}.tif", len(data)
+
+    return P.painted(shown, patch, band, value, order, make, "p long, path string, n_bytes long")
+
+
+def band_values(paths: DataFrame) -> DataFrame:
+    """(path, band, v, n): pixels of each value from 1 to 255 by band of raster files (path), counted where they are read, block by block."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for p in b["path"]:
                 with T.open_file(p) as f:
                     h = T.header(f)
-                    a = T.read_window(f, h, 0, h.tags[T.HEIGHT][0], 0, h.tags[T.WIDTH][0])
-                for band in range(a.shape[2]):
-                    n = np.bincount(a[..., band].ravel().astype(np.uint8), minlength=256)
-                    out += [(p, band, v, int(n[v])) for v in np.flatnonzero(n[1:]) + 1]
+                    bands = T.layout(h).bands
+                    n = np.zeros(bands * 256, np.int64)
+                    for a in T.blocks(f, h):
+                        v = a.astype(np.uint8, copy=False).ravel()
+                        i = np.flatnonzero(v != 0)
+                        n += np.bincount(i % bands * 256 + v[i], minlength=len(n))
+                out += [(p, k // 256, k % 256, int(n[k])) for k in np.flatnonzero(n).tolist()]
             yield pd.DataFrame(out, columns=["path", "band", "v", "n"])
 
-    paths = T.list_rasters(spark, folder)
-    return paths.repartition(tasks(paths), "path").mapInPandas(run, "path string, band int, v int, n long")
+    return paths.select("path").repartition(tasks(paths), "path").mapInPandas(run, "path string, band int, v int, n long")
 
 
 def box_texts(images: DataFrame, labels: tuple[str, ...], detect: Detect) -> DataFrame:

@@ -920,11 +920,9 @@ select label, cast(floor(max(score) * 10000 + 0.5e0) as bigint) as score, count(
 @query
 def mask_files(spark: SparkSession, d: str) -> DataFrame:
     """The masks of `mask_rasterise` written as image files and read back: pixels by band and value."""
-    m = P.burn_masks(mask_segments(spark, d))
     folder = held(f"{shared_dir(spark)}/stage-masks-{uuid.uuid4().hex}")
-    m = m.select(F.format_string("%d.tif", "patch_id").alias("name"), F.col("n_rows").cast("int").alias("rows"), F.col("n_cols").cast("int").alias("cols"), F.lit(P.MAX_CLASSES).alias("bands"), F.col("mask").alias("values"), F.lit(EPSG).alias("epsg"), "res", F.col("minx").alias("x_min"), F.col("maxy").alias("y_max"), F.lit(None).cast("double").alias("nodata"))
-    T.write_tiles(m, folder).count()
-    return runs.band_values(spark, folder).select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("patch_id"), "band", "v", "n")
+    files = stage(runs.write_masks(mask_segments(spark, d), folder, EPSG), "mask-files")
+    return runs.band_values(files).select(F.regexp_extract("path", r"(\d+)\.tif$", 1).cast("long").alias("patch_id"), "band", "v", "n")
 
 
 sql("mask_files", f"with t as ({SQL['mask_rasterise']}) select patch_id, band, v, n from t")

@@ -313,6 +313,65 @@ def test_masks_in_the_patches_own_pixels(spark):
         patches.class_bands(["a", "b", "c", "d"])
 
 
+def mask_rows(spark, n, px):
+    """A square of 4 m in each of n patches of px * px half-metre pixels."""
+    rows = [(p, p % 3, p, p % 5 + 1, [[True, [1.0, 5.0, 5.0, 1.0], [1.0, 1.0, 5.0, 5.0]]], 0.0, 0.0, px / 2, px / 2, 0.5) for p in range(n)]
+    return spark.createDataFrame(rows, "patch_id long, band int, seq long, dfm int, r_rings array<struct<outer:boolean,x:array<double>,y:array<double>>>, minx double, miny double, maxx double, maxy double, res double")
+
+
+def python_steps(spark, monkeypatch):
+    """The (input, function) of each Python step that is planned from now on."""
+    found, kind = [], type(spark.range(1))
+    for name in ("mapInArrow", "mapInPandas"):
+        def call(self, f, *a, real=getattr(kind, name), **k):
+            found.append((self, f))
+            return real(self, f, *a, **k)
+
+        monkeypatch.setattr(kind, name, call)
+    return found
+
+
+def test_masks_leave_their_task_a_few_at_a_time(spark, monkeypatch):
+    steps = python_steps(spark, monkeypatch)
+    patches.burn_masks(mask_rows(spark, 60, 512))
+    rows, paint = steps[0]
+    sizes, ids = [], []
+    for b in paint(iter(rows.toArrow().combine_chunks().to_batches())):  # all patches come in one batch
+        sizes.append(b.nbytes)
+        ids += b.column(0).to_pylist()
+    assert sorted(ids) == list(range(60)) and max(sizes) < 16 << 20
+    steps.clear()
+    patches.burn_masks(mask_rows(spark, 2, 2048))  # each larger than what leaves at once
+    rows, paint = steps[0]
+    assert [b.num_rows for b in paint(iter(rows.toArrow().combine_chunks().to_batches()))] == [1, 1]
+
+
+def test_mask_files_send_no_mask_through_the_engine(spark, data, monkeypatch):
+    from terraframe import queries
+
+    steps = python_steps(spark, monkeypatch)
+    queries.mask_files(spark, data)
+    assert steps and not [c for df, _ in steps for c, t in df.dtypes if t == "binary"]
+
+
+def test_masks_as_files(spark, tmp_path):
+    from terraframe.plans import runs
+    from terraframe.sources import geotiff
+
+    df = mask_rows(spark, 20, 1100)  # taller than what is read back at once
+    want = {r.patch_id: np.frombuffer(bytes(r.mask), np.uint8).reshape(r.n_rows, r.n_cols, 3) for r in patches.burn_masks(df).collect()}
+    files = runs.write_masks(df, f"{tmp_path}/m", 2157).collect()
+    assert sorted(r.patch_id for r in files) == sorted(want) and all((tmp_path / "m" / f"{r.patch_id}.tif").stat().st_size == r.n_bytes for r in files)
+    for r in files:
+        with geotiff.open_file(r.path) as f:
+            h = geotiff.header(f)
+            assert geotiff.metadata(r.path, h)[1:8] == (2157, 0.5, 0.0, 550.0, 1100, 1100, 3)
+            assert np.array_equal(geotiff.read_window(f, h, 0, 1100, 0, 1100), want[r.patch_id])
+    paths = {r.path: r.patch_id for r in files}
+    counts = {(paths[r.path], r.band, r.v, r.n) for r in runs.band_values(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert counts == {(p, p % 3, p % 5 + 1, 64) for p in range(20)}
+
+
 def test_label_corners_start_at_the_top_left(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0, 1.0)], "patch_id long, minx double, miny double, maxx double, maxy double, res double")
     s = with_extent(spark.createDataFrame([(1, "AO", 3, "POLYGON ((10 60, 30 60, 30 90, 10 90, 10 60))"), (2, "AO", 3, "POLYGON ((90 60, 110 60, 90 90, 90 60))")], "seg_id long, arch_type string, dfm int, geometry string"))
